@@ -17,6 +17,7 @@ SPARK = {
     "k": "CAST(get_json_object(props,'$.k') AS BIGINT)",
     "us": "unix_micros(CAST(ts AS TIMESTAMP))",
     "fmt": "format_string",
+    "div": "div",
     "utc": "date_format(timestamp_micros({0}), \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'\")",
     "sha": "sha2({0}, 256)",
 }
@@ -24,6 +25,7 @@ DUCK = {
     "k": "CAST(props->>'$.k' AS BIGINT)",
     "us": "epoch_us(ts)",
     "fmt": "printf",
+    "div": "//",
     "utc": "strftime(make_timestamp({0}), '%Y-%m-%dT%H:%M:%S.%fZ')",
     "sha": "sha256({0})",
 }
@@ -58,7 +60,29 @@ def _tables(d: dict) -> dict[str, str]:
             "CASE WHEN txn_id % 13 = 0 THEN 'OUTBOX_BACKLOG_AGED' END, rule], lambda x: x IS NOT NULL)"
         )
         explode = "SELECT txn_id, unnest(range(0, CAST(txn_id % 3 AS INT))) AS k FROM decisions WHERE action = 'review' AND txn_id % 3 > 0"
+    models = [("rules", "amount", 9, 0, 0), ("rules", "ratio", 0, 9, 0), ("linear", "C=0.1", 5, 4, 500), ("linear", "C=1", 6, 3, 700), ("trees", "depth=3", 5, 3, 1100), ("trees", "depth=6", 4, 3, 1400)]
+    if d is SPARK:
+        listed = ", ".join(f"struct('{f}' AS family, '{c}' AS config, {a} AS wa, {b} AS wb, {e} AS wc)" for f, c, a, b, e in models)
+        per_model = f"(SELECT *, inline(array({listed})) FROM scored)"
+    else:
+        listed = ", ".join(f"('{f}', '{c}', {a}, {b}, {e})" for f, c, a, b, e in models)
+        per_model = f"(SELECT * FROM scored, (VALUES {listed}) m(family, config, wa, wb, wc))"
     return {
+        # Labelled and scored rows; scores have four digits, so many of them are equal.
+        "scored": f"""
+            SELECT txn_id AS position, customer_key, terminal_key, amount_minor, event_us,
+                   received_us AS decision_us, event_us + (label_us - event_us) {d['div']} 10 AS label_us,
+                   is_fraud, fraud_s1, fraud_s2, fraud_s3,
+                   CAST(((amount_minor * 1000) {d['div']} (amount_minor + 5000)) * 6 + ((txn_id * 7919) % 1000) * 3
+                        + CASE WHEN is_fraud THEN 700 ELSE 0 END AS DOUBLE) / CAST(10000 AS DOUBLE) AS score
+            FROM txn""",
+        # The same rows scored by several configurations of three families.
+        "models": f"""
+            SELECT position, amount_minor, decision_us, label_us, is_fraud, fraud_s1, fraud_s2, fraud_s3,
+                   family, config,
+                   CAST(((amount_minor * 1000) {d['div']} (amount_minor + 5000)) * wa + ((position * 7919) % 1000) * wb
+                        + CASE WHEN is_fraud THEN wc ELSE 0 END AS DOUBLE) / CAST(10000 AS DOUBLE) AS score
+            FROM {per_model} x""",
         "raw": f"""
             SELECT event_id AS txn_id, user_id AS customer_key, {d['k']} AS terminal_key,
                    CAST(round(value * 100) AS BIGINT) AS amount_minor, {d['us']} AS event_us
@@ -154,6 +178,8 @@ DUCK_TABLES = _tables(DUCK)
 _NEEDS = {
     "raw": [],
     "txn": ["raw"],
+    "scored": ["txn"],
+    "models": ["scored"],
     "history": ["txn"],
     "deliveries": ["history"],
     "late_deliveries": ["deliveries"],
