@@ -130,7 +130,7 @@ def _tables(d: dict) -> dict[str, str]:
         # The same, with some events so old that they fall behind the horizon.
         "late_deliveries": """
             SELECT seq, event_id, customer_id, terminal_id, amount_minor,
-                   CASE WHEN seq % 401 = 0 THEN event_us - CAST(45 AS BIGINT) * 86400000000 ELSE event_us END
+                   CASE WHEN seq % 401 = 0 AND seq > 0 THEN event_us - CAST(45 AS BIGINT) * 86400000000 ELSE event_us END
                        AS event_us,
                    received_us, payload_hash, source_id
             FROM deliveries""",
