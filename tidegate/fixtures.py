@@ -60,6 +60,11 @@ def _tables(d: dict) -> dict[str, str]:
             "CASE WHEN txn_id % 13 = 0 THEN 'OUTBOX_BACKLOG_AGED' END, rule], lambda x: x IS NOT NULL)"
         )
         explode = "SELECT txn_id, unnest(range(0, CAST(txn_id % 3 AS INT))) AS k FROM decisions WHERE action = 'review' AND txn_id % 3 > 0"
+    dbl = "DOUBLE"
+    if d is SPARK:
+        le_rows = "explode(array('0.05', '0.1', '0.2', '0.4', '+Inf'))"
+    else:
+        le_rows = "unnest(['0.05', '0.1', '0.2', '0.4', '+Inf'])"
     models = [("rules", "amount", 9, 0, 0), ("rules", "ratio", 0, 9, 0), ("linear", "C=0.1", 5, 4, 500), ("linear", "C=1", 6, 3, 700), ("trees", "depth=3", 5, 3, 1100), ("trees", "depth=6", 4, 3, 1400)]
     if d is SPARK:
         listed = ", ".join(f"struct('{f}' AS family, '{c}' AS config, {a} AS wa, {b} AS wb, {e} AS wc)" for f, c, a, b, e in models)
@@ -68,6 +73,85 @@ def _tables(d: dict) -> dict[str, str]:
         listed = ", ".join(f"('{f}', '{c}', {a}, {b}, {e})" for f, c, a, b, e in models)
         per_model = f"(SELECT * FROM scored, (VALUES {listed}) m(family, config, wa, wb, wc))"
     return {
+        # Pipeline health, one row per minute with traffic.
+        "health": f"""
+            SELECT CASE WHEN m % 5 = 0 THEN 'replay:r1' ELSE 'live' END AS namespace, at_us,
+                   CASE WHEN m % 17 = 0 THEN NULL ELSE at_us - ((m * 7919) % 90) * 1000000 END AS heartbeat_us,
+                   CASE WHEN m % 7 < 2 THEN NULL ELSE at_us - ((m * 104729) % 1300) * 1000000 END AS oldest_us,
+                   CASE WHEN m % 23 < 3 THEN -1 ELSE (m * 31) % 1500 END AS reported_lag,
+                   (m * 7907) % 60000 AS backlog_rows
+            FROM (SELECT m, m * CAST(60000000 AS BIGINT) AS at_us
+                  FROM (SELECT DISTINCT received_us {d['div']} 60000000 AS m FROM txn) a) b""",
+        # Hourly scrapes of counters that start again in the middle of the month.
+        "served": f"""
+            SELECT received_us {d['div']} 3600000000 AS h, ((txn_id * 7919) % 500) AS ms,
+                   CASE WHEN txn_id % 53 = 0 THEN '503' WHEN txn_id % 31 = 0 THEN '422' ELSE '201' END AS status
+            FROM txn""",
+        "counted": f"""
+            SELECT h, concat('request_seconds_bucket{{stage="request_total",le="', le, '"}}') AS sample,
+                   count(CASE WHEN le = '+Inf' OR ms <= CAST(CASE WHEN le = '+Inf' THEN '0' ELSE le END AS {dbl}) * 1000 THEN 1 END) AS n
+            FROM (SELECT h, ms, {le_rows} AS le FROM served) b GROUP BY h, le
+            UNION ALL
+            SELECT h, concat('responses_total{{status="', status, '"}}') AS sample, count(*) AS n
+            FROM served GROUP BY h, status""",
+        "scrapes": """
+            SELECT h * CAST(3600000000 AS BIGINT) AS scrape_us, sample,
+                   CAST(sum(n) OVER (PARTITION BY sample, h < 473700 ORDER BY h) AS DOUBLE) AS value
+            FROM counted""",
+        # Messages of the decisions, some of them damaged in one of the known ways.
+        "payloads": f"""
+            SELECT d.txn_id, d.customer_id, d.terminal_id, d.transaction_id, d.amount_minor, d.event_us,
+                   concat(substr(h, 1, 8), '-', substr(h, 9, 4), '-', substr(h, 13, 4), '-', substr(h, 17, 4), '-', substr(h, 21, 12)) AS event_id,
+                   {d['sha'].format(_canonical(d, 'd.transaction_id', 'd.customer_id', 'd.terminal_id', 'd.amount_minor', 'd.event_us'))} AS payload_hash,
+                   d.received_us, d.decision_us, d.persisted_us, d.action, d.score, d.model_version, d.policy_version
+            FROM (SELECT *, {d['sha'].format('transaction_id')} AS h FROM decisions) d""",
+        "messages": f"""
+            SELECT txn_id, CASE WHEN txn_id % 89 = 4 THEN 'C999999' ELSE customer_id END AS key_text,
+                   CASE WHEN txn_id % 89 = 1 THEN substr(value, 1, 40) ELSE value END AS value_text,
+                   event_id, CASE WHEN txn_id % 89 = 5 THEN 'decision.unmade' ELSE 'decision.made' END AS header_type
+            FROM (SELECT txn_id, customer_id, event_id,
+                  concat('{{"action":"', action, '","amount_minor":', CASE WHEN txn_id % 89 = 2 THEN '"7"' ELSE CAST(amount_minor AS {text}) END,
+                    ',"currency":"', CASE WHEN txn_id % 89 = 3 THEN 'EUR' ELSE 'USD' END, '","customer_id":"', customer_id,
+                    '","decision_time":"', {_utc('decision_us', d)}, '","event_id":"', event_id,
+                    '","event_time":"', {_utc('event_us', d)}, '","event_type":"decision.made","feature_version":"f1","model_version":"', model_version,
+                    '","payload_hash":"', CASE WHEN txn_id % 89 = 6 THEN {d['sha'].format("'x'")} ELSE payload_hash END,
+                    '","persisted_at":"', {_utc('persisted_us', d)}, '","policy_version":"', policy_version,
+                    '","received_at":"', {_utc('received_us', d)}, '","schema_version":1,"score":',
+                    CASE WHEN score IS NULL THEN 'null' ELSE CAST(round(score, 6) AS {text}) END,
+                    ',"terminal_id":"', terminal_id, '","transaction_id":"', transaction_id,
+                    CASE WHEN txn_id % 89 = 7 THEN '","extra":"1' ELSE '' END, '"}}') AS value
+                  FROM payloads) p""",
+        "partitions": """
+            SELECT CASE WHEN terminal_key % 4 = 0 THEN 'replay' ELSE 'live' END AS topic, terminal_key AS partition_id, count(*) AS end_offset,
+                   CASE WHEN terminal_key % 9 = 0 THEN NULL ELSE count(*) - terminal_key % 7 END AS committed_offset,
+                   max(received_us) AS fetched_us
+            FROM txn GROUP BY terminal_key""",
+        # Load runs and their figures, one per customer row.
+        "runs": """
+            SELECT c_mktsegment AS model, c_nationkey % 2 = 0 AS stats_on, c_custkey AS run_id,
+                   abs(c_acctbal) / 90 AS p95, abs(c_acctbal) / 45 AS p99,
+                   CAST(90 + c_custkey % 20 AS DOUBLE) AS rps, c_custkey % 10 AS failed, CAST(6000 AS BIGINT) AS scheduled
+            FROM customer""",
+        "jobs": """
+            SELECT o_orderpriority AS namespace, o_orderkey * 10 AS start_offset, o_custkey % 10 AS sent,
+                   CASE WHEN o_orderkey % 41 = 0 THEN 503 WHEN o_orderkey % 7 = 0 THEN 200 ELSE 201 END AS status,
+                   CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_totalprice END AS score, o_orderstatus AS action
+            FROM orders""",
+        # Two copies of one table as text; the second has a few other cells.
+        "copy_a": f"""
+            SELECT o_orderkey AS k, {fmt}('%.2f', o_totalprice) AS price, o_orderstatus AS status,
+                   CAST(o_custkey AS {text}) AS cust FROM orders""",
+        "copy_b": f"""
+            SELECT o_orderkey AS k, CASE WHEN o_orderkey % 500 = 0 THEN concat({fmt}('%.2f', o_totalprice), '0')
+                                         WHEN o_orderkey % 1000 = 1 THEN {fmt}('%.2f', o_totalprice + 1)
+                                         ELSE {fmt}('%.2f', o_totalprice) END AS price,
+                   CASE WHEN o_orderkey % 777 = 0 THEN 'X' ELSE o_orderstatus END AS status,
+                   CAST(o_custkey AS {text}) AS cust FROM orders""",
+        "shops": "SELECT s_suppkey AS id, CAST((s_suppkey * 7919) % 10000 AS DOUBLE) / 100.0 AS x, CAST((s_suppkey * 104729) % 10000 AS DOUBLE) / 100.0 AS y FROM supplier",
+        "homes": "SELECT c_custkey AS id, CAST((c_custkey * 7919 + 13) % 10000 AS DOUBLE) / 100.0 AS x, CAST((c_custkey * 104729 + 7) % 10000 AS DOUBLE) / 100.0 AS y FROM customer",
+        "calendar": f"""
+            SELECT DISTINCT terminal_key, event_us {d['div']} 86400000000 AS day FROM txn
+            WHERE (terminal_key * 31 + (event_us {d['div']} 86400000000) * 17) % 43 = 0""",
         # Labelled and scored rows; scores have four digits, so many of them are equal.
         "scored": f"""
             SELECT txn_id AS position, customer_key, terminal_key, amount_minor, event_us,
@@ -176,8 +260,26 @@ def _tables(d: dict) -> dict[str, str]:
 TABLES = _tables(SPARK)
 DUCK_TABLES = _tables(DUCK)
 _NEEDS = {
-    "raw": [],
+    "raw": ["events"],
+    "events": [],
+    "orders": [],
+    "customer": [],
+    "supplier": [],
     "txn": ["raw"],
+    "health": ["txn"],
+    "served": ["txn"],
+    "counted": ["served"],
+    "scrapes": ["counted"],
+    "payloads": ["decisions"],
+    "messages": ["payloads"],
+    "partitions": ["txn"],
+    "runs": ["customer"],
+    "jobs": ["orders"],
+    "copy_a": ["orders"],
+    "copy_b": ["orders"],
+    "shops": ["supplier"],
+    "homes": ["customer"],
+    "calendar": ["txn"],
     "scored": ["txn"],
     "models": ["scored"],
     "history": ["txn"],
@@ -206,14 +308,15 @@ def source(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A derived table of this module, planned lazily over the given tables."""
     prepare(spark)
-    steps = [("events", f"SELECT * FROM parquet.`{folder}/events.parquet`")]
-    steps += [(n, TABLES[n]) for n in _closure((name,), _NEEDS)]
+    steps = [
+        (n, TABLES.get(n, f"SELECT * FROM parquet.`{folder}/{n}.parquet`")) for n in _closure((name,), _NEEDS)
+    ]
     head = ",\n".join(f"{step} AS ({text})" for step, text in steps)
     return spark.sql(f"WITH {head}\nSELECT * FROM {name}")
 
 
 def with_tables(*names: str, body: str, extra: dict[str, str] | None = None) -> str:
     """Oracle SQL: the derived tables as CTEs in front of `body`."""
-    steps = [(n, DUCK_TABLES[n]) for n in _closure(names, _NEEDS)] + list((extra or {}).items())
+    steps = [(n, DUCK_TABLES[n]) for n in _closure(names, _NEEDS) if n in DUCK_TABLES] + list((extra or {}).items())
     head = ",\n".join(f"{name} AS ({text})" for name, text in steps)
     return f"WITH {head}\n{body}"

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegate.plans.quantiles import exact_percentiles
+
 
 def aligned(left: DataFrame, right: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """Rows of both sides by key, with columns `l_<name>` and `r_<name>`."""
@@ -36,15 +38,13 @@ def differences_by_column(both: DataFrame, columns: Sequence[str], name: str = "
 
 
 def score_changes(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Scores that changed, the largest change, and the median of the changes that are not zero."""
     gap = F.abs(F.col("l_score") - F.col("r_score"))
-    both = aligned(left, right, key, ["score"]).select(gap.alias("d"))
-    changed = F.when(F.col("d") > 0, F.col("d"))
+    both = aligned(left, right, key, ["score"]).select(gap.alias("d")).checkpoint()
+    median = exact_percentiles(both.filter("d > 0"), F.col("d"), (0.5,)).select("q0").scalar()
     return both.agg(
-        F.count(F.lit(1)).alias("decisions"),
-        F.count_if(F.col("d") > 0).alias("changed"),
-        F.max("d").alias("largest"),
-        F.coalesce(F.percentile(changed, F.lit(0.5)), F.lit(0.0)).alias("median_change"),
-    )
+        F.count(F.lit(1)).alias("decisions"), F.count_if(F.col("d") > 0).alias("changed"), F.max("d").alias("largest")
+    ).withColumn("median_change", F.coalesce(median, F.lit(0.0)))
 
 
 def transitions(left: DataFrame, right: DataFrame, key: str, column: str) -> DataFrame:

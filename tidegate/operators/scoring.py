@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidegate.functions.scalars import or_zero, sigmoid
 from tidegate.operators.features import FEATURES
+from tidegate.plans.quantiles import exact_percentiles
 
 # Fixed values of the linear model's input.
 NULLABLE = (
@@ -89,15 +90,16 @@ def checked(rows: DataFrame, prep: Preprocessing = Preprocessing()) -> DataFrame
 
 
 def fit_medians(rows: DataFrame, prep: Preprocessing = Preprocessing()) -> DataFrame:
-    """One row: the exact median of each feature over its present values, 0 where there is none."""
-    return rows.agg(
-        *[F.coalesce(F.percentile(F.col(f).cast("double"), F.lit(0.5)), F.lit(0.0)).alias(f) for f in prep.features]
-    )
+    """One row per feature: its exact median over the present values, 0 where there is none."""
+    cells = [F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in prep.features]
+    medians = exact_percentiles(rows.select(F.inline(F.array(*cells))), F.col("x"), (0.5,), ["feature"])
+    listed = rows.sparkSession.createDataFrame([(f,) for f in prep.features], "feature string")
+    return listed.join(medians, "feature", "left").select("feature", F.coalesce("q0", F.lit(0.0)).alias("median"))
 
 
 def fit_preprocessing(rows: DataFrame, prep: Preprocessing = Preprocessing()) -> Preprocessing:
     """Two aggregate passes over the training rows; only one number per column comes back."""
-    medians = fit_medians(rows, prep).first().asDict()
+    medians = {r["feature"]: r["median"] for r in fit_medians(rows, prep).collect()}
     partial = Preprocessing(prep.features, prep.nullable, prep.log1p, medians)
     stats = rows.agg(
         *[F.avg(x).alias(f"m_{name}") for name, x in partial.raw().items()],

@@ -179,3 +179,17 @@ def row_numbers(
     chunks = chunked(df, keys, rows_per_chunk)
     numbered = running(chunks, [*keys, *ties], {name: ("sum", F.lit(1).cast("bigint"))})
     return numbered.drop(chunks.column)
+
+
+def framed(df: DataFrame, keys: Sequence[str], at: str, width: int) -> DataFrame:
+    """Cut the time of each key into slices of `width`, and copy each row into the next slice.
+
+    A frame that reaches back at most `width` is then complete inside (key, `_slice`), and only rows
+    with `_own` are results. No slice holds more than two widths of a key.
+    """
+    here = F.floor(F.col(at) / F.lit(width)).cast("bigint")
+    places = F.array(
+        F.struct(here.alias("_slice"), F.lit(True).alias("_own")),
+        F.struct((here + 1).alias("_slice"), F.lit(False).alias("_own")),
+    )
+    return df.select("*", F.inline(places))
