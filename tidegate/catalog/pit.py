@@ -181,13 +181,13 @@ def pit5(spark, folder):
 @query(
     "pit6_straddlers",
     f"""SELECT seq, event_us, received_us FROM history
-        WHERE event_us < {_DAY0} + 20 * {DAY_US} AND received_us >= {_DAY0} + 20 * {DAY_US}""",
+        WHERE event_us < {_DAY0} + 27 * {DAY_US} AND received_us >= {_DAY0} + 27 * {DAY_US}""",
     ("history",),
 )
 def pit6(spark, folder):
     """PIT-6: events before the cutoff that were decided after it."""
     history = load(spark, folder, "history")
-    cutoff = first_day(history) + lit(20 * DAY)
+    cutoff = first_day(history) + lit(27 * DAY)
     split = split_at_cutoff(history, cutoff).filter("scoring").filter(F.col("event_us") < cutoff)
     return split.select("seq", "event_us", "received_us")
 

@@ -29,10 +29,12 @@ def apply_events(
     retention_us: int = RETENTION,
     available: Column | None = None,
     rows_per_chunk: int = ROWS_PER_CHUNK,
+    watermark_us: int | None = None,
 ) -> DataFrame:
     """Add `status` to each delivery; arrival order is (available, seq).
 
     Rows need `seq`, `event_id`, `source_id`, `payload_hash`, `event_us` and `received_us`.
+    `watermark_us` is the watermark that earlier deliveries, which are not among the rows, have left.
     """
     if retention_us < MAX_WINDOW:
         raise ValueError("retention must cover the largest feature window")
@@ -41,7 +43,8 @@ def apply_events(
     span = rows.agg(F.min("event_us").alias("low"), F.max("event_us").alias("high")).first()
     if span["low"] is None:
         return deliveries.withColumn("status", F.lit(None).cast("string"))
-    horizon_matters = span["high"] - retention_us > span["low"]
+    newest = max(span["high"], watermark_us if watermark_us is not None else span["high"])
+    horizon_matters = newest - retention_us > span["low"]
 
     several_ids = _repeated(rows, "event_id")
     several_sources = _repeated(rows, "source_id")
@@ -51,8 +54,9 @@ def apply_events(
         .withColumn("_open", F.coalesce("_r_event_id", "_r_source_id", F.lit(False)))
     )
     if horizon_matters:
-        rows = _with_watermark_bound(rows, retention_us, rows_per_chunk)
-    rows = rows.withColumn("_base", F.lit(None).cast("bigint")) if not horizon_matters else rows
+        rows = _with_watermark_bound(rows, retention_us, rows_per_chunk, watermark_us)
+    else:
+        rows = rows.withColumn("_base", F.lit(None).cast("bigint"))
     names = ["seq", "event_id", "source_id", "payload_hash", "event_us", "_at", "_base"]
     open_rows = rows.filter("_open").select(*names).checkpoint()
     settled = _rounds(open_rows, retention_us, horizon_matters, rows_per_chunk)
@@ -67,7 +71,9 @@ def _repeated(rows: DataFrame, key: str) -> DataFrame:
     return counts.filter("_n > 1").select(key, F.lit(True).alias(f"_r_{key}"))
 
 
-def _with_watermark_bound(rows: DataFrame, retention_us: int, rows_per_chunk: int) -> DataFrame:
+def _with_watermark_bound(
+    rows: DataFrame, retention_us: int, rows_per_chunk: int, watermark_us: int | None
+) -> DataFrame:
     """Mark possible late rows as open, and give open rows the watermark of all certain rows.
 
     Certain rows are applied in every case, so their running maximum is computed once.
@@ -75,12 +81,13 @@ def _with_watermark_bound(rows: DataFrame, retention_us: int, rows_per_chunk: in
     chunks = chunked(rows, [F.col("_at"), F.col("seq")], rows_per_chunk, "_c")
     order = [F.col("_at"), F.col("seq")]
     upper = running(chunks, order, {"_upper": ("max", F.col("event_us"))}, inclusive=False)
-    late = F.coalesce(F.col("event_us") < F.col("_upper") - F.lit(retention_us), F.lit(False))
+    before = F.lit(watermark_us).cast("bigint")
+    highest = F.greatest(F.col("_upper"), before)
+    late = F.coalesce(F.col("event_us") < highest - F.lit(retention_us), F.lit(False))
     marked = upper.withColumn("_open", F.col("_open") | late).checkpoint()
     certain = F.when(~F.col("_open"), F.col("event_us"))
-    return running(
-        Chunked(marked, "_c", chunks.single), order, {"_base": ("max", certain)}, inclusive=False
-    ).drop("_c", "_upper")
+    bounded = running(Chunked(marked, "_c", chunks.single), order, {"_base": ("max", certain)}, inclusive=False)
+    return bounded.withColumn("_base", F.greatest("_base", before)).drop("_c", "_upper")
 
 
 def _rounds(
