@@ -50,6 +50,12 @@ def feature_sql(table: str = "history", available: str = "e.received_us", applie
         GROUP BY d.seq, d.event_id, d.customer_id, d.terminal_id, d.event_us, d.received_us, d.amount_minor"""
 
 
+def events(spark, folder):
+    """The columns that features need; the payload hash stays behind."""
+    columns = ["seq", "event_id", "customer_id", "terminal_id", "amount_minor", "event_us", "received_us"]
+    return load(spark, folder, "history").select(*columns)
+
+
 LEAKY = "e.event_us"
 _NAMES = ", ".join(FEATURES)
 _SHOWN = ["seq", "decision_us", *FEATURES, "history_complete"]
@@ -63,7 +69,7 @@ _SHOWN = ["seq", "decision_us", *FEATURES, "history_complete"]
 )
 def pit1(spark, folder):
     """PIT-1, JOIN-2, WIN-1, FEAT-1..17: every decision with the history it could see."""
-    return point_in_time(load(spark, folder, "history")).select(*_SHOWN)
+    return point_in_time(events(spark, folder)).select(*_SHOWN)
 
 
 _STATUS = {
@@ -101,11 +107,11 @@ def pit1_deliveries(spark, folder):
 )
 def pit2(spark, folder):
     """PIT-2: the shortcut that ignores arrival, to measure what it leaks."""
-    return point_in_time(load(spark, folder, "history"), availability="event_time").select(*_SHOWN)
+    return point_in_time(events(spark, folder), availability="event_time").select(*_SHOWN)
 
 
 def _both(spark, folder, **other):
-    history = load(spark, folder, "history")
+    history = events(spark, folder)
     left = point_in_time(history).select("seq", "decision_us", *FEATURES)
     right = point_in_time(history, **other).select("seq", *FEATURES)
     return left, right
@@ -145,7 +151,7 @@ def pit3(spark, folder):
 )
 def pit4(spark, folder):
     """PIT-4: decisions that change when events become visible 1 s and 60 s after they arrive."""
-    history = load(spark, folder, "history")
+    history = events(spark, folder)
     base = point_in_time(history).select("seq", *FEATURES).checkpoint()
     out = None
     for seconds in (1, 60):
@@ -223,7 +229,7 @@ def pit7(spark, folder):
 )
 def pit8(spark, folder):
     """PIT-8: how many earlier events of the customer arrived only after each decision."""
-    history = load(spark, folder, "history").withColumn("decision_us", F.col("received_us"))
+    history = events(spark, folder).withColumn("decision_us", F.col("received_us"))
     rows = history.count()
     scan = Scan("c", ("customer_id",), (("now", 0),))
     args = dict(event_us="event_us", decision_us="decision_us", weight="amount_minor", is_point=F.lit(True),
@@ -313,7 +319,7 @@ def agg19(spark, folder):
 )
 def agg20(spark, folder):
     """AGG-20: decisions of customers seen more than once, as rows; a trace is their decision order."""
-    history = load(spark, folder, "history")
+    history = events(spark, folder)
     left = point_in_time(history).select("customer_id", "seq", "decision_us", F.col("cust_txn_count_1d").alias("expected_count_1d"))
     right = point_in_time(history, delay_us=60 * US).select("seq", F.col("cust_txn_count_1d").alias("stored_count_1d"))
     repeated = history.groupBy("customer_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -331,7 +337,7 @@ def agg20(spark, folder):
 )
 def join7(spark, folder):
     """JOIN-7: the newest earlier event of the customer that the decision could see."""
-    history = load(spark, folder, "history")
+    history = events(spark, folder)
     rows = history.count()
     scan = Scan("c", ("customer_id",), (("now", 0),), last=("now",))
     seen = visible(

@@ -10,7 +10,7 @@ from tidegate.functions.times import DAY, lit
 from tidegate.operators import compare, quality, spatial
 from tidegate.operators.features import FEATURES, point_in_time
 from tidegate.plans.ordered import row_numbers
-from tidegate.session import scratch
+from tidegate.session import scratch, spread
 from tidegate.sources import readers, sinks
 
 
@@ -326,7 +326,7 @@ def _text_sql() -> str:
 )
 def dq7(spark, folder):
     """DQ-7: lines of each document with sensitive text, by category."""
-    return quality.sensitive_lines(source(spark, folder, "documents"), "doc_id", "text", terms=["the"])
+    return quality.sensitive_lines(spread(source(spark, folder, "documents")), "doc_id", "text", terms=["the"])
 
 
 @query(
@@ -337,5 +337,5 @@ def dq7(spark, folder):
 )
 def dq7_conversations(spark, folder):
     """DQ-7: the same over conversations, summed over their turns."""
-    found = quality.sensitive_lines(source(spark, folder, "conversations"), "conv_id", "text", terms=["the"])
+    found = quality.sensitive_lines(spread(source(spark, folder, "conversations")), "conv_id", "text", terms=["the"])
     return found.groupBy("conv_id", "category").agg(F.sum("lines").alias("lines"))

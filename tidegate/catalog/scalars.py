@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidegate.catalog.base import query, r9, rounded
-from tidegate.catalog.pit import feature_sql
+from tidegate.catalog.pit import events, feature_sql
 from tidegate.fixtures import load, source
 from tidegate.functions import scalars as fn
 from tidegate.functions.times import US, bucket, day_of_week, format_utc, hour_of_day, instant, micros, millis_between
@@ -144,7 +144,7 @@ _FEATURES = {"f": feature_sql()}
 
 
 def _features(spark, folder):
-    return point_in_time(load(spark, folder, "history"))
+    return point_in_time(events(spark, folder))
 
 
 # A model of the committed kind, written down as numbers; fits produce the same structure.

@@ -6,9 +6,11 @@ two spell differently are filled in. That keeps a query and its oracle on the sa
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegate.session import prepare
+from tidegate.session import prepare, spread
 
 REVIEW_AT, DECLINE_AT = 0.6, 0.75
 
@@ -308,9 +310,14 @@ def source(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A derived table of this module, planned lazily over the given tables."""
     prepare(spark)
-    steps = [
-        (n, TABLES.get(n, f"SELECT * FROM parquet.`{folder}/{n}.parquet`")) for n in _closure((name,), _NEEDS)
-    ]
+    steps = []
+    for step in _closure((name,), _NEEDS):
+        if step in TABLES:
+            steps.append((step, TABLES[step]))
+            continue
+        view = f"given_{step}_{zlib.crc32(folder.encode()):x}"
+        spread(source(spark, folder, step)).createOrReplaceTempView(view)
+        steps.append((step, f"SELECT * FROM {view}"))
     head = ",\n".join(f"{step} AS ({text})" for step, text in steps)
     return spark.sql(f"WITH {head}\nSELECT * FROM {name}")
 

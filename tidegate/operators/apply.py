@@ -9,7 +9,7 @@ have reached the sequential result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidegate.operators.features import APPLIED, MAX_WINDOW, RETENTION
@@ -40,37 +40,44 @@ def apply_events(
         raise ValueError("retention must cover the largest feature window")
     at = F.col("received_us") if available is None else available
     rows = deliveries.withColumn("_at", at)
-    span = rows.agg(F.min("event_us").alias("low"), F.max("event_us").alias("high")).first()
-    if span["low"] is None:
-        return deliveries.withColumn("status", F.lit(None).cast("string"))
-    newest = max(span["high"], watermark_us if watermark_us is not None else span["high"])
-    horizon_matters = newest - retention_us > span["low"]
-
-    several_ids = _repeated(rows, "event_id")
-    several_sources = _repeated(rows, "source_id")
-    rows = (
-        rows.join(several_ids, "event_id", "left")
-        .join(several_sources, "source_id", "left")
-        .withColumn("_open", F.coalesce("_r_event_id", "_r_source_id", F.lit(False)))
+    span = Observation()
+    ids = F.array(
+        F.struct(F.lit("event_id").alias("kind"), F.col("event_id").alias("key")),
+        F.struct(F.lit("source_id").alias("kind"), F.col("source_id").alias("key")),
+    )
+    # Ids and sources that occur on several deliveries; the same pass measures the event times.
+    several = (
+        rows.observe(span, F.min("event_us").alias("low"), F.max("event_us").alias("high"))
+        .select(F.inline(ids))
+        .groupBy("kind", "key")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .filter("n > 1")
+        .select("kind", "key")
+        .checkpoint()
     )
+    low, high = span.get["low"], span.get["high"]
+    if low is None:
+        return deliveries.withColumn("status", F.lit(None).cast("string"))
+    newest = max(high, watermark_us if watermark_us is not None else high)
+    horizon_matters = newest - retention_us > low
+
+    for key in ("event_id", "source_id"):
+        found = several.filter(F.col("kind") == key).select(F.col("key").alias(key), F.lit(True).alias(f"_r_{key}"))
+        rows = rows.join(found, key, "left")
+    rows = rows.withColumn("_open", F.coalesce("_r_event_id", "_r_source_id", F.lit(False)))
+    names = ["seq", "event_id", "source_id", "payload_hash", "event_us", "_at", "_open"]
+    rows = rows.select(*names)
     if horizon_matters:
         rows = _with_watermark_bound(rows, retention_us, rows_per_chunk, watermark_us)
     else:
         rows = rows.withColumn("_base", F.lit(None).cast("bigint"))
-    names = ["seq", "event_id", "source_id", "payload_hash", "event_us", "_at", "_base"]
-    open_rows = rows.filter("_open").select(*names).checkpoint()
+    open_rows = rows.filter("_open").drop("_open").checkpoint()
     settled = _rounds(open_rows, retention_us, horizon_matters, rows_per_chunk)
     return deliveries.join(settled.select("seq", "status"), "seq", "left").withColumn(
         "status", F.coalesce("status", F.lit(APPLIED))
     )
 
 
-def _repeated(rows: DataFrame, key: str) -> DataFrame:
-    """Keys that occur on several deliveries."""
-    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    return counts.filter("_n > 1").select(key, F.lit(True).alias(f"_r_{key}"))
-
-
 def _with_watermark_bound(
     rows: DataFrame, retention_us: int, rows_per_chunk: int, watermark_us: int | None
 ) -> DataFrame:

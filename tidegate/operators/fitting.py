@@ -52,10 +52,16 @@ class TreeModel:
 
 
 def fit_trees(
-    rows: DataFrame, depth: int = 3, trees: int = 20, positive_weight: float = 1.0, step: float = 0.1, seed: int = 0
+    rows: DataFrame,
+    depth: int = 3,
+    trees: int = 20,
+    positive_weight: float = 1.0,
+    step: float = 0.1,
+    seed: int = 0,
+    prep: Preprocessing | None = None,
 ) -> TreeModel:
     """Boosted trees; missing inputs are imputed and carry their indicators."""
-    prep = fit_preprocessing(rows)
+    prep = prep or fit_preprocessing(rows)
     data = assemble(rows, prep).withColumn(
         "weight", F.when(F.col("label") == 1.0, F.lit(float(positive_weight))).otherwise(F.lit(1.0))
     )
@@ -88,12 +94,13 @@ def score_grid(
     The grid is a short list of settings; each fit is distributed over the cached training rows.
     """
     train = train.cache()
+    prep = fit_preprocessing(train)  # the same for every configuration
     out = None
     for family, params in grid:
         if family == "linear":
-            scored = evaluate.withColumn("score", fit_linear(train, **params).score())
+            scored = evaluate.withColumn("score", fit_linear(train, prep=prep, **params).score())
         else:
-            scored = fit_trees(train, **params).apply(evaluate)
+            scored = fit_trees(train, prep=prep, **params).apply(evaluate)
         one = scored.select(
             *keep, "score", F.lit(family).alias("family"), F.lit(label_of(family, params)).alias("config")
         )

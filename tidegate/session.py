@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build(app: str = "tidegate", cores: int | str = "*", **conf: str) -> SparkSession:
@@ -48,3 +48,9 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch(spark: SparkSession, label: str) -> str:
     """A new folder below the shared one, for written tables and streaming checkpoints."""
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan of few row groups over the cores; a large scan already has enough partitions."""
+    workers = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(workers) if df.rdd.getNumPartitions() < workers else df
