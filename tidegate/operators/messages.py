@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegate.functions.scalars import canonical_json, compact_json, header_map
 from tidegate.functions.times import format_utc, micros
+from tidegate.operators.decide import request_problem
 from tidegate.schemas import DECISION_MADE
 
 # Fixed values of message version 1.
@@ -119,6 +120,47 @@ def _well_formed() -> Column:
     return ok
 
 
+# The fields of a decision request.
+_REQUEST = {
+    "transaction_id": "string",
+    "customer_id": "string",
+    "terminal_id": "string",
+    "amount_minor": "bigint",
+    "currency": "string",
+    "event_time": "string",
+}
+
+
+def parse_requests(rows: DataFrame, text: str = "value") -> DataFrame:
+    """Add `request` (currency in upper case) and `problem` (null when valid) to raw JSON requests.
+
+    Amounts must be JSON integers, times must name their offset, and no other field is allowed.
+    """
+    typed = "struct<" + ",".join(f"{n}:{t}" for n, t in _REQUEST.items()) + ",_corrupt:string>"
+    raw = F.col(text).cast("string")
+    once = F.struct(
+        F.try_parse_json(raw).alias("_doc"),
+        F.from_json(raw, typed, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("request"),
+        F.json_object_keys(raw).alias("_keys"),
+    )
+    names = F.array(*[F.lit(n) for n in _REQUEST])
+    request, keys = F.col("request"), F.col("_keys")
+    shaped = keys.isNotNull() & (F.size(F.array_except(names, keys)) == 0) & (F.size(F.array_except(keys, names)) == 0)
+    shaped = shaped & request["_corrupt"].isNull()
+    for name, kind in _REQUEST.items():
+        if kind == "string":
+            found = F.schema_of_variant(F.try_variant_get("_doc", f"$.{name}", "variant"))
+            shaped = shaped & (found == "STRING")
+    problem = (
+        F.when(F.col("_doc").isNull(), F.lit("MALFORMED_JSON"))
+        .when(~F.coalesce(shaped, F.lit(False)), F.lit("SCHEMA_VIOLATION"))
+        .otherwise(request_problem(*[request[n] for n in _REQUEST]))
+    )
+    parsed = rows.select("*", F.inline(F.array(once)))
+    upper = F.struct(*[F.upper(request[n]).alias(n) if n == "currency" else request[n].alias(n) for n in _REQUEST])
+    return parsed.select(*rows.columns, upper.alias("request"), F.explode(F.array(problem)).alias("problem"))
+
+
 def _header_differs() -> Column:
     expected = {
         "event_id": F.lower(F.col("event.event_id")),

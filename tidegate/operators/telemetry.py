@@ -14,6 +14,16 @@ from tidegate.plans.ordered import framed
 WINDOW_US = 60 * US
 
 
+def samples(pages: DataFrame, text: str = "text") -> DataFrame:
+    """Scraped pages as (scrape_us, sample, value); comments and lines without a number are left out."""
+    lines = F.filter(F.split(text, "\n"), lambda line: (line != "") & ~line.startswith("#"))
+    parts = pages.select("scrape_us", F.explode(lines).alias("_line"))
+    value = F.regexp_extract("_line", r"\s(\S+)$", 1).try_cast("double")
+    return parts.select(
+        "scrape_us", F.regexp_extract("_line", r"^(.*)\s\S+$", 1).alias("sample"), value.alias("value")
+    ).filter("value IS NOT NULL")
+
+
 def parsed(scrapes: DataFrame) -> DataFrame:
     """Samples `name{labels}` with their name and label map."""
     return scrapes.withColumns({"name": metric_name(F.col("sample")), "labels": label_map(F.col("sample"))})
