@@ -162,7 +162,7 @@ def state7_timers(spark, folder):
     rows = load(spark, folder, "deliveries").withColumn("event_time", F.timestamp_micros("event_us"))
     rows.write.parquet(f"{path}/in")
     stream = spark.readStream.schema(rows.schema).parquet(f"{path}/in")
-    run_to_table(identity_statuses(spark, stream), path)
+    run_to_table(identity_statuses(stream), path)
     return spark.read.parquet(f"{path}/out").select("seq", "event_id", "status")
 
 

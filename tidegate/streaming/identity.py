@@ -5,64 +5,54 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidegate.operators.apply import DUPLICATE, EVENT_ID_CONFLICT, PAYLOAD_CONFLICT
 from tidegate.operators.features import APPLIED, RETENTION
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-RECORD = StructType(
-    [StructField("payload_hash", StringType()), StructField("source_id", StringType()), StructField("event_us", LongType())]
-)
-OUTPUT = StructType([StructField("seq", LongType()), StructField("event_id", StringType()), StructField("status", StringType())])
-
-
-class IdentityProcessor(StatefulProcessor):
-    """Keeps one record per event id; a timer at the retention horizon forgets it."""
-
-    def __init__(self, retention_us: int = RETENTION) -> None:
-        self.retention_us = retention_us
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.record = handle.getValueState("record", RECORD)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for part in rows:
-            # Within one micro-batch a key's rows are taken in arrival order per Arrow batch.
-            ordered = part.sort_values(["received_us", "seq"])
-            statuses = []
-            for row in ordered.itertuples(index=False):
-                known = self.record.get() if self.record.exists() else None
-                if known is None:
-                    self.record.update((row.payload_hash, row.source_id, int(row.event_us)))
-                    self.handle.registerTimer((int(row.event_us) + self.retention_us) // 1000)
-                    statuses.append(APPLIED)
-                elif known[0] != row.payload_hash:
-                    statuses.append(PAYLOAD_CONFLICT)
-                elif known[1] != row.source_id:
-                    statuses.append(EVENT_ID_CONFLICT)
+OUTPUT = "seq bigint, event_id string, status string"
+_READ = ("received_us", "seq", "payload_hash", "source_id", "event_us")
+RECORD = "payload_hash string, source_id string, event_us bigint"
+
+
+def _tracker(retention_us: int):
+    """State function of one event id: one record, forgotten by a timer at the retention horizon."""
+
+    def track(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        known = None
+        for part in parts:
+            # Rows of one part are taken in arrival order; a hot id comes in several parts. Most ids
+            # come once, so the few rows of a part are handled as plain values.
+            rows = sorted(zip(*(part[c].tolist() for c in _READ), strict=True))
+            out = []
+            for _, seq, payload, source, event_us in rows:
+                if not state.exists:
+                    state.update((payload, source, event_us))
+                    end = (event_us + retention_us) // 1000
+                    state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
+                    known, status = (payload, source), APPLIED
                 else:
-                    statuses.append(DUPLICATE)
-            yield pd.DataFrame({"seq": ordered["seq"], "event_id": ordered["event_id"], "status": statuses})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.record.clear()
-        return iter([])
+                    known = known or state.get
+                    if known[0] != payload:
+                        status = PAYLOAD_CONFLICT
+                    else:
+                        status = DUPLICATE if known[1] == source else EVENT_ID_CONFLICT
+                out.append((seq, key[0], status))
+            yield pd.DataFrame(out, columns=["seq", "event_id", "status"])
 
-    def close(self) -> None:
-        pass
+    return track
 
 
-def identity_statuses(spark: SparkSession, events: DataFrame, retention_us: int = RETENTION) -> DataFrame:
-    """Statuses by event id in event time; needs an `event_time` column and the RocksDB store."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+def identity_statuses(events: DataFrame, retention_us: int = RETENTION) -> DataFrame:
+    """Statuses by event id; rows need an `event_time` timestamp, whose watermark drives the timers."""
     marked = events.withWatermark("event_time", f"{retention_us // 1_000_000} seconds")
-    return marked.groupBy("event_id").transformWithStateInPandas(
-        statefulProcessor=IdentityProcessor(retention_us),
-        outputStructType=OUTPUT,
-        outputMode="append",
-        timeMode="EventTime",
+    columns = ["event_id", "seq", "payload_hash", "source_id", "event_us", "received_us", "event_time"]
+    return (
+        marked.select(*columns)
+        .groupBy("event_id")
+        .applyInPandasWithState(_tracker(retention_us), OUTPUT, RECORD, "append", GroupStateTimeout.EventTimeTimeout)
     )

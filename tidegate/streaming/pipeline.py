@@ -38,13 +38,22 @@ class Pipeline:
     def path(self, table: str) -> str:
         return f"{self.base}/{self.namespace.replace(':', '_')}/{table}"
 
-    def history(self, before_batch: int) -> DataFrame:
-        """Applied events of earlier batches."""
+    def watermark(self, number: int) -> int | None:
+        """Newest applied event time before a batch; each batch leaves one row for the next."""
+        if number == 0:
+            return None
+        return self.spark.read.schema("watermark_us bigint").parquet(self.path(f"watermark/batch={number - 1}")).first()[0]
+
+    def history(self, before_batch: int, since_us: int | None = None) -> DataFrame:
+        """Applied events of earlier batches; days before `since_us` are not read."""
         try:
             stored = self.spark.read.schema(_STORED).option("basePath", self.path("history")).parquet(self.path("history"))
         except AnalysisException:
             stored = self.spark.createDataFrame([], _STORED)
-        return stored.filter(F.col("batch") < before_batch)
+        kept = stored.filter(F.col("batch") < before_batch)
+        if since_us is None:
+            return kept
+        return kept.filter((F.col("day") >= since_us // DAY) & (F.col("event_us") >= since_us))
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.path(name))
@@ -57,11 +66,12 @@ class Pipeline:
     def on_events(self, batch: DataFrame, number: int) -> None:
         """Apply one batch of events and compute the features its decisions could see."""
         rows = batch.select(*schemas.TXN_EVENT.fieldNames()).checkpoint()
+        watermark = self.watermark(number)
         if rows.isEmpty():
+            self._leave_watermark(watermark, number)
             return
-        history = self.history(number)
-        watermark = history.agg(F.max("event_us")).first()[0]
-        prior = self._identities(history, rows)
+        live = None if watermark is None else watermark - self.retention_us
+        prior = self._identities(self.history(number, live), rows)
         both = rows.withColumn("_at", F.col("received_us")).unionByName(prior)
         status = apply_events(both, self.retention_us, F.col("_at"), watermark_us=watermark)
         applied = rows.join(status.filter("_at >= 0").select("seq", "status"), "seq").checkpoint()
@@ -69,11 +79,17 @@ class Pipeline:
         refused = applied.filter(F.col("status").isin(*DEAD_LETTER_STATUSES))
         refused.write.mode("overwrite").parquet(self.path(f"refused/batch={number}"))
         if self.with_features:
-            self._features(history, applied).write.mode("overwrite").parquet(self.path(f"features/batch={number}"))
-        # Written last: only a batch that is complete becomes history.
+            self._features(number, applied).write.mode("overwrite").parquet(self.path(f"features/batch={number}"))
+        # Written after the outputs: only a batch that is complete becomes history.
         fresh = applied.filter(F.col("status") == APPLIED).drop("status")
         days = fresh.withColumn("day", F.floor(F.col("event_us") / DAY).cast("bigint"))
         days.write.mode("overwrite").partitionBy("day").parquet(self.path(f"history/batch={number}"))
+        newest = fresh.agg(F.max("event_us")).first()[0]
+        self._leave_watermark(max((w for w in (watermark, newest) if w is not None), default=None), number)
+
+    def _leave_watermark(self, watermark: int | None, number: int) -> None:
+        row = self.spark.createDataFrame([(watermark,)], "watermark_us bigint").coalesce(1)
+        row.write.mode("overwrite").parquet(self.path(f"watermark/batch={number}"))
 
     def _identities(self, history: DataFrame, rows: DataFrame) -> DataFrame:
         """Stored events with an id or source that the batch mentions, ordered before its rows."""
@@ -82,9 +98,8 @@ class Pipeline:
         by_source = history.join(sources, "source_id", "left_semi").select(*rows.columns)
         return by_id.unionByName(by_source).distinct().withColumn("_at", lit(-1))
 
-    def _features(self, history: DataFrame, applied: DataFrame) -> DataFrame:
-        start = applied.agg(F.min("event_us")).first()[0] - self.retention_us
-        recent = history.filter((F.col("day") >= start // DAY) & (F.col("event_us") >= start))
+    def _features(self, number: int, applied: DataFrame) -> DataFrame:
+        recent = self.history(number, applied.agg(F.min("event_us")).first()[0] - self.retention_us)
         customers, terminals = applied.select("customer_id").distinct(), applied.select("terminal_id").distinct()
         mine = recent.join(customers, "customer_id", "left_semi").unionByName(
             recent.join(terminals, "terminal_id", "left_semi").join(customers, "customer_id", "left_anti"),
