@@ -87,14 +87,14 @@ def test_cells_differ_as_text_and_as_numbers(spark):
     assert tuple(compare.same_rows(a, a.union(a.limit(1))).first()) == (0, 1)
 
 
-@pytest.mark.parametrize("cells", [1, 4])
-def test_near_counts_against_brute_force(spark, cells):
+@pytest.mark.parametrize("cells,limit", [(1, 10**6), (4, 10**6), (2, 3)])
+def test_near_counts_against_brute_force(spark, cells, limit):
     rng = np.random.default_rng(7)
     homes = pd.DataFrame(dict(id=range(300), x=rng.integers(0, 60, 300) / 2, y=rng.integers(0, 60, 300) / 2))
     shops = pd.DataFrame(dict(id=range(400), x=rng.integers(0, 60, 400) / 2, y=rng.integers(0, 60, 400) / 2))
     homes.loc[:99, ["x", "y"]] = 10.0
     shops.loc[:149, ["x", "y"]] = [12.0, 10.0]
-    got = spatial.near_counts(spark.createDataFrame(homes), spark.createDataFrame(shops), "id", 2.0, cells).toPandas().set_index("id").near
+    got = spatial.near_counts(spark.createDataFrame(homes), spark.createDataFrame(shops), "id", 2.0, cells, limit, 4).toPandas().set_index("id").near
     for r in homes.itertuples():
         assert got[r.id] == (np.hypot(shops.x - r.x, shops.y - r.y) <= 2.0).sum()
 

@@ -96,7 +96,7 @@ def point_in_time(
     hot_customers = oversized(txns, customer.keys, rows, rows_per_unit)
     hot_terminals = oversized(txns, terminal.keys, rows, rows_per_unit)
     seen = visible(base, [customer, pair], hot=hot_customers, **args)
-    if hot_terminals:
+    if hot_terminals.entities:
         seen = seen.checkpoint()
     seen = visible(seen, [terminal], hot=hot_terminals, **args)
     added = [f for f in FEATURES if f not in txns.columns]

@@ -9,45 +9,58 @@ from tidegate.functions.times import lit
 
 
 def near_counts(
-    points: DataFrame, others: DataFrame, key: str, radius: float, cells_per_radius: int = 4
+    points: DataFrame,
+    others: DataFrame,
+    key: str,
+    radius: float,
+    cells_per_radius: int = 4,
+    pairs_limit: int = 1_000_000,
+    levels: int = 12,
 ) -> DataFrame:
     """How many `others` lie within `radius` of each point, borders included.
 
     Equal coordinates are summed on both sides first. A cell that lies in the circle of every point
-    of another cell is counted as a whole; only cells on the border are compared point by point.
+    of another cell is counted as a whole. Pairs of cells on the border are compared point by point
+    while they are sparse; dense ones are cut into quarters, of which again only the border remains.
     """
-    side = radius / cells_per_radius
-
-    def cell(axis: str) -> Column:
-        return F.floor(F.col(axis) / F.lit(side)).cast("bigint")
-
-    spots = others.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
-    spots = spots.select(cell("x").alias("cx"), cell("y").alias("cy"), F.col("x").alias("ox"), F.col("y").alias("oy"), "n")
-    cells = spots.groupBy("cx", "cy").agg(F.sum("n").alias("n"))
-    centres = points.select("x", "y").distinct().select(cell("x").alias("px"), cell("y").alias("py"), "x", "y")
-    reach = cells_per_radius + 1
-    whole, border = [], []
-    for dx in range(-reach, reach + 1):
-        for dy in range(-reach, reach + 1):
-            # A hair is kept free so that rounding never counts a cell that is not inside.
-            farthest = side * ((abs(dx) + 1) ** 2 + (abs(dy) + 1) ** 2) ** 0.5 * (1 + 1e-9)
-            nearest = side * (max(abs(dx) - 1, 0) ** 2 + max(abs(dy) - 1, 0) ** 2) ** 0.5 * (1 - 1e-9)
-            step = F.struct(lit(dx).alias("dx"), lit(dy).alias("dy"))
-            if farthest <= radius:
-                whole.append(step)
-            elif nearest <= radius:
-                border.append(step)
-    shift = [(F.col("px") + F.col("dx")).alias("cx"), (F.col("py") + F.col("dy")).alias("cy")]
-    parts = []
-    if whole:
-        # Whole cells depend on the cell of the point only.
-        blocks = centres.select("px", "py").distinct().select("px", "py", F.inline(F.array(*whole)))
-        inner = blocks.select("px", "py", *shift).join(cells, ["cx", "cy"]).groupBy("px", "py").agg(F.sum("n").alias("n"))
-        parts.append(centres.join(inner, ["px", "py"]).select("x", "y", "n"))
-    edge = centres.select("x", "y", "px", "py", F.inline(F.array(*border))).select("x", "y", *shift)
-    dx, dy = F.col("x") - F.col("ox"), F.col("y") - F.col("oy")
-    close = edge.join(spots, ["cx", "cy"]).filter(F.sqrt(dx * dx + dy * dy) <= radius)
-    parts.append(close.groupBy("x", "y").agg(F.sum("n").alias("n")))
+    homes = points.select("x", "y").distinct().checkpoint()
+    spots = others.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).checkpoint()
+    side, pairs, parts = radius / cells_per_radius, None, []
+    for level in range(levels):
+        near = homes.select(*_cell("h", side), "x", "y")
+        far = spots.select(*_cell("s", side), F.col("x").alias("ox"), F.col("y").alias("oy"), "n")
+        home_cells = near.groupBy("hx", "hy").agg(F.count(F.lit(1)).alias("homes"))
+        spot_cells = far.groupBy("sx", "sy").agg(F.count(F.lit(1)).alias("spots"), F.sum("n").alias("n"))
+        if pairs is None:
+            reach = [lit(d) for d in range(-cells_per_radius - 1, cells_per_radius + 2)]
+            pairs = home_cells.select("hx", "hy", F.explode(F.array(*reach)).alias("dx")).select(
+                "hx", "hy", (F.col("hx") + F.col("dx")).alias("sx"), F.explode(F.array(*reach)).alias("dy")
+            )
+            pairs = pairs.select("hx", "hy", "sx", (F.col("hy") + F.col("dy")).alias("sy"))
+        else:
+            halves = F.array(lit(0), lit(1))
+            for axis in ("hx", "hy", "sx", "sy"):
+                rest = [c for c in pairs.columns if c != axis]
+                half = pairs.select(*rest, axis, F.explode(halves).alias("_half"))
+                pairs = half.select(*rest, (F.col(axis) * 2 + F.col("_half")).alias(axis))
+        sized = pairs.join(home_cells, ["hx", "hy"]).join(spot_cells, ["sx", "sy"])
+        gx, gy = F.abs(F.col("hx") - F.col("sx")), F.abs(F.col("hy") - F.col("sy"))
+        # A hair is kept free so that rounding never counts or drops a cell that it should not.
+        farthest = F.sqrt((gx + 1) * (gx + 1) + (gy + 1) * (gy + 1)) * (side * (1 + 1e-9))
+        ax, ay = F.greatest(gx - 1, lit(0)), F.greatest(gy - 1, lit(0))
+        nearest = F.sqrt(ax * ax + ay * ay) * (side * (1 - 1e-9))
+        sized = sized.withColumn("whole", farthest <= radius).filter(nearest <= radius).checkpoint()
+        inner = sized.filter("whole").groupBy("hx", "hy").agg(F.sum("n").alias("n"))
+        parts.append(near.join(inner, ["hx", "hy"]).select("x", "y", "n"))
+        dense = F.lit(False) if level == levels - 1 else F.col("homes") * F.col("spots") > pairs_limit
+        border = sized.filter(~F.col("whole") & ~dense).select("hx", "hy", "sx", "sy")
+        dx, dy = F.col("x") - F.col("ox"), F.col("y") - F.col("oy")
+        close = near.join(border, ["hx", "hy"]).join(far, ["sx", "sy"]).filter(F.sqrt(dx * dx + dy * dy) <= radius)
+        parts.append(close.groupBy("x", "y").agg(F.sum("n").alias("n")))
+        pairs = sized.filter(~F.col("whole") & dense).select("hx", "hy", "sx", "sy")
+        if pairs.isEmpty():
+            break
+        side /= 2
     union = parts[0]
     for part in parts[1:]:
         union = union.unionByName(part)
@@ -55,6 +68,11 @@ def near_counts(
     return points.join(counts, ["x", "y"], "left").select(key, F.coalesce("near", lit(0)).alias("near"))
 
 
+def _cell(prefix: str, side: float) -> list[Column]:
+    """Cell numbers; a quarter of a cell has twice its number, or one more."""
+    return [F.floor(F.col(axis) / F.lit(side)).cast("bigint").alias(f"{prefix}{axis}") for axis in ("x", "y")]
+
+
 def in_calendar(rows: DataFrame, calendar: DataFrame, entity: str, day: str, length: int, name: str) -> DataFrame:
     """Flag rows whose entity is listed for one of the days [d, d + length) that hold the row's day.
 

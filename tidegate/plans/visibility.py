@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 
 ROWS_PER_UNIT = 500_000
 MAX_CUTS = 2048
+MAX_LISTED = 1_000_000  # numbers that may be broadcast: hot entities, or their cut points
 NOTHING = -(2**63)
 
 
@@ -171,12 +172,23 @@ def _unit(scans: Sequence[Scan], columns: list[str]):
     return answer
 
 
-def oversized(df: DataFrame, keys: Sequence[str], rows: int, rows_per_unit: int) -> list:
-    """Entities with more rows than one unit, with their counts: at most rows / rows_per_unit."""
+@dataclass(frozen=True)
+class Hot:
+    """The entities with more rows than one unit; there are at most rows / rows_per_unit of them."""
+
+    frame: DataFrame | None = None  # key columns, written once
+    entities: int = 0
+    largest: int = 0
+    rows: int = 0
+
+
+def oversized(df: DataFrame, keys: Sequence[str], rows: int, rows_per_unit: int) -> Hot:
     if rows <= rows_per_unit:
-        return []
+        return Hot()
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    return counts.filter(F.col("_rows") > rows_per_unit).collect()
+    large = counts.filter(F.col("_rows") > rows_per_unit).checkpoint()
+    found = large.agg(F.count(F.lit(1)).alias("n"), F.max("_rows").alias("m"), F.sum("_rows").alias("s")).first()
+    return Hot(large.select(*keys), found["n"], found["m"], found["s"]) if found["n"] else Hot()
 
 
 def visible(
@@ -189,7 +201,7 @@ def visible(
     is_point: Column,
     row_id: str,
     rows: int,
-    hot: list,
+    hot: Hot,
     rows_per_unit: int = ROWS_PER_UNIT,
 ) -> DataFrame:
     """Answer `scans` for every row of `df`; the keys of later scans must contain those of the first.
@@ -206,16 +218,14 @@ def visible(
         F.col(weight).alias("_w"),
         is_point.alias("_point"),
     )
-    if not hot:
+    if not hot.entities:
         return _pack(base, df.columns, scans, rows, rows_per_unit)
     large, cold = _split(base, first.keys, hot)
     # Read by every part of the grid, so it is written once.
     large = large.checkpoint()
-    largest = max(r["_rows"] for r in hot)
-    answered = _by_grid(large, first, largest, len(hot), row_id, rows_per_unit)
+    answered = _by_grid(large, first, hot, row_id, rows_per_unit)
     for scan in scans[1:]:
         inner = large.select(*df.columns)
-        count = sum(r["_rows"] for r in hot)
         nested = visible(
             inner,
             [scan],
@@ -225,8 +235,8 @@ def visible(
             weight,
             is_point,
             row_id,
-            count,
-            oversized(inner, scan.keys, count, rows_per_unit),
+            hot.rows,
+            oversized(inner, scan.keys, hot.rows, rows_per_unit),
             rows_per_unit,
         )
         answered = answered.join(nested.select(row_id, *scan.columns()), row_id)
@@ -235,20 +245,15 @@ def visible(
     return packed.select(*names).unionByName(answered.select(*names))
 
 
-def _split(base: DataFrame, keys: Sequence[str], hot: list) -> tuple[DataFrame, DataFrame]:
-    """Rows of the listed entities, and the others. The list has one row per oversized entity."""
-    spark = base.sparkSession
-    listed = spark.createDataFrame(
-        [tuple(r[k] for k in keys) for r in hot],
-        T.StructType([T.StructField(f"_h{i}", base.schema[k].dataType) for i, k in enumerate(keys)]),
-    )
+def _split(base: DataFrame, keys: Sequence[str], hot: Hot) -> tuple[DataFrame, DataFrame]:
+    """Rows of the listed entities, and the others."""
+    listed = hot.frame.withColumnsRenamed({k: f"_h{i}" for i, k in enumerate(keys)})
+    if hot.entities <= MAX_LISTED:
+        listed = F.broadcast(listed)
     on = F.lit(True)
     for i, key in enumerate(keys):
         on = on & F.col(key).eqNullSafe(F.col(f"_h{i}"))
-    return (
-        base.join(F.broadcast(listed), on, "left_semi"),
-        base.join(F.broadcast(listed), on, "left_anti"),
-    )
+    return base.join(listed, on, "left_semi"), base.join(listed, on, "left_anti")
 
 
 def _pack(
@@ -330,12 +335,10 @@ def _solve(
     return both.groupBy(*keys, *unit).applyInArrow(_grid_unit(keys, kept), schema)
 
 
-def _by_grid(
-    large: DataFrame, scan: Scan, largest: int, entities: int, row_id: str, rows_per_unit: int
-) -> DataFrame:
+def _by_grid(large: DataFrame, scan: Scan, hot: Hot, row_id: str, rows_per_unit: int) -> DataFrame:
     """Entities larger than one unit, answered by the three parts of the grid."""
     keys = list(scan.keys)
-    parts = min(2 * math.ceil(largest / rows_per_unit), MAX_CUTS)
+    parts = min(2 * math.ceil(hot.largest / rows_per_unit), MAX_CUTS)
     shares = [i / parts for i in range(1, parts)]
     u_cuts, u_single = _cuts("_u", shares)
     v_cuts, v_single = _cuts("_v", shares)
@@ -350,7 +353,7 @@ def _by_grid(
         )
         .withColumnsRenamed({k: f"_h{i}" for i, k in enumerate(keys)})
     )
-    if entities * parts <= 1_000_000:
+    if hot.entities * parts <= MAX_LISTED:
         cuts = F.broadcast(cuts)
     on = F.lit(True)
     for i, key in enumerate(keys):
