@@ -16,6 +16,7 @@ def build(app: str = "tidegate", cores: int | str = "*", **conf: str) -> SparkSe
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
