@@ -49,19 +49,45 @@ def _tables(d: dict) -> dict[str, str]:
     fmt, text = d["fmt"], "STRING" if d is SPARK else "VARCHAR"
     hashed = d["sha"].format(_canonical(d, "event_id", "customer_id", "terminal_id", "amount_minor", "event_us"))
     if d is SPARK:
+        repeated = """
+                SELECT seq * 8 + n AS seq, concat(p, event_id) AS event_id, customer_id, terminal_id,
+                       amount_minor + CASE WHEN n = 2 THEN 1 ELSE 0 END AS amount_minor, event_us,
+                       received_us + n * CAST(60000000 AS BIGINT) AS received_us, concat(s, event_id) AS source_id
+                FROM (SELECT *, inline(filter(array(
+                          named_struct('n', 0L, 'p', '', 's', '', 'keep', true),
+                          named_struct('n', 1L, 'p', '', 's', '', 'keep', seq % 37 = 0),
+                          named_struct('n', 2L, 'p', '', 's', '', 'keep', seq % 101 = 0),
+                          named_struct('n', 3L, 'p', '', 's', 'S-', 'keep', seq % 211 = 0),
+                          named_struct('n', 4L, 'p', 'X-', 's', '', 'keep', seq % 307 = 0)), v -> v.keep))
+                      FROM history) v"""
         reasons = (
             "array_compact(array(CASE WHEN txn_id % 29 = 0 THEN 'FEATURES_UNAVAILABLE' END, "
             "CASE WHEN txn_id % 13 = 0 THEN 'PIPELINE_DEGRADED' END, "
             "CASE WHEN txn_id % 13 = 0 THEN 'OUTBOX_BACKLOG_AGED' END, rule))"
         )
-        explode = "SELECT txn_id, explode(sequence(0, CAST(txn_id % 3 AS INT) - 1)) AS k FROM decisions WHERE action = 'review' AND txn_id % 3 > 0"
+        reviewed = "(SELECT *, explode(sequence(0, CAST(txn_id % 3 AS INT) - 1)) AS k FROM decisions WHERE action = 'review' AND txn_id % 3 > 0) d"
     else:
+        repeated = """
+                SELECT seq * 8 AS seq, event_id, customer_id, terminal_id, amount_minor, event_us,
+                       received_us, event_id AS source_id FROM history
+                UNION ALL
+                SELECT seq * 8 + 1, event_id, customer_id, terminal_id, amount_minor, event_us,
+                       received_us + 60000000, event_id FROM history WHERE seq % 37 = 0
+                UNION ALL
+                SELECT seq * 8 + 2, event_id, customer_id, terminal_id, amount_minor + 1, event_us,
+                       received_us + 120000000, event_id FROM history WHERE seq % 101 = 0
+                UNION ALL
+                SELECT seq * 8 + 3, event_id, customer_id, terminal_id, amount_minor, event_us,
+                       received_us + 180000000, concat('S-', event_id) FROM history WHERE seq % 211 = 0
+                UNION ALL
+                SELECT seq * 8 + 4, concat('X-', event_id), customer_id, terminal_id, amount_minor,
+                       event_us, received_us + 240000000, event_id FROM history WHERE seq % 307 = 0"""
         reasons = (
             "list_filter([CASE WHEN txn_id % 29 = 0 THEN 'FEATURES_UNAVAILABLE' END, "
             "CASE WHEN txn_id % 13 = 0 THEN 'PIPELINE_DEGRADED' END, "
             "CASE WHEN txn_id % 13 = 0 THEN 'OUTBOX_BACKLOG_AGED' END, rule], lambda x: x IS NOT NULL)"
         )
-        explode = "SELECT txn_id, unnest(range(0, CAST(txn_id % 3 AS INT))) AS k FROM decisions WHERE action = 'review' AND txn_id % 3 > 0"
+        reviewed = "(SELECT *, unnest(range(0, CAST(txn_id % 3 AS INT))) AS k FROM decisions WHERE action = 'review' AND txn_id % 3 > 0) d"
     dbl = "DOUBLE"
     if d is SPARK:
         le_rows = "explode(array('0.05', '0.1', '0.2', '0.4', '+Inf'))"
@@ -197,22 +223,7 @@ def _tables(d: dict) -> dict[str, str]:
         "deliveries": f"""
             SELECT seq, event_id, customer_id, terminal_id, amount_minor, event_us, received_us,
                    {hashed} AS payload_hash, source_id
-            FROM (
-                SELECT seq * 8 AS seq, event_id, customer_id, terminal_id, amount_minor, event_us,
-                       received_us, event_id AS source_id FROM history
-                UNION ALL
-                SELECT seq * 8 + 1, event_id, customer_id, terminal_id, amount_minor, event_us,
-                       received_us + 60000000, event_id FROM history WHERE seq % 37 = 0
-                UNION ALL
-                SELECT seq * 8 + 2, event_id, customer_id, terminal_id, amount_minor + 1, event_us,
-                       received_us + 120000000, event_id FROM history WHERE seq % 101 = 0
-                UNION ALL
-                SELECT seq * 8 + 3, event_id, customer_id, terminal_id, amount_minor, event_us,
-                       received_us + 180000000, concat('S-', event_id) FROM history WHERE seq % 211 = 0
-                UNION ALL
-                SELECT seq * 8 + 4, concat('X-', event_id), customer_id, terminal_id, amount_minor,
-                       event_us, received_us + 240000000, event_id FROM history WHERE seq % 307 = 0
-            ) u""",
+            FROM ({repeated}) u""",
         # The same, with some events so old that they fall behind the horizon.
         "late_deliveries": """
             SELECT seq, event_id, customer_id, terminal_id, amount_minor,
@@ -248,14 +259,14 @@ def _tables(d: dict) -> dict[str, str]:
                    CASE WHEN txn_id % 10 = 0 THEN 'replay:r1' ELSE 'live' END AS stream
             FROM decisions WHERE txn_id % 61 <> 0""",
         "reviews": f"""
-            SELECT d.txn_id * 2 + e.k AS id, d.transaction_id,
-                   CASE WHEN e.k = 0 THEN 'in_review' ELSE 'closed' END AS status,
-                   CASE WHEN e.k = 1 THEN CASE WHEN d.txn_id % 2 = 0 THEN 'suspected_fraud'
+            SELECT d.txn_id * 2 + d.k AS id, d.transaction_id,
+                   CASE WHEN d.k = 0 THEN 'in_review' ELSE 'closed' END AS status,
+                   CASE WHEN d.k = 1 THEN CASE WHEN d.txn_id % 2 = 0 THEN 'suspected_fraud'
                                                ELSE 'likely_legitimate' END END AS disposition,
                    CAST(NULL AS {text}) AS note,
                    concat('analyst_', CAST(d.txn_id % 7 AS {text})) AS analyst,
-                   d.received_us + (e.k + 1) * CAST(3600000000 AS BIGINT) AS created_us
-            FROM decisions d JOIN ({explode}) e ON d.txn_id = e.txn_id""",
+                   d.received_us + (d.k + 1) * CAST(3600000000 AS BIGINT) AS created_us
+            FROM {reviewed}""",
     }
 
 
