@@ -9,6 +9,7 @@ have reached the sequential result.
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -55,7 +56,10 @@ def apply_events(
         .select("kind", "key")
         .checkpoint()
     )
-    low, high = span.get["low"], span.get["high"]
+    try:
+        low, high = span.get["low"], span.get["high"]
+    except Py4JJavaError:  # nothing is observed when the plan was reduced to no rows
+        low = None
     if low is None:
         return deliveries.withColumn("status", F.lit(None).cast("string"))
     newest = max(high, watermark_us if watermark_us is not None else high)

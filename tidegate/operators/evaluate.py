@@ -123,7 +123,7 @@ def with_top_k(
     Only the rows that share the score at the cut are ordered; the others are compared with it.
     """
     cut = kth_score(curve(rows, rows_per_chunk=rows_per_chunk), budget).first()
-    if cut is None:
+    if cut is None or cut["total"] is None:
         return rows.withColumn(name, F.lit(False))
     needed = math.ceil(budget * cut["total"]) - cut["higher"]
     at_cut = F.col("score") == F.lit(cut["threshold"])
