@@ -84,3 +84,32 @@ def test_one_id_with_a_third_of_all_rows(spark):
     counts = {r["status"]: r["n"] for r in ap.status_counts(got).collect()}
     assert counts == {ap.APPLIED: 401, ap.DUPLICATE: 199}
     assert got.filter(F.col("event_id") == "hot").filter("status = 'applied'").first()["seq"] == 0
+
+
+def test_history_before_the_horizon_can_be_left_out(spark):
+    """Loading [cutoff - retention - one day, cutoff) leaves the state that the whole history leaves."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(300):
+        t = rng.randrange(80 * DAY)
+        rows.append((i, f"e{i}", f"e{i}", "h", t, t + rng.randrange(DAY // 2)))
+    cutoff = 75 * DAY
+    whole = spark.createDataFrame([r for r in rows if r[5] < cutoff], COLUMNS)
+    recent = whole.filter(F.col("received_us") >= cutoff - ap.RETENTION - DAY)
+    kept = [
+        {r["event_id"] for r in ap.retained(ap.apply_events(df).checkpoint(), cutoff).collect()} for df in (whole, recent)
+    ]
+    assert kept[0] == kept[1] and 0 < len(kept[0]) < whole.count()
+
+
+def test_earlier_watermark_is_taken_over(spark):
+    rows = [(0, "a", "a", "h", 5 * DAY, 0), (1, "b", "b", "h", 20 * DAY, 1)]
+    got = ap.apply_events(spark.createDataFrame(rows, COLUMNS), watermark_us=40 * DAY)
+    assert [r["status"] for r in got.orderBy("seq").collect()] == [ap.LATE, ap.APPLIED]
+
+
+def test_metadata_names_the_last_applied_event(spark):
+    rows = [(0, "a", "a", "h", 5, 10), (1, "b", "b", "h", 3, 20), (2, "a", "a", "h", 5, 30)]
+    df = spark.createDataFrame(rows, COLUMNS).withColumn("customer_id", F.lit("C"))
+    got = ap.entity_metadata(ap.apply_events(df), "customer_id").first()
+    assert tuple(got) == ("C", 2, 20, "b")
