@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 
 ROWS_PER_UNIT = 500_000
 MAX_CUTS = 2048
+MAX_DEPTH = 3  # a unit is cut into up to MAX_CUTS parts this many times more
 MAX_LISTED = 1_000_000  # numbers that may be broadcast: hot entities, or their cut points
 NOTHING = -(2**63)
 
@@ -320,10 +321,8 @@ def _grid_unit(keys: Sequence[str], kept: Sequence[str]):
     return answer
 
 
-def _solve(
-    points: DataFrame, queries: DataFrame, keys: Sequence[str], unit: Sequence[str], kept: Sequence[str]
-) -> DataFrame:
-    """Answer each query from the points of its unit; both sides carry `_a` and `_b`."""
+def _answered(points: DataFrame, queries: DataFrame, keys: Sequence[str], kept: Sequence[str]) -> DataFrame:
+    """Answer each query from the points of its unit, named by `keys`."""
     schema = T.StructType(
         [queries.schema[c] for c in [*keys, *kept]]
         + [T.StructField(c, T.LongType()) for c in ("_n", "_s", "_m")]
@@ -332,104 +331,119 @@ def _solve(
     both = points.withColumn("_kind", F.lit(0)).unionByName(
         queries.withColumn("_kind", F.lit(1)), allowMissingColumns=True
     )
-    return both.groupBy(*keys, *unit).applyInArrow(_grid_unit(keys, kept), schema)
+    return both.groupBy(*keys).applyInArrow(_grid_unit(keys, kept), schema)
 
 
-def _by_grid(large: DataFrame, scan: Scan, hot: Hot, row_id: str, rows_per_unit: int) -> DataFrame:
-    """Entities larger than one unit, answered by the three parts of the grid."""
-    keys = list(scan.keys)
-    parts = min(2 * math.ceil(hot.largest / rows_per_unit), MAX_CUTS)
+def _largest(points: DataFrame, queries: DataFrame, keys: Sequence[str]) -> int:
+    sizes = points.select(*keys).unionByName(queries.select(*keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.max("n")).first()[0] or 0
+
+
+def _solve(
+    points: DataFrame,
+    queries: DataFrame,
+    keys: Sequence[str],
+    kept: Sequence[str],
+    largest: int,
+    units: int,
+    bound: int,
+    depth: int = 0,
+) -> DataFrame:
+    """Rows (keys, kept, _n, _s, _m) whose sums and maximum per query are its answer.
+
+    Points carry `_a`, `_b`, `_n`, `_s`, `_m`, queries `_a`, `_b`; a point counts where its `_a` is below
+    and its `_b` at or below the query's. `units` units of at most `largest` rows are cut along both.
+    A unit that MAX_CUTS cuts leave too large is cut again by the same rule.
+    """
+    keys, kept = list(keys), list(kept)
+    wanted = 2 * math.ceil(largest / bound)
+    parts = max(min(wanted, MAX_CUTS), 2)
     shares = [i / parts for i in range(1, parts)]
-    u_cuts, u_single = _cuts("_u", shares)
-    v_cuts, v_single = _cuts("_v", shares)
-    cuts = (
-        large.filter("_point")
-        .groupBy(*keys)
-        .agg(
-            u_cuts.alias("_cut_u"),
-            u_single.alias("_one_u"),
-            v_cuts.alias("_cut_v"),
-            v_single.alias("_one_v"),
-        )
-        .withColumnsRenamed({k: f"_h{i}" for i, k in enumerate(keys)})
+    a_cuts, a_single = _cuts("_a", shares)
+    b_cuts, b_single = _cuts("_b", shares)
+    both = points.select(*keys, "_a", "_b").unionByName(queries.select(*keys, "_a", "_b"))
+    cuts = both.groupBy(*keys).agg(
+        a_cuts.alias("_cut_a"), a_single.alias("_one_a"), b_cuts.alias("_cut_b"), b_single.alias("_one_b")
     )
-    if hot.entities * parts <= MAX_LISTED:
+    cuts = cuts.withColumnsRenamed({k: f"_h{i}" for i, k in enumerate(keys)})
+    if units * parts <= MAX_LISTED:
         cuts = F.broadcast(cuts)
     on = F.lit(True)
     for i, key in enumerate(keys):
         on = on & F.col(key).eqNullSafe(F.col(f"_h{i}"))
-    placed = large.join(cuts, on, "inner")
-
-    points = placed.filter("_point").select(
-        *keys,
-        F.col("_u"),
-        F.col("_v"),
-        F.col("_w"),
-        _chunk_of(F.col("_u"), F.col("_cut_u")).alias("_cu"),
-        _chunk_of(F.col("_v"), F.col("_cut_v")).alias("_cv"),
-        F.array_contains("_one_u", F.col("_u")).alias("_su"),
-        F.array_contains("_one_v", F.col("_v")).alias("_sv"),
-    )
-    slots = F.array(
-        *[F.struct(F.lit(s).alias("slot"), (F.col("_u") - _back(b)).alias("x")) for s, b in scan.offsets]
-    )
-    queries = (
-        placed.select(
-            *keys,
-            F.col(row_id).alias("_row"),
-            "_u", "_y", "_cut_u", "_one_u", "_cut_v", "_one_v",
-            F.explode(slots).alias("_q"),
-        )
-        .select(
-            *keys,
-            "_row",
-            F.col("_q.slot").alias("_slot"),
-            F.col("_q.x").alias("_x"),
-            "_y",
-            _chunk_of(F.col("_q.x"), F.col("_cut_u")).alias("_cu"),
-            _chunk_of(F.col("_y"), F.col("_cut_v")).alias("_cv"),
-            F.array_contains("_one_u", F.col("_q.x")).alias("_su"),
-            F.array_contains("_one_v", F.col("_y")).alias("_sv"),
+
+    def placed(rows: DataFrame) -> DataFrame:
+        return rows.join(cuts, on).select(
+            *rows.columns,
+            _chunk_of(F.col("_a"), F.col("_cut_a")).alias("_ca"),
+            _chunk_of(F.col("_b"), F.col("_cut_b")).alias("_cb"),
+            F.array_contains("_one_a", F.col("_a")).alias("_sa"),
+            F.array_contains("_one_b", F.col("_b")).alias("_sb"),
         )
+
+    def part(p: DataFrame, q: DataFrame, by: list[str], keep: list[str]) -> DataFrame:
+        if wanted <= MAX_CUTS or depth == MAX_DEPTH:
+            return _answered(p, q, by, keep)
+        p, q = p.checkpoint(), q.checkpoint()
+        size = _largest(p, q, by)
+        if size <= bound:
+            return _answered(p, q, by, keep)
+        return _solve(p, q, by, keep, size, units * parts, bound, depth + 1)
+
+    points, queries = placed(points), placed(queries)
+    values, chunk = ["_a", "_b", "_n", "_s", "_m"], f"_c{depth}"
+    # (a) Same chunk along the first time. A chunk of one value has no earlier points inside it.
+    own = part(
+        points.filter("NOT _sa").select(*keys, F.col("_ca").alias(chunk), *values),
+        queries.filter("NOT _sa").select(*keys, F.col("_ca").alias(chunk), *kept, "_a", "_b"),
+        [*keys, chunk],
+        kept,
     )
-    one = F.lit(1).cast("bigint")
-    answer = ["_row", "_slot"]
-    # (a) Same event-time chunk. A chunk of one value has no earlier points inside it.
-    own = _solve(
-        points.filter("NOT _su").select(
-            *keys, "_cu", F.col("_u").alias("_a"), F.col("_v").alias("_b"),
-            one.alias("_n"), F.col("_w").alias("_s"), F.col("_u").alias("_m"),
+    # (b) Earlier chunk along the first time, same chunk along the second.
+    strip = part(
+        points.filter("NOT _sb").select(
+            *keys, F.col("_cb").alias(chunk), F.col("_ca").alias("_a"), *values[1:]
         ),
-        queries.filter("NOT _su").select(
-            *keys, "_cu", *answer, F.col("_x").alias("_a"), F.col("_y").alias("_b")
+        queries.filter("NOT _sb").select(
+            *keys, F.col("_cb").alias(chunk), *kept, F.col("_ca").alias("_a"), "_b"
         ),
-        keys, ["_cu"], answer,
+        [*keys, chunk],
+        kept,
     )
-    # (b) Earlier event-time chunk, same arrival chunk.
-    strip = _solve(
-        points.filter("NOT _sv").select(
-            *keys, "_cv", F.col("_cu").alias("_a"), F.col("_v").alias("_b"),
-            one.alias("_n"), F.col("_w").alias("_s"), F.col("_u").alias("_m"),
-        ),
-        queries.filter("NOT _sv").select(
-            *keys, "_cv", *answer, F.col("_cu").alias("_a"), F.col("_y").alias("_b")
+    # (c) Whole cells: earlier chunk along both times, or the same chunk along the second where that
+    # chunk is one value. Only the distinct cells and corners are compared.
+    upto = F.when(F.col("_sb"), F.col("_cb")).otherwise(F.col("_cb") - 1)
+    corners = queries.select(*keys, *[F.col(k).alias(f"_k{k}") for k in kept], F.col("_ca").alias("_a"), upto.alias("_b"))
+    cells = part(
+        points.groupBy(*keys, F.col("_ca").alias("_a"), F.col("_cb").alias("_b")).agg(
+            F.sum("_n").alias("_n"), F.sum("_s").alias("_s"), F.max("_m").alias("_m")
         ),
-        keys, ["_cv"], answer,
-    )
-    # (c) Whole cells: earlier event-time chunk and earlier arrival chunk, or the same arrival
-    # chunk where that chunk is one value. Only the distinct cells and corners are compared.
-    upto = F.when(F.col("_sv"), F.col("_cv")).otherwise(F.col("_cv") - 1)
-    corners = queries.select(*keys, *answer, F.col("_cu").alias("_a"), upto.alias("_b"))
-    cells = _solve(
-        points.groupBy(*keys, "_cu", "_cv")
-        .agg(F.count(F.lit(1)).alias("_n"), F.sum("_w").alias("_s"), F.max("_u").alias("_m"))
-        .withColumnsRenamed({"_cu": "_a", "_cv": "_b"}),
-        corners.select(*keys, "_a", "_b").distinct(),
-        keys, [], ["_a", "_b"],
+        corners.select(*keys, "_a", "_b").distinct().withColumns({"_qa": F.col("_a"), "_qb": F.col("_b")}),
+        keys,
+        ["_qa", "_qb"],
     )
+    cells = cells.withColumnsRenamed({"_qa": "_a", "_qb": "_b"}).select(*keys, "_a", "_b", "_n", "_s", "_m")
     far = corners.join(cells, [*keys, "_a", "_b"])
-    columns = ["_row", "_slot", "_n", "_s", "_m"]
-    parts_of = own.select(*columns).union(strip.select(*columns)).union(far.select(*columns))
+    columns = [*kept, "_n", "_s", "_m"]
+    far = far.select(*keys, *[F.col(f"_k{k}").alias(k) for k in kept], "_n", "_s", "_m")
+    return own.select(*keys, *columns).unionByName(strip.select(*keys, *columns)).unionByName(far)
+
+
+def _by_grid(large: DataFrame, scan: Scan, hot: Hot, row_id: str, rows_per_unit: int) -> DataFrame:
+    """Entities larger than one unit: every question is a query, and its parts are summed."""
+    keys = list(scan.keys)
+    one = F.lit(1).cast("bigint")
+    points = large.filter("_point").select(
+        *keys, F.col("_u").alias("_a"), F.col("_v").alias("_b"), one.alias("_n"), F.col("_w").alias("_s"), F.col("_u").alias("_m")
+    )
+    slots = [F.struct(F.lit(s).alias("_slot"), (F.col("_u") - _back(b)).alias("_a")) for s, b in scan.offsets]
+    queries = large.select(
+        *keys, F.col(row_id).alias("_row"), F.col("_y").alias("_b"), F.inline(F.array(*slots))
+    )
+    each = 1 + len(scan.offsets)  # a row is a point and a query per slot
+    parts = _solve(
+        points, queries, keys, ["_row", "_slot"], hot.largest * each, hot.entities, rows_per_unit * each
+    )
 
     def slot(name: str, value: str) -> Column:
         return F.when(F.col("_slot") == name, F.col(value))
@@ -439,5 +453,5 @@ def _by_grid(large: DataFrame, scan: Scan, hot: Hot, row_id: str, rows_per_unit:
     ]
     wanted += [F.coalesce(F.sum(slot(s, "_s")), F.lit(0)).alias(f"{scan.prefix}_s_{s}") for s in scan.sums]
     wanted += [F.max(slot(s, "_m")).alias(f"{scan.prefix}_last_{s}") for s in scan.last]
-    totals = parts_of.groupBy("_row").agg(*wanted).withColumnRenamed("_row", row_id)
+    totals = parts.groupBy("_row").agg(*wanted).withColumnRenamed("_row", row_id)
     return large.drop("_u", "_v", "_y", "_w", "_point").join(totals, row_id)
