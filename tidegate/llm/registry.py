@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm import bpe, packing, simhash, tiers
+from tidegate.llm import bpe, mixing, packing, simhash, tiers, toxicity
 from tidegate.llm.common import table
 
 
@@ -15,6 +15,10 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_counts(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -32,5 +36,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("component_id", F.col("component")).drop("component")
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op4_packed_ids, op5_tiered_packing, op7_simhash)}
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mixed(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op4_packed_ids, op5_tiered_packing, op7_simhash, op8_mixing)}
 ORACLES: dict[str, str] = {}
