@@ -98,9 +98,9 @@ def mixed(docs: DataFrame, key: str = "doc_id", source: str = "source", text: st
 
     copies is 0 to `most`. A source's documents share one fraction of copies, target over size; its whole part
     is given to all, the rest is rounded: groups of about `fan` documents of a source are rounded by pivoting,
-    each leaves at most one fractional document, and those are rounded in turn until one is left, which is
-    drawn. The words that a source takes so differ from its target by less than one document, and each
-    document's copies keep their mean. Groups and draws come from hashes of the key: reruns agree.
+    each leaves at most one fractional document, and those are rounded in turn until one is left, which goes
+    to the nearer side. The words that a source takes so differ from its target by half a document at most;
+    all other documents keep their mean. Groups and draws come from hashes of the key: reruns agree.
 
     Null texts have size 0 and take no copies; a null source is a source, the last one; rows that repeat a key
     are rounded one by one; equal sizes are ordered by key; an empty table gives no rows."""
@@ -121,7 +121,7 @@ def mixed(docs: DataFrame, key: str = "doc_id", source: str = "source", text: st
             names = group["key"].tolist()
             left = pivot(names, group["size"].tolist(), parts, seed)
             if left is not None and last:
-                parts[left] = float(draw(seed, "last", group["place"][0], names[left]) < parts[left])
+                parts[left] = float(parts[left] >= 0.5)
                 left = None
             return group.assign(part=parts, open=[i == left for i in range(len(parts))])
 

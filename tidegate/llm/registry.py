@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm import bpe, mixing, packing, simhash, tiers, toxicity
+from tidegate.llm import bpe, chunks, embeddings, mixing, packing, simhash, tiers, toxicity
 from tidegate.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_counts(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.edits(table(spark, sf_dir, "documents"))
+
+
 def op4_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_ids(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -31,6 +35,11 @@ def op5_tiered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiers.pack_documents(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embeddings.near_groups(table(spark, sf_dir, "embeddings"))
+    return found.withColumnRenamed("component", "component_id")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_groups(table(spark, sf_dir, "documents"))
     return found.withColumn("component_id", F.col("component")).drop("component")
@@ -41,5 +50,5 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op4_packed_ids, op5_tiered_packing, op7_simhash, op8_mixing)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_fingerprints, op4_packed_ids, op5_tiered_packing, op6_embeddings, op7_simhash, op8_mixing)}
 ORACLES: dict[str, str] = {}
