@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm import bpe, chunks, embeddings, mixing, packing, simhash, tiers, toxicity
+from tidegate.llm import bpe, chunks, embeddings, mixing, packing, simhash, surrogates, tiers, toxicity
 from tidegate.llm.common import table
 
 
+#: The registered queries' key; a production run brings its own secret.
+SURROGATE_KEY = "registered query"
+
+
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -50,5 +54,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_fingerprints, op4_packed_ids, op5_tiered_packing, op6_embeddings, op7_simhash, op8_mixing)}
+def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = surrogates.replaced(table(spark, sf_dir, "documents"), SURROGATE_KEY)
+    return found.select("doc_id", "n_entities", "kinds", "text")
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_fingerprints, op4_packed_ids, op5_tiered_packing, op6_embeddings, op7_simhash, op8_mixing, op10_surrogates)}
 ORACLES: dict[str, str] = {}
