@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm import bpe, chunks, embeddings, mixing, packing, simhash, surrogates, tiers, toxicity
+from tidegate.llm import bpe, chunks, embeddings, lm, mixing, packing, simhash, surrogates, tiers, toxicity
 from tidegate.llm.common import table
 
 
@@ -54,10 +54,15 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op9_language_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lm.language_scores(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = surrogates.replaced(table(spark, sf_dir, "documents"), SURROGATE_KEY)
     return found.select("doc_id", "n_entities", "kinds", "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_fingerprints, op4_packed_ids, op5_tiered_packing, op6_embeddings, op7_simhash, op8_mixing, op10_surrogates)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_fingerprints, op4_packed_ids, op5_tiered_packing, op6_embeddings, op7_simhash, op8_mixing, op9_language_scores, op10_surrogates)}
 ORACLES: dict[str, str] = {}
