@@ -140,3 +140,18 @@ def mixed(docs: DataFrame, key: str = "doc_id", source: str = "source", text: st
     copies = (F.col("whole") + F.col("part").cast("long")).alias("copies")
     out = done.join(per.select("place", "source_size", "target"), "place")
     return out.select(F.col("key").cast(kind).alias(key), "size", "source_size", "target", copies)
+
+
+def taken(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", **how) -> DataFrame:
+    """The rows that the mix takes, each repeated by its copies, with the same columns.
+
+    Rows are told apart by key and text; rows that repeat both are one with the sum of their copies."""
+    marks = [F.xxhash64(F.lit(i), F.coalesce(F.col(text).cast("string"), F.lit(""))).cast("string") for i in (1, 2)]
+    marked = docs.withColumn("_mark", F.concat_ws("|", F.coalesce(F.col(key).cast("string"), F.lit("null")), *marks))
+    copies = mixed(marked, "_mark", source, text, **how).groupBy("_mark").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
+    copies = written(copies, "copies")
+    chosen = marked.join(copies.where("_copies > 0"), "_mark")
+    once = chosen.where("_rows = 1")
+    if not copies.where("_rows > 1").isEmpty():
+        once = once.union(chosen.where("_rows > 1").dropDuplicates(["_mark"]))
+    return once.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(docs.columns)

@@ -12,6 +12,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -107,13 +108,16 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.clip(self.slope * feature + self.offset, -500, 500)))
 
 
-def fitted(grams: list[str], toxic: np.ndarray, ordinary: np.ndarray) -> Model:
+def fitted(grams: pa.ChunkedArray, toxic: np.ndarray, ordinary: np.ndarray) -> Model:
     """The model of grams (up to ORDER characters, the last one predicted) with their counts in either class."""
-    if not grams:
+    if not len(grams):
         empty = np.zeros(0)
         return Model(empty.astype(np.uint64), empty, empty.astype(np.uint64), empty)
-    length = np.fromiter(map(len, grams), np.int64, len(grams))
-    matrix = np.frombuffer("".join([g.rjust(ORDER, "\0") for g in grams]).encode("utf-32-le"), np.uint32).reshape(-1, ORDER)
+    matrix = np.zeros((len(grams), ORDER), np.uint32)
+    for at in range(0, len(grams), 1 << 15):
+        joined = "".join([g.rjust(ORDER, "\0") for g in grams.slice(at, 1 << 15).to_pylist()])
+        matrix[at : at + (1 << 15)] = np.frombuffer(joined.encode("utf-32-le"), np.uint32).reshape(-1, ORDER)
+    length = (matrix > 0).sum(axis=1)
     columns = [matrix[:, ORDER - 1 - i] for i in range(ORDER)]
     whole, before = suffixes(columns), suffixes(columns[1:])
     kinds = []  # by order: code, context code, continuation count
@@ -210,7 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, key: str = "doc_id"
     texts = docs.select(F.col(key).alias("key"), fold(text).alias("text"))
     sample = written(texts.join(F.broadcast(sample), "key").select("key", "text", "toxic", F.pmod(F.xxhash64(F.lit(7), "key"), F.lit(5)).alias("part")), "sample")
     grams = gram_counts(sample.where("part != 0")).toArrow()
-    model = fitted(grams["gram"].to_pylist(), grams["toxic"].to_numpy().astype(float), grams["ordinary"].to_numpy().astype(float))
+    model = fitted(grams["gram"], grams["toxic"].to_numpy().astype(float), grams["ordinary"].to_numpy().astype(float))
     shown = sample.sparkSession.sparkContext.broadcast(model)
 
     def each(batch: pa.RecordBatch) -> dict:
@@ -256,3 +260,18 @@ def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     model = fit(docs, labels, fifth("key") != 0, key, text, most)
     out = scored(docs, model, key, text)
     return out.select(key, (fifth(key) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "ratio")
+
+
+def score_of(spark, model: Model):
+    """A function of a text column that gives the score, for filters that keep all columns."""
+    shown = spark.sparkContext.broadcast(model)
+
+    def scores(texts: pd.Series) -> pd.Series:
+        held = shown.value
+        if id(held) not in _known:
+            _known.clear()
+        column = texts.fillna("").tolist()
+        parts = [features(column[i : i + 64], held, _known.setdefault(id(held), {}), (held.telling,))[:, 0] for i in range(0, len(column), 64)]
+        return pd.Series(held.probability(np.concatenate([*parts, np.zeros(0)])))
+
+    return F.pandas_udf(scores, "double")
