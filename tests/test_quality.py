@@ -108,20 +108,19 @@ def test_calendar_flags_do_not_multiply_rows(spark):
 
 
 TEXTS = [
-    ("see /home/alice/x", {"home_path"}),
-    ("see /home/runner/x and /Users/shared/y", set()),
-    ("C:\\Users\\bob\\file", {"home_path"}),
-    ("mail bob@corp.org now", {"email"}),
-    ("mail bob@example.com or a@localhost", set()),
-    ("1+bob@users.noreply.github.com", {"github_noreply"}),
-    ("-----BEGIN RSA PRIVATE KEY-----", {"private_key"}),
-    ("ghp_" + "a" * 30, {"token"}),
-    ("host 10.1.2.3 and 8.8.8.8", {"private_ip"}),
-    ("8.8.8.8", set()),
-    ("ssh mac.local", {"host_name"}),
-    ("API_KEY=abcdef123", {"credential"}),
-    ("API_KEY=ci-only", set()),
-    ("password = 'hunter22'", {"credential"}),
+    ("logs are below /home/mira.k/out", {"home_path"}),
+    ("open D:\\Users\\tomas\\notes.txt", {"home_path"}),
+    ("a route such as api/home/page", set()),
+    ("write to mira_k@post.invalid.net today", {"email"}),
+    ("write to mira_k@mail.example.net today", set()),
+    ("-----BEGIN EC PRIVATE KEY-----", {"private_key"}),
+    ("key AKIA" + "Q7" * 8 + " was used", {"token"}),
+    ("ghs_" + "b4" * 18, {"token"}),
+    ("bound to 172.20.0.9, not 172.40.0.9", {"private_ip"}),
+    ("172.40.0.9 and 9.9.9.9", set()),
+    ("reach printer-2.lan", {"host_name"}),
+    ("DB_PASSWORD=qwertz-77", {"credential"}),
+    ("password: short", set()),
     ("Secret Person here", {"personal_term"}),
 ]
 

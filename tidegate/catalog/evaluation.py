@@ -96,20 +96,31 @@ def win4(spark, folder):
 _K = f"ceil(CAST({BUDGET} AS DOUBLE) * (SELECT count(*) FROM scored))"
 
 
+# One row in thirteen has no score: it is kept, never flagged, and no row of the budget.
+_SOME = "SELECT * REPLACE (CASE WHEN position % 13 = 0 THEN NULL ELSE score END AS score) FROM scored"
+_K_SOME = f"ceil(CAST({BUDGET} AS DOUBLE) * (SELECT count(score) FROM partly))"
+
+
 def _top_sql(order: str) -> dict[str, str]:
-    return {"flags": f"SELECT *, row_number() OVER (ORDER BY score DESC, {order}) <= {_K} AS flagged FROM scored"}
+    place = f"row_number() OVER (ORDER BY score DESC NULLS LAST, {order})"
+    return {"partly": _SOME, "flags": f"SELECT *, score IS NOT NULL AND {place} <= {_K_SOME} AS flagged FROM partly"}
+
+
+def _some(spark, folder):
+    score = F.when(F.col("position") % 13 != 0, F.col("score"))
+    return load(spark, folder, "scored").withColumn("score", score)
 
 
 @query("top1_review_budget", "SELECT position, score FROM flags WHERE flagged", ("scored",), _top_sql("position"))
 def top1(spark, folder):
     """TOP-1: the ceil(budget * rows) highest scores, ties in input order."""
-    return ev.with_top_k(load(spark, folder, "scored"), BUDGET, ["position"]).filter("flagged").select("position", "score")
+    return ev.with_top_k(_some(spark, folder), BUDGET, ["position"]).filter("flagged").select("position", "score")
 
 
 @query("top2_budget_by_decision_time", "SELECT position, score FROM flags WHERE flagged", ("scored",), _top_sql("decision_us, position"))
 def top2(spark, folder):
     """TOP-2: the same with ties by decision time."""
-    rows = ev.with_top_k(load(spark, folder, "scored"), BUDGET, ["decision_us", "position"])
+    rows = ev.with_top_k(_some(spark, folder), BUDGET, ["decision_us", "position"])
     return rows.filter("flagged").select("position", "score")
 
 
@@ -130,10 +141,10 @@ def met3(spark, folder):
     return _r(ev.flagged_metrics(load(spark, folder, "scored"), F.col("score") >= REVIEW, scenarios=ev.SCENARIOS))
 
 
-@query("met5_budget_metrics", f"SELECT CAST({_K} AS BIGINT) AS reviewed, {flags_sql('flagged', scenarios=True)} FROM flags", ("scored",), _top_sql("position"))
+@query("met5_budget_metrics", f"SELECT CAST({_K_SOME} AS BIGINT) AS reviewed, {flags_sql('flagged', scenarios=True)} FROM flags", ("scored",), _top_sql("position"))
 def met5(spark, folder):
     """MET-5: the same metrics for the review budget."""
-    rows = ev.with_top_k(load(spark, folder, "scored"), BUDGET, ["position"])
+    rows = ev.with_top_k(_some(spark, folder), BUDGET, ["position"])
     out = rows.agg(F.count_if("flagged").alias("reviewed"), *ev.flagged_columns(F.col("flagged"), ev.SCENARIOS))
     return _r(out)
 

@@ -93,7 +93,9 @@ def join_reasons(*groups: Column) -> Column:
 def label_map(sample: Column) -> Column:
     """Labels of a metric sample written as `name{key="value",...}`."""
     inner = F.regexp_extract(sample, r"\{(.*)\}", 1)
-    return F.str_to_map(F.regexp_replace(inner, '"', ""), F.lit(","), F.lit("="))
+    pair = r'([A-Za-z_][A-Za-z0-9_]*)="((?:[^"\\]|\\.)*)"'
+    names, values = (F.regexp_extract_all(inner, F.lit(pair), F.lit(i)) for i in (1, 2))
+    return F.map_from_arrays(names, F.transform(values, lambda v: F.regexp_replace(v, r'\\(["\\])', "$1")))
 
 
 def metric_name(sample: Column) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidegate.functions.scalars import ratio
 from tidegate.functions.times import lit
-from tidegate.plans.ordered import ROWS_PER_CHUNK, chunked, row_numbers, running
+from tidegate.plans.ordered import ROWS_PER_CHUNK, chunked, per_key, row_numbers, running
 
 SCENARIOS = ("s1", "s2", "s3")
 
@@ -29,11 +29,15 @@ def curve(
     rows_per_chunk: int = ROWS_PER_CHUNK,
     weight: Column | None = None,
 ) -> DataFrame:
-    """Per distinct score, highest first: rows `n`, positives `p`, and their running sums."""
+    """Per distinct score, highest first: rows `n`, positives `p`, and their running sums.
+
+    Rows without a score are not part of a curve: they have no place in it and don't count as rows.
+    """
     hit = F.col("is_fraud") if positive is None else positive
     each = lit(1) if weight is None else weight
     grouped = (
-        rows.groupBy(*keys, F.col(score).alias("score"))
+        rows.filter(F.col(score).isNotNull())
+        .groupBy(*keys, F.col(score).alias("score"))
         .agg(F.sum(each).alias("n"), F.sum(F.when(hit, each).otherwise(lit(0))).alias("p"))
         .checkpoint()
     )
@@ -74,9 +78,9 @@ def budget_size(budget: float, total: Column) -> Column:
 
 def kth_score(curved: DataFrame, budget: float, keys: Sequence[str] = ()) -> DataFrame:
     """Per key: k, the k-th highest score, and how many rows score higher than it."""
-    totals = curved.groupBy(*keys, lit(0).alias("_one")).agg(F.max("cum_n").alias("total"))
+    totals = curved.groupBy(*keys).agg(F.max("cum_n").alias("total"))
     sized = totals.withColumn("k", F.greatest(budget_size(budget, F.col("total")), lit(1)))
-    joined = curved.withColumn("_one", lit(0)).join(sized, [*keys, "_one"])
+    joined = per_key(curved, sized, keys)
     reached = joined.filter(F.col("cum_n") >= F.col("k"))
     return reached.groupBy(*keys).agg(
         F.max("total").alias("total"),
@@ -99,11 +103,11 @@ def choose_thresholds(
     Only boundaries between distinct scores are cut points, which the grouped curve gives by itself.
     """
     curved = curve(rows, keys, **options)
-    review = kth_score(curved, budget, keys).withColumn("_one", lit(0))
+    review = kth_score(curved, budget, keys)
     precise = F.col("cum_p").cast("double") / F.col("cum_n").cast("double") >= F.lit(float(min_precision))
     enough = F.col("cum_n") >= min_count
     above = F.col("score") >= F.col("threshold")
-    joined = curved.withColumn("_one", lit(0)).join(review, [*keys, "_one"])
+    joined = per_key(curved, review, keys)
     return joined.groupBy(*keys).agg(
         F.max("threshold").alias("review_threshold"),
         F.min(F.when(precise & enough & above, F.col("score"))).alias("decline_threshold"),
@@ -120,14 +124,15 @@ def with_top_k(
 ) -> DataFrame:
     """Flag the ceil(budget * rows) highest scores; equal scores go by the ascending `ties`.
 
+    Rows without a score are kept, are never flagged and don't count as rows of the budget.
     Only the rows that share the score at the cut are ordered; the others are compared with it.
     """
     cut = kth_score(curve(rows, rows_per_chunk=rows_per_chunk), budget).first()
     if cut is None or cut["total"] is None:
         return rows.withColumn(name, F.lit(False))
     needed = math.ceil(budget * cut["total"]) - cut["higher"]
-    at_cut = F.col("score") == F.lit(cut["threshold"])
-    others = rows.filter(~at_cut).withColumn(name, F.col("score") > F.lit(cut["threshold"]))
+    at_cut = F.col("score").eqNullSafe(F.lit(cut["threshold"]))
+    others = rows.filter(~at_cut).withColumn(name, F.coalesce(F.col("score") > F.lit(cut["threshold"]), F.lit(False)))
     ranked = row_numbers(
         rows.filter(at_cut), [F.col(c) for c in ties], name="_rank", rows_per_chunk=rows_per_chunk
     )
@@ -288,25 +293,22 @@ def bootstrap(
     multiplicities: DataFrame,
     flag: Column,
     rows_per_chunk: int = ROWS_PER_CHUNK,
-    max_cells: int = 4_000_000,
+    per_block: int = 256,
 ) -> DataFrame:
     """Metrics of each replicate when whole days are drawn with replacement.
 
     `multiplicities` has (replicate, day, times). Rows need `day`, `score`, `is_fraud`. The rows are
-    summed per (score, day) once; a chunk of that order is multiplied with the draws of all replicates
-    inside its task, starting from the day totals of the chunks before it. No row is copied per replicate.
+    summed per (score, day) once; a chunk of that order is multiplied with the draws of `per_block`
+    replicates inside a task, starting from the day totals of the chunks before it. The draws stay in a
+    table with one row per block and day, so neither replicates nor days are limited; rows are copied
+    per block and not per replicate.
     """
-    # Bounded by the caller's choice of replicates and the days of the window; checked before it is read.
-    summed = multiplicities.groupBy("replicate", "day").agg(F.sum("times").alias("times")).checkpoint()
-    if summed.count() > max_cells:
-        raise ValueError("too many replicate-days for one task; draw fewer replicates")
-    table = summed.collect()
-    days = sorted({r["day"] for r in table})
-    replicates = sorted({r["replicate"] for r in table})
-    times = np.zeros((len(days), len(replicates)), np.int64)
-    place_d, place_r = {d: i for i, d in enumerate(days)}, {r: i for i, r in enumerate(replicates)}
-    for r in table:
-        times[place_d[r["day"]], place_r[r["replicate"]]] = r["times"]
+    summed = multiplicities.groupBy("replicate", "day").agg(F.sum("times").alias("times"))
+    blocks = summed.select("replicate", "day", "times", F.pmod(F.xxhash64("replicate"), F.lit(0x7FFFFFFF)).alias("h")).checkpoint()
+    count = blocks.select(F.count_distinct("replicate")).first()[0]
+    numbers = max(1, math.ceil(count / per_block))
+    blocks = blocks.withColumn("block", F.pmod(F.col("h").cast("bigint"), lit(numbers)))
+    draws = blocks.groupBy("block", "day").agg(F.collect_list(F.struct("replicate", "times")).alias("draws")).checkpoint()
 
     cells = rows.groupBy("score", "day").agg(
         F.count(F.lit(1)).alias("n"),
@@ -317,8 +319,10 @@ def bootstrap(
     chunks = chunked(cells, [-F.col("score")], rows_per_chunk)
     per_day = chunks.df.groupBy(chunks.column, "day").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
     before = Window.partitionBy("day").orderBy(chunks.column).rowsBetween(Window.unboundedPreceding, 0)
+    # One row per chunk and drawn day: as many as the clock and the chunks have, not the rows.
+    all_days = draws.agg(F.collect_set("day").alias("days")).scalar()
     grid = (
-        chunks.df.select(chunks.column).distinct().withColumn("day", F.explode(F.lit(days)))
+        chunks.df.select(chunks.column).distinct().withColumn("day", F.explode(all_days))
         .join(per_day, [chunks.column, "day"], "left")
         .select(
             chunks.column,
@@ -328,10 +332,21 @@ def bootstrap(
         )
         .withColumn("kind", lit(0))
     )
+    places = chunks.df.select(chunks.column).distinct().withColumn("day", F.explode(all_days))
+    drawn_rows = places.join(draws, "day").withColumn("kind", lit(2))
     both = chunks.df.withColumn("kind", lit(1)).unionByName(grid, allowMissingColumns=True)
+    both = both.withColumn("block", F.explode(F.sequence(lit(0), lit(numbers - 1))))
+    both = both.unionByName(drawn_rows, allowMissingColumns=True)
 
     def partial(part: pa.Table) -> pa.Table:
         pdf = part.to_pandas()
+        drawn_days = pdf[pdf["kind"] == 2]
+        replicates = sorted({d["replicate"] for draws in drawn_days["draws"] for d in draws})
+        place_r, place_d = {r: i for i, r in enumerate(replicates)}, {d: i for i, d in enumerate(sorted(set(pdf["day"])))}
+        times = np.zeros((len(place_d), len(replicates)), np.int64)
+        for day, draws in zip(drawn_days["day"], drawn_days["draws"], strict=True):
+            for d in draws:
+                times[place_d[day], place_r[d["replicate"]]] = d["times"]
         start = pdf[pdf["kind"] == 0]
         body = pdf[pdf["kind"] == 1].sort_values("score", ascending=False)
         score = body["score"].to_numpy()
@@ -341,8 +356,7 @@ def bootstrap(
         n0, p0 = start["n"].to_numpy(np.int64), start["p"].to_numpy(np.int64)
         counts = {c: body[c].to_numpy(np.int64) for c in ("n", "p", "f", "fp")}
         out = {c: [] for c in ("gained", "n", "p", "f", "fp")}
-        blocks = math.ceil(score.size * len(replicates) / max_cells)
-        for block in np.array_split(np.arange(len(replicates)), max(blocks, 1)):
+        for block in np.array_split(np.arange(len(replicates)), max(math.ceil(score.size * len(replicates) / 4_000_000), 1)):
             drawn, drawn0 = times[day][:, block], times[day0][:, block]
             n = np.add.reduceat(counts["n"][:, None] * drawn, first, 0)
             p = np.add.reduceat(counts["p"][:, None] * drawn, first, 0)
@@ -356,7 +370,7 @@ def bootstrap(
         return pa.table({"replicate": pa.array(replicates, pa.int64()), **joined})
 
     schema = "replicate bigint, gained double, n bigint, p bigint, f bigint, fp bigint"
-    parts = both.groupBy(chunks.column).applyInArrow(partial, schema)
+    parts = both.groupBy(chunks.column, "block").applyInArrow(partial, schema)
     p, n, f, fp = F.sum("p"), F.sum("n"), F.sum("f"), F.sum("fp")
     return parts.groupBy("replicate").agg(
         F.when((p > 0) & (p < n), F.sum("gained") / p.cast("double")).otherwise(F.lit(0.0)).alias("average_precision"),

@@ -91,9 +91,10 @@ def score_grid(
 ) -> DataFrame:
     """Scored evaluation rows of every configuration, as (family, config, score) rows.
 
-    The grid is a short list of settings; each fit is distributed over the cached training rows.
+    The grid is a short list of settings; each fit is distributed over the training rows, which are
+    computed once.
     """
-    train = train.cache()
+    train = train.checkpoint()
     prep = fit_preprocessing(train)  # the same for every configuration
     out = None
     for family, params in grid:

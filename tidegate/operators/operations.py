@@ -67,13 +67,17 @@ def matching(
 
 
 def page(rows: DataFrame, keys: Sequence[str], after: Sequence[object] | None = None, limit: int = 50) -> DataFrame:
-    """The next rows in descending order of `keys`, one more than asked for to show that there are more."""
+    """The next rows in descending order of `keys`, one more than asked for to show that there are more.
+
+    A page has 1 to MAX_PAGE rows; another limit is refused.
+    """
+    if not 1 <= limit <= MAX_PAGE:
+        raise ValueError(f"limit must be from 1 to {MAX_PAGE}")
     out = rows
     if after is not None:
         mark = F.struct(*[F.lit(v).cast(rows.schema[k].dataType).alias(k) for k, v in zip(keys, after, strict=True)])
         out = out.filter(F.struct(*keys) < mark)
-    size = min(max(limit, 1), MAX_PAGE) + 1
-    return out.orderBy(*[F.col(k).desc() for k in keys]).limit(size)
+    return out.orderBy(*[F.col(k).desc() for k in keys]).limit(limit + 1)
 
 
 def latest_reviews(reviews: DataFrame) -> DataFrame:
@@ -227,6 +231,6 @@ def even_sample(rows: DataFrame, rank: str, size: int, total: Column) -> DataFra
     step = (total - 1).cast("double") / F.lit(float(max(size - 1, 1)))
     at = (F.col(rank) - 1).cast("double")
     # The first sample number whose position reaches this row, as the positions are cut to whole rows.
-    number = F.ceil(at / step)
+    number = F.when(step > 0, F.ceil(at / step)).otherwise(F.lit(0))  # one row is its own sample
     hit = lambda i: (i >= 0) & (i <= size - 1) & (F.floor(i.cast("double") * step) == at)
     return rows.filter(hit(number) | hit(number - 1) | hit(number + 1))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_CHUNK = 2_000_000
-MAX_CHUNKS = 4096
+MAX_CHUNKS = 4096  # of one cut; what is still too large is cut again
 _STRIDE = 2 * MAX_CHUNKS + 4  # bucket numbers of one order column stay below this
 
 
@@ -53,9 +53,11 @@ def chunked(
 ) -> Chunked:
     """Cut `df` along ascending numeric `keys`; a value heavier than a chunk is cut by the next key.
 
-    Only the cut points reach the driver: at most MAX_CHUNKS numbers per key column.
+    Only the cut points reach the driver: at most MAX_CHUNKS numbers per key column. Where that many
+    chunks are not enough, each is cut again until it fits, by cut points that stay in a table.
     """
-    parts = min(math.ceil(df.count() / rows_per_chunk), MAX_CHUNKS)
+    wanted = math.ceil(df.count() / rows_per_chunk)
+    parts = min(wanted, MAX_CHUNKS)
     if parts <= 1:
         return Chunked(df.withColumn(column, F.lit(0).cast("decimal(38,0)")), column, True)
     out = df.withColumn(column, F.lit(0).cast("decimal(38,0)"))
@@ -75,7 +77,38 @@ def chunked(
         if not heavy:
             break
         in_heavy = in_heavy & F.col(bucket).isin([float(b) for b in heavy])
-    return Chunked(out.drop(*names), column, False)
+    out = out.drop(*names)
+    if wanted > MAX_CHUNKS:
+        out = _again(out, keys, rows_per_chunk, column)
+    return Chunked(out, column, False)
+
+
+def _again(df: DataFrame, keys: Sequence[Column], rows_per_chunk: int, column: str) -> DataFrame:
+    """Cut chunks that are too large, by the first key that varies in them, until none is left.
+
+    A row's new number counts the cut points below it and those up to it, so that a heavy value gets a
+    chunk of its own, which the next round cuts by the next key.
+    """
+    values = [key.cast("double") for key in keys]
+    while True:
+        varies = [F.min(v) < F.max(v) for v in values]
+        first = F.coalesce(*[F.when(v, F.lit(i + 1)) for i, v in enumerate(varies)])
+        sizes = df.groupBy(column).agg(F.count(F.lit(1)).alias("_n"), first.alias("_key"))
+        large = sizes.filter((F.col("_n") > 2 * rows_per_chunk) & F.col("_key").isNotNull()).checkpoint()
+        most = large.agg(F.max("_n")).first()[0]
+        if most is None:
+            return df
+        parts = min(max(math.ceil(most / rows_per_chunk), 2), MAX_CHUNKS)
+        value = F.element_at(F.array(*values), F.col("_key"))
+        held = df.join(large.select(column, "_key"), column).select(column, value.alias("_v"))
+        cuts = held.groupBy(column).agg(
+            F.array_distinct(F.percentile_approx("_v", [i / parts for i in range(1, parts)], 10 * parts)).alias("_cuts")
+        )
+        cuts = cuts.join(large.select(column, "_key"), column).checkpoint()
+        place = F.size(F.filter("_cuts", lambda c: c < value)) + F.size(F.filter("_cuts", lambda c: c <= value))
+        step = F.coalesce(F.when(F.col("_key").isNotNull(), place), F.lit(0))
+        number = (F.col(column) * F.lit(_STRIDE) + step).cast("decimal(38,0)")
+        df = df.join(cuts, column, "left").withColumn(column, number).drop("_cuts", "_key")
 
 
 _COMBINE = {"sum": F.sum, "max": F.max, "min": F.min}
@@ -168,6 +201,14 @@ def last_before(
     )
 
 
+def per_key(rows: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows with the columns of a table that has one row per key, or one row where there are no keys."""
+    if keys:
+        return rows.join(table, list(keys))
+    only = table.select(F.struct("*")).scalar()
+    return rows.withColumn("_only", only).select("*", *[F.col(f"_only.{c}").alias(c) for c in table.columns]).drop("_only")
+
+
 def row_numbers(
     df: DataFrame,
     keys: Sequence[Column],

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegate.plans.ordered import ROWS_PER_CHUNK, chunked, running
+from tidegate.plans.ordered import ROWS_PER_CHUNK, chunked, per_key, running
 
 
 def exact_percentiles(
@@ -27,8 +27,8 @@ def exact_percentiles(
     )
     chunks = chunked(grouped, [F.col("_v")], rows_per_chunk)
     counted = running(chunks, [F.col("_v")], {"_upto": ("sum", F.col("_n"))}, keys=keys)
-    totals = grouped.groupBy(*keys, F.lit(0).alias("_one")).agg(F.sum("_n").alias("_total"))
-    joined = counted.withColumn("_one", F.lit(0)).join(totals, [*keys, "_one"])
+    totals = grouped.groupBy(*keys).agg(F.sum("_n").alias("_total"))
+    joined = per_key(counted, totals, keys)
     out = [F.max("_total").alias("rows")]
     for i, share in enumerate(shares):
         at = F.lit(float(share)) * (F.col("_total") - 1).cast("double")

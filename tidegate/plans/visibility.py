@@ -26,7 +26,6 @@ from pyspark.sql import types as T
 
 ROWS_PER_UNIT = 500_000
 MAX_CUTS = 2048
-MAX_DEPTH = 3  # a unit is cut into up to MAX_CUTS parts this many times more
 MAX_LISTED = 1_000_000  # numbers that may be broadcast: hot entities, or their cut points
 NOTHING = -(2**63)
 
@@ -264,8 +263,7 @@ def _pack(
     workers = base.sparkSession.sparkContext.defaultParallelism
     units = max(math.ceil(rows / rows_per_unit), min(2 * workers, math.ceil(rows / 2000)), 1)
     base = base.withColumn("_unit", F.pmod(F.xxhash64(*scans[0].keys), F.lit(units)))
-    if units <= MAX_CUTS:
-        base = base.repartition(units, "_unit")
+    base = base.repartition(units, "_unit")
     columns = [*kept, *[c for s in scans for c in s.columns()]]
     schema = T.StructType(
         [base.schema[c] for c in kept]
@@ -381,8 +379,9 @@ def _solve(
             F.array_contains("_one_b", F.col("_b")).alias("_sb"),
         )
 
-    def part(p: DataFrame, q: DataFrame, by: list[str], keep: list[str]) -> DataFrame:
-        if wanted <= MAX_CUTS or depth == MAX_DEPTH:
+    def part(p: DataFrame, q: DataFrame, by: list[str], keep: list[str], most: int = wanted) -> DataFrame:
+        # Cut points are exact to a tenth of a part, so up to MAX_CUTS parts fit without being counted.
+        if most <= MAX_CUTS:
             return _answered(p, q, by, keep)
         p, q = p.checkpoint(), q.checkpoint()
         size = _largest(p, q, by)
@@ -421,6 +420,7 @@ def _solve(
         corners.select(*keys, "_a", "_b").distinct().withColumns({"_qa": F.col("_a"), "_qb": F.col("_b")}),
         keys,
         ["_qa", "_qb"],
+        wanted if 4 * wanted * wanted <= bound else MAX_CUTS + 1,  # cells of a unit, not of a chunk
     )
     cells = cells.withColumnsRenamed({"_qa": "_a", "_qb": "_b"}).select(*keys, "_a", "_b", "_n", "_s", "_m")
     far = corners.join(cells, [*keys, "_a", "_b"])
