@@ -100,3 +100,20 @@ def test_framed_slices_hold_whole_frames(spark):
         assert len(mine) == 1
         inside = set(rows[rows["_slice"] == mine["_slice"].iloc[0]].t)
         assert {x for x in range(0, 700, 7) if t - 50 <= x <= t} <= inside
+
+
+def test_chunks_beyond_one_cut_are_cut_again(spark, monkeypatch):
+    from tidegate.plans import ordered
+
+    monkeypatch.setattr(ordered, "MAX_CHUNKS", 3)
+    rng = np.random.default_rng(5)
+    values = np.where(rng.random(400) < 0.4, 7, rng.integers(0, 60, 400))
+    rows = spark.createDataFrame(pd.DataFrame(dict(position=range(400), v=values)))
+    chunks = ordered.chunked(rows, [F.col("v"), F.col("position")], 10)
+    sizes = chunks.df.groupBy(chunks.column).count().toPandas()
+    assert sizes["count"].max() <= 20
+    got = ordered.row_numbers(rows, [F.col("v"), F.col("position")], rows_per_chunk=10).toPandas().sort_values("position")
+    order = np.lexsort((np.arange(400), values))
+    want = np.empty(400, int)
+    want[order] = np.arange(1, 401)
+    assert (got["rank"].to_numpy() == want).all()

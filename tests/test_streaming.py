@@ -72,3 +72,27 @@ def test_messages_go_to_history_or_to_dead_letters(spark):
     # Nothing was read again by the second run, and the original bytes were kept.
     kept = pipeline.table("dead_letters").filter("reason = 'UNSUPPORTED_CURRENCY'").select(F.col("value").cast("string")).collect()
     assert {json.loads(r[0])["currency"] for r in kept} == {"EUR"}
+
+
+def test_the_horizon_is_that_of_the_namespace(spark):
+    """A batch of other customers has moved the watermark: an older event's window may be trimmed."""
+    pipeline = Pipeline(spark, scratch(spark, "w"))
+    day = 86_400_000_000
+    ahead = [(i, f"a{i}", f"a{i}", "h", 40 * day + i, 40 * day + i) for i in range(3)]
+    behind = [(10, "other", "other", "h", 35 * day, 40 * day + 10)]
+    pipeline.on_events(events(spark, ahead), 0)
+    pipeline.on_events(events(spark, behind).withColumn("customer_id", F.lit("B")), 1)
+    got = {r["seq"]: r["history_complete"] for r in pipeline.table("features").collect()}
+    assert got == {0: True, 1: True, 2: True, 10: False}
+
+
+def test_offsets_of_two_partitions_are_two_messages(spark):
+    pipeline = Pipeline(spark, scratch(spark, "p2"), with_features=False)
+    value, headers = CASES[0][1], CASES[0][2]
+    ids = [("buyer-5", 0, json.dumps({**json.loads(value), "event_id": f"11111111-2222-3333-4444-55555555555{p}"}).encode()) for p in range(2)]
+    rows = [(k.encode(), v, [h for h in headers if h[0] != "event_id"], "t", p, o) for p, (k, o, v) in enumerate(ids)]
+    pipeline.on_messages(spark.createDataFrame(rows, schemas.MESSAGE), 0)
+    statuses = sorted(r["status"] for r in pipeline.table("statuses").collect())
+    assert statuses == ["applied", "event_id_conflict"]
+    kept = pipeline.table("dead_letters").collect()
+    assert [(r["reason"], bytes(r["value"]) in {v for *_, v in ids}) for r in kept] == [("event_id_conflict", True)]

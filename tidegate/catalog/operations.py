@@ -599,17 +599,3 @@ def pred4_reviews(spark, folder):
         F.when(i % 17 == 0, F.repeat(F.lit("x"), F.lit(2001))).otherwise(F.col("note")),
     )
     return rows.select("id", problem.alias("problem"))
-
-
-@query(
-    "str7_replay_isolation",
-    """SELECT stream, count(*) AS n, min(created_us) AS first_us, max(created_us) AS last_us FROM outbox GROUP BY stream""",
-    ("outbox",),
-)
-def str7(spark, folder):
-    """STR-7: the namespace is part of every key, so a replay has its own state."""
-    return load(spark, folder, "outbox").groupBy("stream").agg(
-        F.count(F.lit(1)).alias("n"), F.min("created_us").alias("first_us"), F.max("created_us").alias("last_us")
-    )
-
-

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidegate import schemas
 from tidegate.catalog.base import query
 from tidegate.catalog.pit import _STATUS, feature_sql
+from tidegate.catalog.state import _LATE
 from tidegate.fixtures import load
 from tidegate.operators import messages as msg
 from tidegate.operators.features import FEATURES
@@ -35,14 +36,14 @@ def _messages(spark, folder):
         headers.alias("headers"),
         F.lit("decision.made").alias("topic"),
         F.pmod("txn_id", F.lit(6)).cast("int").alias("partition"),
-        F.col("txn_id").alias("offset"),
+        F.expr("txn_id div 6").alias("offset"),  # offsets start anew in each partition
     )
 
 
-@query("str1_parse_messages", f"SELECT txn_id AS \"offset\", {_REASON} AS reason FROM messages", ("messages",))
+@query("str1_parse_messages", f"SELECT CAST(txn_id % 6 AS INTEGER) AS partition, txn_id // 6 AS \"offset\", {_REASON} AS reason FROM messages", ("messages",))
 def str1(spark, folder):
     """STR-1: every message with the reason to refuse it, if there is one."""
-    return msg.parse(_messages(spark, folder)).select("offset", "reason")
+    return msg.parse(_messages(spark, folder)).select("partition", "offset", "reason")
 
 
 @query(
@@ -52,7 +53,45 @@ def str1(spark, folder):
 )
 def str1_valid(spark, folder):
     """STR-1: valid messages as feature history."""
-    return msg.to_history(msg.parse(_messages(spark, folder)), F.col("offset")).drop("seq")
+    return msg.to_history(msg.parse(_messages(spark, folder)), msg.delivery()).drop("seq")
+
+
+_AGAIN = 1_000_000  # what redelivered messages add to their offset
+
+
+@query(
+    "str1_redelivered_messages",
+    f"""SELECT CAST(txn_id % 6 AS INTEGER) AS partition, txn_id // 6 AS "offset", 'applied' AS status FROM messages WHERE {_REASON} IS NULL AND txn_id % 3 <> 0
+        UNION ALL SELECT CAST(txn_id % 6 AS INTEGER), txn_id // 6 + {_AGAIN}, CASE WHEN txn_id % 3 <> 0 THEN 'duplicate' ELSE 'applied' END FROM messages WHERE {_REASON} IS NULL""",
+    ("messages",),
+)
+def str1_again(spark, folder):
+    """STR-1, STR-2, STATE-1: two batches of six partitions; the second repeats the first. One status a message."""
+    pipeline = Pipeline(spark, scratch(spark, "messages"), with_features=False)
+    rows = _messages(spark, folder).withColumn("_id", F.col("partition") + 6 * F.col("offset")).checkpoint()
+    pipeline.on_messages(rows.filter("_id % 3 <> 0").drop("_id"), 0)
+    pipeline.on_messages(rows.withColumn("offset", F.col("offset") + _AGAIN).drop("_id"), 1)
+    done = pipeline.table("statuses")
+    place = F.shiftright("seq", 47)
+    return done.select(place.cast("int").alias("partition"), (F.col("seq") - F.shiftleft(place, 47)).alias("offset"), "status")
+
+
+@query(
+    "sink5_refused_by_status",
+    f"""SELECT CAST(txn_id % 6 AS INTEGER) AS partition, coalesce({_REASON}, 'event_id_conflict') AS reason, md5(value_text) AS value
+        FROM messages WHERE {_REASON} IS NOT NULL OR txn_id % 4 = 0""",
+    ("messages",),
+)
+def sink5_statuses(spark, folder):
+    """SINK-5: messages whose status refuses them are kept as they came, beside those refused by their form."""
+    pipeline = Pipeline(spark, scratch(spark, "refused"), with_features=False)
+    rows = _messages(spark, folder).checkpoint()
+    # The same transactions were applied before from other sources.
+    earlier = msg.to_history(msg.parse(rows), msg.delivery()).filter((F.shiftright("seq", 47) + 6 * F.expr("seq & 140737488355327")) % 4 == 0)
+    pipeline.on_events(earlier.withColumns({"source_id": F.concat(F.lit("other-"), "source_id"), "received_us": F.col("received_us") - 1}), 0)
+    pipeline.on_messages(rows, 1)
+    partition = F.filter("headers", lambda h: h["key"] == "source_partition")[0]["value"].cast("string").cast("int")
+    return pipeline.table("dead_letters").select(partition.alias("partition"), "reason", F.md5("value").alias("value"))
 
 
 @query(
@@ -88,7 +127,7 @@ def src4(spark, folder):
 
 @query(
     "sink5_dead_letters",
-    f"SELECT CAST(txn_id AS VARCHAR) AS source_offset, {_REASON} AS reason FROM messages WHERE {_REASON} IS NOT NULL",
+    f"SELECT CAST(txn_id // 6 AS VARCHAR) AS source_offset, {_REASON} AS reason FROM messages WHERE {_REASON} IS NOT NULL",
     ("messages",),
 )
 def sink5(spark, folder):
@@ -100,9 +139,9 @@ def sink5(spark, folder):
     return spark.read.parquet(f"{path}/out").select(offset.alias("source_offset"), "reason")
 
 
-def _in_parts(spark, folder, pipeline, parts=2):
+def _in_parts(spark, folder, pipeline, parts=2, table="deliveries"):
     """Deliveries appended in arrival order; the stream is started again after each part."""
-    rows = load(spark, folder, "deliveries").checkpoint()
+    rows = load(spark, folder, table).select(*schemas.TXN_EVENT.fieldNames()).checkpoint()
     inbox = pipeline.path("inbox")
     cuts = rows.approxQuantile("received_us", [i / parts for i in range(1, parts)], 0.001)
     low = None
@@ -149,21 +188,50 @@ def str3(spark, folder):
     )
 
 
-@query(
-    "state7_identity_timers",
-    """SELECT seq, event_id, CASE WHEN nth = 1 THEN 'applied' WHEN p0 <> payload_hash THEN 'payload_conflict'
-                                  WHEN s0 <> source_id THEN 'event_id_conflict' ELSE 'duplicate' END AS status FROM placed""",
-    ("deliveries",),
-    {"placed": _STATUS["placed"]},
-)
+@query("state7_identity_timers", "SELECT seq, event_id, status FROM statuses", ("late_deliveries",), _LATE)
 def state7_timers(spark, folder):
-    """STATE-2, STATE-6, STATE-7: identities in the state store, forgotten by a timer at the horizon."""
+    """STATE-2, STATE-4, STATE-7 on a stream: late deliveries get a status, identities leave with the horizon."""
     path = scratch(spark, "identity")
-    rows = load(spark, folder, "deliveries").withColumn("event_time", F.timestamp_micros("event_us"))
+    rows = load(spark, folder, "late_deliveries").select(*schemas.TXN_EVENT.fieldNames())
     rows.write.parquet(f"{path}/in")
-    stream = spark.readStream.schema(rows.schema).parquet(f"{path}/in")
-    run_to_table(identity_statuses(stream), path)
-    return spark.read.parquet(f"{path}/out").select("seq", "event_id", "status")
+    return identity_statuses(spark, spark.readStream.schema(schemas.TXN_EVENT).parquet(f"{path}/in"), path)
+
+
+@query("state4_streaming_late", "SELECT seq, status FROM statuses", ("late_deliveries",), _LATE)
+def state4_stream(spark, folder):
+    """STATE-4: the same over batches, where the horizon is that of all batches before."""
+    done = _in_parts(spark, folder, Pipeline(spark, scratch(spark, "late"), with_features=False), table="late_deliveries")
+    return done.table("statuses").select("seq", "status")
+
+
+@query(
+    "state8_streaming_snapshot",
+    """SELECT customer_id, count(*) AS applied_count, max(received_us) AS last_applied_us, max_by(event_id, CAST(received_us AS HUGEINT) * 1000000 + seq) AS last_event_id
+       FROM statuses WHERE status = 'applied' GROUP BY customer_id""",
+    ("deliveries",),
+    _STATUS,
+)
+def state8_stream(spark, folder):
+    """STATE-8: the latest state of every customer, from what each micro-batch adds."""
+    return _in_parts(spark, folder, Pipeline(spark, scratch(spark, "snapshot"), with_features=False), parts=3).snapshot()
+
+
+@query(
+    "str7_replay_isolation",
+    """SELECT namespace, status, count(*) AS n FROM (SELECT 'live' AS namespace, status FROM statuses UNION ALL SELECT 'replay:r1', status FROM statuses) x GROUP BY ALL""",
+    ("deliveries",),
+    _STATUS,
+)
+def str7(spark, folder):
+    """STR-7: a replay of the live deliveries finds a state of its own, and leaves the live one as it was."""
+    base, rows = scratch(spark, "namespaces"), load(spark, folder, "deliveries").checkpoint()
+    out = None
+    for name in ("live", "replay:r1"):
+        pipeline = Pipeline(spark, base, name, with_features=False)
+        pipeline.on_events(rows, 0)
+        part = pipeline.table("statuses").select(F.lit(name).alias("namespace"), "status")
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("namespace", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("state2_first_deliveries", "SELECT DISTINCT event_id FROM deliveries", ("deliveries",))

@@ -58,9 +58,12 @@ def point_in_time(
     retention_us: int = RETENTION,
     repeated_ids: bool = False,
     rows_per_unit: int = ROWS_PER_UNIT,
+    watermark_us: int | None = None,
 ) -> DataFrame:
     """One row per input row with its decision time, the fifteen features and `history_complete`.
 
+    `watermark_us` is the newest applied event time of a history that is larger than the rows given.
+
     Rows need `seq` (unique), `event_id`, `customer_id`, `terminal_id`, `amount_minor`, `event_us`
     and `received_us`. With a `status` column only applied rows are history. `repeated_ids` says
     that one event id may occur on several rows, whose own event must then be left out.
@@ -82,7 +85,7 @@ def point_in_time(
     )
     pair = Scan("p", ("customer_id", "terminal_id"), (("now", 0), *own), last=last)
     terminal = Scan("t", ("terminal_id",), (("now", 0), *TERMINAL_WINDOWS.items()))
-    base, rows = history_complete(base, available, is_point, retention_us)
+    base, rows = history_complete(base, available, is_point, retention_us, watermark_us)
     args = dict(
         event_us="event_us",
         available_us=available,
@@ -194,14 +197,19 @@ def _features(seen: DataFrame, repeated_ids: bool) -> DataFrame:
 
 
 def history_complete(
-    rows: DataFrame, available: Column, is_point: Column, retention_us: int = RETENTION
+    rows: DataFrame,
+    available: Column,
+    is_point: Column,
+    retention_us: int = RETENTION,
+    watermark_us: int | None = None,
 ) -> tuple[DataFrame, int]:
     """Add whether retention can not yet have trimmed a row's widest window at its decision.
 
     The watermark is the newest applied event time that had arrived. It is bounded per arrival hour
     in one small table; only rows that fall between an hour's bounds are looked up per second and
     microsecond, where the number of distinct values is limited by the clock and not by the data.
-    The same table gives the number of rows, which is returned as well.
+    The same table gives the number of rows, which is returned as well. `watermark_us` is known before
+    all rows.
     """
     if retention_us < MAX_WINDOW:
         raise ValueError("retention must cover the largest feature window")
@@ -224,15 +232,17 @@ def history_complete(
     )
     upto = Window.orderBy("hour").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
+    earlier_mark = F.lit(watermark_us).cast("bigint")
+    high = F.greatest(F.max("top").over(upto), earlier_mark)
     hours = (
         rows.select(F.inline(marks))
         .groupBy("hour")
         .agg(F.max("top").alias("top"), F.min("oldest").alias("oldest"), F.sum("n").alias("n"))
         .select(
             F.col("hour").alias("_hour"),
-            F.max("top").over(before).alias("_low"),
-            F.max("top").over(upto).alias("_high"),
-            F.coalesce(F.max("top").over(upto) > F.col("oldest") + lit(slack), F.lit(False)).alias("_check"),
+            F.greatest(F.max("top").over(before), earlier_mark).alias("_low"),
+            high.alias("_high"),
+            F.coalesce(high > F.col("oldest") + lit(slack), F.lit(False)).alias("_check"),
             "n",
         )
         .checkpoint()

@@ -188,6 +188,11 @@ def _recomputed() -> Column:
     )
 
 
+def delivery() -> Column:
+    """One number for a message of a topic: offsets start anew in each partition, so both are part of it."""
+    return F.shiftleft(F.col("partition").cast("bigint"), 47) + F.col("offset")
+
+
 def to_history(parsed: DataFrame, seq: Column) -> DataFrame:
     """Valid messages as rows of the feature history; the transaction id is the event id."""
     event = F.col("event")

@@ -1,58 +1,20 @@
-"""Keyed streaming state: the status of each delivery by the identity of its event."""
+"""Streaming identity state: the status of each delivery, with the identities of the retention horizon.
 
-from __future__ import annotations
-
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from tidegate.operators.apply import DUPLICATE, EVENT_ID_CONFLICT, PAYLOAD_CONFLICT
-from tidegate.operators.features import APPLIED, RETENTION
+The work is set-based: a micro-batch is joined with the stored identities that it mentions, so no id costs
+a call and none is gathered in one place. Deliveries behind the horizon get their own status, and an
+identity that has left the horizon no longer blocks its id.
+"""
 
-OUTPUT = "seq bigint, event_id string, status string"
-_READ = ("received_us", "seq", "payload_hash", "source_id", "event_us")
-RECORD = "payload_hash string, source_id string, event_us bigint"
-
-
-def _tracker(retention_us: int):
-    """State function of one event id: one record, forgotten by a timer at the retention horizon."""
+from __future__ import annotations
 
-    def track(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        known = None
-        for part in parts:
-            # Rows of one part are taken in arrival order; a hot id comes in several parts. Most ids
-            # come once, so the few rows of a part are handled as plain values.
-            rows = sorted(zip(*(part[c].tolist() for c in _READ), strict=True))
-            out = []
-            for _, seq, payload, source, event_us in rows:
-                if not state.exists:
-                    state.update((payload, source, event_us))
-                    end = (event_us + retention_us) // 1000
-                    state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
-                    known, status = (payload, source), APPLIED
-                else:
-                    known = known or state.get
-                    if known[0] != payload:
-                        status = PAYLOAD_CONFLICT
-                    else:
-                        status = DUPLICATE if known[1] == source else EVENT_ID_CONFLICT
-                out.append((seq, key[0], status))
-            yield pd.DataFrame(out, columns=["seq", "event_id", "status"])
+from pyspark.sql import DataFrame, SparkSession
 
-    return track
+from tidegate.operators.features import RETENTION
+from tidegate.streaming.pipeline import Pipeline
 
 
-def identity_statuses(events: DataFrame, retention_us: int = RETENTION) -> DataFrame:
-    """Statuses by event id; rows need an `event_time` timestamp, whose watermark drives the timers."""
-    marked = events.withWatermark("event_time", f"{retention_us // 1_000_000} seconds")
-    columns = ["event_id", "seq", "payload_hash", "source_id", "event_us", "received_us", "event_time"]
-    return (
-        marked.select(*columns)
-        .groupBy("event_id")
-        .applyInPandasWithState(_tracker(retention_us), OUTPUT, RECORD, "append", GroupStateTimeout.EventTimeTimeout)
-    )
+def identity_statuses(spark: SparkSession, stream: DataFrame, base: str, retention_us: int = RETENTION) -> DataFrame:
+    """Statuses (seq, event_id, status) of all deliveries that the stream has; state stays below `base`."""
+    pipeline = Pipeline(spark, base, "identity", retention_us, with_features=False)
+    pipeline.run(stream, pipeline.on_events)
+    return pipeline.table("statuses").select("seq", "event_id", "status")

@@ -3,7 +3,8 @@
 Each batch writes folders named after its number and replaces them when it is repeated, so a batch
 that was written but not committed before a failure leaves nothing twice. A batch reads the state that
 earlier batches wrote: only history of its own customers and terminals inside the retention horizon,
-and only identities that it mentions.
+and only identities that it mentions. A namespace reads one topic; a message is known by its partition and
+offset, as offsets start anew in each partition.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import types as T
 from tidegate import schemas
 from tidegate.functions.times import DAY, lit
 from tidegate.operators import messages as msg
-from tidegate.operators.apply import DEAD_LETTER_STATUSES, apply_events
+from tidegate.operators.apply import DEAD_LETTER_STATUSES, apply_events, entity_metadata
 from tidegate.operators.features import APPLIED, FEATURES, RETENTION, point_in_time
 
 _STORED = T.StructType([*schemas.TXN_EVENT.fields, T.StructField("day", T.LongType()), T.StructField("batch", T.LongType())])
@@ -59,17 +60,21 @@ class Pipeline:
         return self.spark.read.parquet(self.path(name))
 
     def on_messages(self, batch: DataFrame, number: int) -> None:
-        parsed = msg.parse(batch).checkpoint()
+        """Apply one batch of messages; what is refused by its form or its status is kept as it came."""
+        parsed = msg.parse(batch).withColumn("seq", msg.delivery()).checkpoint()
+        statuses = self.on_events(msg.to_history(parsed, F.col("seq")), number)
+        if statuses is not None:
+            refused = statuses.filter(F.col("status").isin(*DEAD_LETTER_STATUSES)).select("seq", F.col("status").alias("_status"))
+            parsed = parsed.join(refused, "seq", "left").withColumn("reason", F.coalesce("reason", "_status"))
         msg.dead_letters(parsed).write.mode("overwrite").parquet(self.path(f"dead_letters/batch={number}"))
-        self.on_events(msg.to_history(parsed, F.col("offset")), number)
 
-    def on_events(self, batch: DataFrame, number: int) -> None:
-        """Apply one batch of events and compute the features its decisions could see."""
+    def on_events(self, batch: DataFrame, number: int) -> DataFrame | None:
+        """Apply one batch of events and compute the features its decisions could see; the statuses."""
         rows = batch.select(*schemas.TXN_EVENT.fieldNames()).checkpoint()
         watermark = self.watermark(number)
         if rows.isEmpty():
             self._leave_watermark(watermark, number)
-            return
+            return None
         live = None if watermark is None else watermark - self.retention_us
         prior = self._identities(self.history(number, live), rows)
         both = rows.withColumn("_at", F.col("received_us")).unionByName(prior)
@@ -79,13 +84,24 @@ class Pipeline:
         refused = applied.filter(F.col("status").isin(*DEAD_LETTER_STATUSES))
         refused.write.mode("overwrite").parquet(self.path(f"refused/batch={number}"))
         if self.with_features:
-            self._features(number, applied).write.mode("overwrite").parquet(self.path(f"features/batch={number}"))
+            self._features(number, applied, watermark).write.mode("overwrite").parquet(self.path(f"features/batch={number}"))
         # Written after the outputs: only a batch that is complete becomes history.
         fresh = applied.filter(F.col("status") == APPLIED).drop("status")
         days = fresh.withColumn("day", F.floor(F.col("event_us") / DAY).cast("bigint"))
+        entity_metadata(applied, "customer_id").write.mode("overwrite").parquet(self.path(f"entities/batch={number}"))
         days.write.mode("overwrite").partitionBy("day").parquet(self.path(f"history/batch={number}"))
         newest = fresh.agg(F.max("event_us")).first()[0]
         self._leave_watermark(max((w for w in (watermark, newest) if w is not None), default=None), number)
+        return applied
+
+    def snapshot(self) -> DataFrame:
+        """The latest state of every customer; each batch leaves what it adds."""
+        added = self.table("entities")
+        return added.groupBy("customer_id").agg(
+            F.sum("applied_count").alias("applied_count"),
+            F.max("last_applied_us").alias("last_applied_us"),
+            F.max_by("last_event_id", F.struct("last_applied_us", "batch")).alias("last_event_id"),
+        )
 
     def _leave_watermark(self, watermark: int | None, number: int) -> None:
         row = self.spark.createDataFrame([(watermark,)], "watermark_us bigint").coalesce(1)
@@ -98,15 +114,17 @@ class Pipeline:
         by_source = history.join(sources, "source_id", "left_semi").select(*rows.columns)
         return by_id.unionByName(by_source).distinct().withColumn("_at", lit(-1))
 
-    def _features(self, number: int, applied: DataFrame) -> DataFrame:
-        recent = self.history(number, applied.agg(F.min("event_us")).first()[0] - self.retention_us)
+    def _features(self, number: int, applied: DataFrame, watermark: int | None) -> DataFrame:
+        # Refused rows don't widen the history that is read: a late one is incomplete in any case.
+        oldest = applied.agg(F.min(F.when(F.col("status") == APPLIED, F.col("event_us"))), F.max("event_us")).first()
+        recent = self.history(number, (oldest[1] if oldest[0] is None else oldest[0]) - self.retention_us)
         customers, terminals = applied.select("customer_id").distinct(), applied.select("terminal_id").distinct()
         mine = recent.join(customers, "customer_id", "left_semi").unionByName(
             recent.join(terminals, "terminal_id", "left_semi").join(customers, "customer_id", "left_anti"),
         )
         known = mine.select(*schemas.TXN_EVENT.fieldNames()).withColumn("status", F.lit(APPLIED))
         both = applied.withColumn("_ask", F.lit(True)).unionByName(known.withColumn("_ask", F.lit(False))).checkpoint()
-        seen = point_in_time(both, retention_us=self.retention_us, repeated_ids=True)
+        seen = point_in_time(both, retention_us=self.retention_us, repeated_ids=True, watermark_us=watermark)
         return seen.filter("_ask").select("seq", "event_id", "decision_us", *FEATURES, "history_complete")
 
     def run(self, stream: DataFrame, handle: Callable[[DataFrame, int], None]) -> None:
