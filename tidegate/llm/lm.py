@@ -18,7 +18,7 @@ COMMON = 1 << 21
 #: Parts of the training texts that are learned one after another, each from the average of the one before.
 ROUNDS = 2
 #: Texts handled at a time.
-SLICE = 64
+SLICE = 256
 
 _lexicons: dict[int, tuple] = {}
 
@@ -35,29 +35,28 @@ def counted(texts: DataFrame) -> DataFrame:
     """(code, rare, n): how often each token occurs in the texts, summed in the task first."""
 
     def each(batch: pa.RecordBatch) -> dict:
-        known, column = Lexicon(most=1 << 62), batch.column(0).to_pylist()
-        total = np.zeros(0, np.int64)
+        known, _ = lexicon(counted)
+        column, parts, total = batch.column(0).to_pylist(), [], np.zeros(0, np.int64)
+
+        def leave() -> None:
+            hit = np.nonzero(total)[0]
+            parts.append((known.code[hit], known.group[hit], total[hit]))
+
         for i in range(0, len(column), SLICE):
+            if len(known) > known.most:  # the next call starts anew
+                leave()
+                total = np.zeros(0, np.int64)
             numbers, _ = known.numbers(column[i : i + SLICE])
-            new = np.bincount(numbers, minlength=len(known))
-            new[: len(total)] += total
-            total = new
-        return {"code": known.code, "rare": known.group, "n": total}
+            if len(known) > len(total):
+                total = np.append(total, np.zeros(2 * len(known) - len(total), np.int64))
+            np.add.at(total, numbers, 1)
+        leave()
+        return dict(zip(("code", "rare", "n"), (np.concatenate(x) for x in zip(*parts))))
 
-    def whole(batch: pa.RecordBatch) -> dict:
-        return _merged([each(batch.slice(i, 512)) for i in range(0, batch.num_rows, 512)])
-
-    parts = map_batches(texts, whole, "code bigint, rare int, n bigint")
+    parts = map_batches(texts, each, "code bigint, rare int, n bigint")
     return parts.groupBy("code").agg(F.first("rare").alias("rare"), F.sum("n").alias("n"))
 
 
-def _merged(parts: list[dict]) -> dict:
-    code = np.concatenate([p["code"] for p in parts])
-    seen, first, back = np.unique(code, return_index=True, return_inverse=True)
-    rare = np.concatenate([p["rare"] for p in parts])[first]
-    return {"code": seen, "rare": rare, "n": np.bincount(back, weights=np.concatenate([p["n"] for p in parts])).astype(np.int64)}
-
-
 def trained(texts: DataFrame, model: Model, tasks: int) -> Model:
     """The model after one pass over the texts: every task trains its own copy on its texts, and each row of
     the tables becomes the mean of the copies, weighted by how often they updated it."""
@@ -100,10 +99,10 @@ def trained(texts: DataFrame, model: Model, tasks: int) -> Model:
 
 def _outputs(model: Model, known: Lexicon, held: dict) -> np.ndarray:
     """The model's output of each word of a lexicon, kept while no new words come."""
-    at = len(held.get("outputs", ()))
-    if at > len(known.code):
+    if held.get("era") != known.era:
         held.clear()
-        at = 0
+        held["era"] = known.era
+    at = len(held.get("outputs", ()))
     if at < len(known.code):
         new = model.outputs_of(known.code[at:], known.group[at:])
         held["outputs"] = np.append(held["outputs"], new) if at else new
