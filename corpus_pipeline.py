@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegate.llm import mixing, nearcopies, surrogates, tiers, toxicity
-from tidegate.llm.common import fold, table, written
+from tidegate.llm.common import bounded, fold, table, written
 from tidegate.llm.registry import SURROGATE_KEY, vocabulary
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below a half; the model learns from the labelled ones among them."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), F.lit(True))
-    return docs.where(toxicity.score_of(spark, model)(fold()) < 0.5)
+    return bounded(docs).where(toxicity.score_of(spark, model)(fold()) < 0.5)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from tidegate.llm.common import fold, map_batches, shared_partitions
+from tidegate.llm.common import bounded, fold, map_batches, shared_partitions
 
 #: Bytes of a chunk: at least, usually, at most. Shorter only at the end of a text.
 LEAST, USUAL, MOST = 16, 40, 255
@@ -178,5 +178,5 @@ def edits(docs: DataFrame, key: str = "doc_id", text: str = "text", parts: int |
                 }
                 yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in target], schema=target)
 
-    out = dealt.select("place", "extra", "key", "text").mapInArrow(run, SCHEMA.format(key=kind))
+    out = bounded(dealt).select("place", "extra", "key", "text").mapInArrow(run, SCHEMA.format(key=kind))
     return out.withColumnRenamed("key", key)

@@ -37,6 +37,18 @@ def fifth(doc_id: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(5))
 
 
+#: Rows that a Python task gets at a time, at most: whole texts are long.
+ROWS = 1000
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """The frame, after its session's Arrow batches were limited to ROWS rows, which bounds what workers hold."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= ROWS:
+        conf.set(name, str(ROWS))
+    return df
+
+
 def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
     """mapInArrow whose function gives a dictionary of columns for each batch of rows."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -50,7 +62,7 @@ def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], dict], schema: s
                 columns = each(batch)
                 yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in target], schema=target)
 
-    return df.mapInArrow(run, schema)
+    return bounded(df).mapInArrow(run, schema)
 
 
 def shared_partitions(spark: SparkSession) -> int:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegate.llm.common import fifth, fold, map_batches, shared_partitions, written
+from tidegate.llm.common import bounded, fifth, fold, map_batches, shared_partitions, written
 from tidegate.llm.maxent import BLOCK, OUTPUTS, RARE, Lexicon, Model, Trainer, log_shares
 
 #: A word is common if it is at least 1 of so many training tokens, so no more words than this are common.
@@ -87,7 +87,7 @@ def trained(texts: DataFrame, model: Model, tasks: int) -> Model:
                 total[block] = total.get(block, 0.0) + np.frombuffer(part, "<f4").astype(float)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([t.astype("<f4").tobytes() for t in total.values()], pa.binary())], schema=schema)
 
-    parts = texts.mapInArrow(learn, "block int, part binary")
+    parts = bounded(texts).mapInArrow(learn, "block int, part binary")
     sums = written(parts.repartition(tasks, "block").mapInArrow(add, "block int, part binary"), "weights").toArrow()
     weights = np.concatenate([model.class_w, model.word_w])
     for block, part in zip(sums["block"].to_pylist(), sums["part"].to_pylist()):

@@ -13,7 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from tidegate.llm.bpe import content_of
-from tidegate.llm.common import fold
+from tidegate.llm.common import bounded, fold
 from tidegate.llm.tokenids import token_groups
 
 #: Tokens that a task holds and packs at a time.
@@ -145,7 +145,7 @@ def pack_ids(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str =
                 yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in target], schema=target)
             first += len(windows)
 
-    return docs.select(F.col(key).alias("key"), fold(text).alias("text")).mapInArrow(run, schema)
+    return bounded(docs).select(F.col(key).alias("key"), fold(text).alias("text")).mapInArrow(run, schema)
 
 
 def write_packed(packed: DataFrame, path: str) -> None:

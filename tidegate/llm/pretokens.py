@@ -20,7 +20,7 @@ END = 0x110000
 #: Code points handled at a time; a longer text is cut where a run of white space starts, which no pre-token spans.
 CHUNK = 1 << 19
 #: Entries of a worker's table before it starts anew.
-ENTRIES = 3 << 19
+ENTRIES = 3 << 18
 #: Fixed by the byte-level split: the contractions that are pre-tokens of their own.
 SUFFIXES = ("s", "t", "re", "ve", "m", "ll", "d")
 

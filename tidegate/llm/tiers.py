@@ -15,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from tidegate.llm.bpe import content_of
-from tidegate.llm.common import fold
+from tidegate.llm.common import bounded, fold
 from tidegate.llm.packing import GROUP, Rooms
 from tidegate.llm.tokenids import token_groups
 
@@ -129,5 +129,5 @@ def pack_documents(docs: DataFrame, vocabulary: str, key: str = "doc_id", text:
             sequence += len(windows)
             step += max(steps, default=-1) + 1
 
-    packed = docs.select(F.col(key).alias("key"), fold(text).alias("text")).mapInArrow(run, schema)
+    packed = bounded(docs).select(F.col(key).alias("key"), fold(text).alias("text")).mapInArrow(run, schema)
     return packed.withColumnRenamed("key", key)

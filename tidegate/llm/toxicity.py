@@ -22,11 +22,13 @@ from tidegate.llm.common import fifth, fold, map_batches, written
 #: Characters of a gram: the next one and its context.
 ORDER = 8
 #: Labelled documents of each class that a model is fitted on, at most.
-MOST = 4000
+MOST = 3000
 #: Words whose score a worker keeps before it starts anew.
-KEPT = 1 << 19
+KEPT = 1 << 18
 #: Log ratios from which a word is telling; the left-out documents decide which.
 TELLING = (3.5, 4.0, 4.5, 5.0)
+#: Texts handled at a time.
+SLICE = 64
 #: Marks before and after a word.
 OPEN, CLOSE = "\x02", "\x03"
 
@@ -41,7 +43,12 @@ def mixed(points: np.ndarray, place: int) -> np.ndarray:
 
 def suffixes(columns: list[np.ndarray]) -> np.ndarray:
     """Codes of the last 1, 2, ... characters; columns[i] holds the character i places before the end."""
-    return np.cumsum([mixed(c, i) for i, c in enumerate(columns)], axis=0, dtype=np.uint64)
+    codes = np.empty((len(columns), len(columns[0])), np.uint64)
+    for i, column in enumerate(columns):
+        codes[i] = mixed(column, i)
+        if i:
+            codes[i] += codes[i - 1]
+    return codes
 
 
 def spelt(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -215,10 +222,13 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, key: str = "doc_id"
     sample = written(texts.join(F.broadcast(sample), "key").select("key", "text", "toxic", F.pmod(F.xxhash64(F.lit(7), "key"), F.lit(5)).alias("part")), "sample")
     grams = gram_counts(sample.where("part != 0")).toArrow()
     model = fitted(grams["gram"], grams["toxic"].to_numpy().astype(float), grams["ordinary"].to_numpy().astype(float))
+    del grams
     shown = sample.sparkSession.sparkContext.broadcast(model)
 
     def each(batch: pa.RecordBatch) -> dict:
-        return {"feature": features(batch.column(0).to_pylist(), shown.value, {}, TELLING).tolist(), "toxic": batch.column(1)}
+        texts, known = batch.column(0).to_pylist(), {}
+        parts = [features(texts[i : i + SLICE], shown.value, known, TELLING) for i in range(0, len(texts), SLICE)]
+        return {"feature": np.concatenate(parts).tolist(), "toxic": batch.column(1)}
 
     rest = map_batches(sample.where("part = 0").select("text", "toxic"), each, "feature array<double>, toxic int").toPandas()
     if len(rest):
@@ -247,7 +257,7 @@ def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
         held, texts = shown.value, batch.column(1).to_pylist()
         if id(held) not in _known:
             _known.clear()
-        ratio = np.concatenate([features(texts[i : i + 64], held, _known.setdefault(id(held), {}), (held.telling,))[:, 0] for i in range(0, len(texts), 64)])
+        ratio = np.concatenate([features(texts[i : i + SLICE], held, _known.setdefault(id(held), {}), (held.telling,))[:, 0] for i in range(0, len(texts), SLICE)])
         return {"key": batch.column(0), "score": held.probability(ratio), "ratio": ratio}
 
     kind = docs.schema[key].dataType.simpleString()
@@ -271,7 +281,7 @@ def score_of(spark, model: Model):
         if id(held) not in _known:
             _known.clear()
         column = texts.fillna("").tolist()
-        parts = [features(column[i : i + 64], held, _known.setdefault(id(held), {}), (held.telling,))[:, 0] for i in range(0, len(column), 64)]
+        parts = [features(column[i : i + SLICE], held, _known.setdefault(id(held), {}), (held.telling,))[:, 0] for i in range(0, len(column), SLICE)]
         return pd.Series(held.probability(np.concatenate([*parts, np.zeros(0)])))
 
     return F.pandas_udf(scores, "double")
