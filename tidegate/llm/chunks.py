@@ -44,7 +44,7 @@ def cuts(size: int, strict: list[int], loose: list[int]) -> Iterator[tuple[int,
         if i < len(strict) and strict[i] < start + USUAL:
             end = min(end, strict[i] + 1)
         else:
-            j = bisect_left(loose, start + USUAL - 1, j)
+            j = bisect_left(loose, start + USUAL, j)
             if j < len(loose) and loose[j] < end:
                 end = loose[j] + 1
         yield start, end

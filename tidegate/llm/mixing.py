@@ -137,7 +137,7 @@ def mixed(docs: DataFrame, key: str = "doc_id", source: str = "source", text: st
             break
         step = step.where("open").withColumn("bucket", F.expr(f"bucket div {fan}")).drop("open")
         spread = math.ceil(spread / fan)
-    copies = (F.col("whole") + F.col("part").cast("long")).alias("copies")
+    copies = F.when(F.col("size") > 0, F.col("whole") + F.col("part").cast("long")).otherwise(0).alias("copies")
     out = done.join(per.select("place", "source_size", "target"), "place")
     return out.select(F.col("key").cast(kind).alias(key), "size", "source_size", "target", copies)
 

@@ -141,10 +141,10 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     one = F.min(F.struct("key", "row", "h1", "h2")).alias("one")
     kept = seen.select("key", "row", "h1", "h2", "w1", "w2").join(groups, ["w1", "w2"]).groupBy("root").agg(one)
     times = seen.groupBy("key", "h1", "h2").agg(F.count("*").alias("times")).where("times > 1")
-    kept = written(kept.select("one.key", "one.h1", "one.h2").withColumnRenamed("key", "_key"), "kept")
-    repeated = written(times.select(F.col("key").alias("_key"), "h1", "h2"), "repeated")
+    kept = written(kept.select(F.col("one.key").alias("_key"), F.col("one.h1").alias("_k1"), F.col("one.h2").alias("_k2")), "kept")
+    repeated = written(times.select(F.col("key").alias("_key"), F.col("h1").alias("_k1"), F.col("h2").alias("_k2")), "repeated")
     marked = docs.withColumns({f"_h{i}": F.xxhash64(F.lit(i), fold(text)) for i in (1, 2)})
-    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_h1") == F.col("h1")) & (F.col("_h2") == F.col("h2"))
+    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_h1") == F.col("_k1")) & (F.col("_h2") == F.col("_k2"))
     left = marked.join(kept, same, "left_semi")
     if not repeated.isEmpty():
         twice = left.join(repeated, same, "left_semi").dropDuplicates([key, "_h1", "_h2"])

@@ -158,5 +158,5 @@ def unpacked(packed: DataFrame) -> DataFrame:
     at = F.when(F.col("i") == 0, F.lit(0)).otherwise(F.element_at("segment_ends", F.greatest("i", F.lit(1))))
     piece = packed.select("ids", "segment_ends", "starts", F.posexplode("documents").alias("i", "document"))
     piece = piece.select("document", F.element_at("starts", F.col("i") + 1).alias("start"), F.expr("substring(ids, 4 * {0} + 1, 4 * (element_at(segment_ends, i + 1) - {0}))".format("if(i = 0, 0, element_at(segment_ends, greatest(i, 1)))")).alias("raw"))
-    one = "cast(conv(hex(reverse(substring(raw, 4 * j + 1, 4))), 16, 10) as bigint)"
+    one = "cast(conv(concat({}), 16, 10) as bigint)".format(", ".join(f"hex(substring(raw, 4 * j + {i}, 1))" for i in (4, 3, 2, 1)))
     return piece.select("document", "start", F.expr(f"transform(sequence(0, length(raw) div 4 - 1), j -> {one})").alias("ids"))
