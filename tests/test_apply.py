@@ -113,3 +113,15 @@ def test_metadata_names_the_last_applied_event(spark):
     df = spark.createDataFrame(rows, COLUMNS).withColumn("customer_id", F.lit("C"))
     got = ap.entity_metadata(ap.apply_events(df), "customer_id").first()
     assert tuple(got) == ("C", 2, 20, "b")
+
+
+def test_long_chains_need_few_rounds(spark, monkeypatch):
+    """Each delivery shares its id or its source with the one before, whose status decides its own."""
+    rows = []
+    for i in range(400):
+        rows += [(2 * i, f"e{i}", f"s{i}", "h", 1000 + i, i), (2 * i + 1, f"e{i + 1}", f"s{i}", "h", 1000 + i, i)]
+    rows += [(5000 + i, "hot", f"s{i % 3}", "h", 1000, 900 + i) for i in range(50)]
+    rounds, status = [], ap._status
+    monkeypatch.setattr(ap, "_status", lambda horizon: rounds.append(1) or status(horizon))
+    got = {r["seq"]: r["status"] for r in ap.apply_events(spark.createDataFrame(rows, COLUMNS)).collect()}
+    assert got == fold(rows, ap.RETENTION) and len(rounds) <= 9

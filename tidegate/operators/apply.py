@@ -4,16 +4,22 @@ Every status depends on the statuses before it: the watermark and the known iden
 applied rows only. Rows whose id and source occur once and that can not be late are applied whatever
 happens to the others. The rest is solved by rounds: each round takes the statuses of the round
 before, and the first rows of the order that are right stay right, so rounds that change nothing
-have reached the sequential result.
+have reached the sequential result. Repeats of an id settle in two or three rounds, however many there
+are; rows that depend on each other through a chain of ids and sources would take a round for each link,
+so what still changes then is solved chain by chain in one pass, and checked by further rounds.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidegate.operators.features import APPLIED, MAX_WINDOW, RETENTION
+from tidegate.plans.components import components
 from tidegate.plans.ordered import ROWS_PER_CHUNK, Chunked, chunked, last_before, running
 
 DUPLICATE = "duplicate"
@@ -22,6 +28,7 @@ EVENT_ID_CONFLICT = "event_id_conflict"
 LATE = "late_beyond_horizon"
 STATUSES = (APPLIED, DUPLICATE, PAYLOAD_CONFLICT, LATE, EVENT_ID_CONFLICT)
 # Statuses whose message is kept with a reason instead of being dropped.
+ROUNDS = 3  # rounds before chains are solved by themselves
 DEAD_LETTER_STATUSES = (PAYLOAD_CONFLICT, EVENT_ID_CONFLICT, LATE)
 
 
@@ -106,7 +113,7 @@ def _rounds(
 ) -> DataFrame:
     chunks = chunked(open_rows, [F.col("_at"), F.col("seq")], rows_per_chunk, "_c")
     state = chunks.df.withColumn("status", F.lit(APPLIED))
-    order = ["_at", "seq"]
+    order, count = ["_at", "seq"], 0
     while True:
         applied = F.col("status") == APPLIED
         identity = F.struct("event_id", "event_us", "payload_hash", "source_id")
@@ -123,15 +130,68 @@ def _rounds(
             horizon = F.greatest("_mark", "_base") - F.lit(retention_us)
         else:
             marked, horizon = step.df, F.lit(None).cast("bigint")
-        state_next = marked.withColumn("_next", _status(horizon)).select(
-            *state.columns, "_next"
+        state_next = marked.withColumn("_next", _status(horizon)).withColumn("_horizon", horizon).select(
+            *state.columns, "_next", "_horizon"
         ).checkpoint()
         changed = not state_next.filter("_next <> status").isEmpty()
-        state = state_next.withColumn("status", F.col("_next")).drop("_next")
+        count += 1
+        if changed and count % ROUNDS == 0:
+            state_next = _by_chain(state_next, retention_us).checkpoint()
+        state = state_next.withColumn("status", F.col("_next")).drop("_next", "_horizon")
         if not changed:
             return state
 
 
+def _by_chain(state: DataFrame, retention_us: int) -> DataFrame:
+    """`_next` of rows whose chain still changes, read in order within each chain of shared ids and sources.
+
+    The horizon of other chains is taken as it stands; a chain's own rows move it as they are applied.
+    """
+    event, source = F.xxhash64(F.lit("event"), "event_id"), F.xxhash64(F.lit("source"), "source_id")
+    open_rows = state.withColumn("_a", event)
+    roots = components(open_rows.select(F.col("_a").alias("a"), source.alias("b")).distinct())
+    placed = open_rows.join(roots.withColumnsRenamed({"node": "_a", "root": "_chain"}), "_a").drop("_a")
+    moving = placed.filter("_next <> status").select("_chain").distinct().checkpoint()
+    rest = placed.join(moving, "_chain", "left_anti").select(*state.columns)
+    columns = ["seq", "event_id", "source_id", "payload_hash", "event_us", "_at", "_horizon"]
+    mine = placed.join(moving, "_chain", "left_semi")
+    solved = mine.select("_chain", *columns).groupBy("_chain").applyInPandas(_reader(retention_us), "seq bigint, _solved string")
+    mine = mine.join(solved, "seq").withColumn("_next", F.col("_solved"))
+    return rest.unionByName(mine.select(*state.columns))
+
+
+def _reader(retention_us: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Statuses of the rows of one chain as a sequential reader gives them."""
+
+    def read(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["_at", "seq"])
+        seen: dict = {}
+        owner: dict = {}
+        newest, out = None, []
+        fields = zip(*(rows[c].tolist() for c in ("event_id", "source_id", "payload_hash", "event_us", "_horizon")), strict=True)
+        for event_id, source_id, payload, at, horizon in fields:
+            limit = None if horizon is None or horizon != horizon else int(horizon)
+            if limit is not None and newest is not None:
+                limit = max(limit, newest - retention_us)
+            known, held = seen.get(event_id), owner.get(source_id)
+            known = known if known and (limit is None or known[0] >= limit) else None
+            held = held if held and (limit is None or held[0] >= limit) else None
+            if limit is not None and at < limit:
+                status = LATE
+            elif known:
+                status = PAYLOAD_CONFLICT if known[1] != payload else EVENT_ID_CONFLICT if known[2] != source_id else DUPLICATE
+            elif held and held[1] != event_id:
+                status = EVENT_ID_CONFLICT
+            else:
+                status = APPLIED
+                seen[event_id], owner[source_id] = (at, payload, source_id), (at, event_id)
+                newest = at if newest is None else max(newest, at)
+            out.append(status)
+        return pd.DataFrame({"seq": rows["seq"], "_solved": out})
+
+    return read
+
+
 def _status(horizon: Column) -> Column:
     """The order of the checks decides which status a delivery gets."""
 
