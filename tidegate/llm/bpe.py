@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegate.llm.common import fold, map_batches
+from tidegate.llm.common import fold, kept, map_batches
 from tidegate.llm.pretokens import END, Table, Vocabulary, looked_up, pieces, split
 
 
@@ -89,11 +89,6 @@ class Counter:
         return total
 
 
-@lru_cache(maxsize=2)
-def counter(content: str) -> Counter:
-    return Counter(content)
-
-
 def content_of(path: str) -> str:
     """A vocabulary file, read on the driver; its content (1 to 3 MB) goes with the tasks."""
     with open(path, encoding="utf-8") as file:
@@ -106,11 +101,12 @@ def token_counts(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: st
     vocabulary: path of a byte-level BPE file of the tokenizers library. Null and empty texts have 0 bytes and
     0 tokens; repeated rows stay repeated; special strings inside a text count as one token each; whole texts
     are counted, whatever their length. An empty table gives no rows."""
-    kept = docs.sparkSession.sparkContext.broadcast(content_of(vocabulary))
+    sent = docs.sparkSession.sparkContext.broadcast(content_of(vocabulary))
 
     def each(batch: pa.RecordBatch) -> dict:
         texts = batch.column(1).to_pylist()
-        return {"key": batch.column(0), "n_bytes": batch.column(2), "n_tokens": counter(kept.value).counts(texts)}
+        counter = kept("token counts", sent.value, lambda: Counter(sent.value))
+        return {"key": batch.column(0), "n_bytes": batch.column(2), "n_tokens": counter.counts(texts)}
 
     kind = docs.schema[key].dataType.simpleString()
     plain = docs.select(F.col(key).alias("key"), fold(text).alias("text")).withColumn("n_bytes", F.octet_length("text").cast("long"))

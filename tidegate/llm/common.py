@@ -49,6 +49,18 @@ def bounded(df: DataFrame) -> DataFrame:
     return df
 
 
+_kept: list = [None, None, None]
+
+
+def kept(name: str, owner: object, make: Callable[[], object]) -> object:
+    """What a Python worker keeps between batches for an operator and what it was sent; one such thing at a
+    time, so that a worker that serves one operator after another doesn't hold the tables of all of them."""
+    if _kept[0] != name or _kept[1] is not owner:
+        _kept[:] = [None, None, None]
+        _kept[:] = [name, owner, make()]
+    return _kept[2]
+
+
 def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
     """mapInArrow whose function gives a dictionary of columns for each batch of rows."""
     from pyspark.sql.pandas.types import to_arrow_schema

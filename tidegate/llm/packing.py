@@ -17,7 +17,7 @@ from tidegate.llm.common import bounded, fold
 from tidegate.llm.tokenids import token_groups
 
 #: Tokens that a task holds and packs at a time.
-GROUP = 1 << 22
+GROUP = 1 << 21
 
 
 class Rooms:
@@ -111,13 +111,13 @@ def pack_ids(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str =
     piece. A task packs what it reads in groups of `group` tokens, so nothing is shuffled or gathered.
     Null texts count as empty: with end_id they are one id, without they take no piece. Null keys and repeated
     rows stay. An empty table gives no rows. The pieces can be put together again with `unpacked`."""
-    kept = docs.sparkSession.sparkContext.broadcast(content_of(vocabulary))
+    sent = docs.sparkSession.sparkContext.broadcast(content_of(vocabulary))
     schema = SCHEMA.format(key=docs.schema[key].dataType.simpleString())
     target = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 40
-        for keys, ids, counts in token_groups(batches, kept.value, end_id, group):
+        for keys, ids, counts in token_groups(batches, sent.value, end_id, group):
             offsets = np.cumsum(counts) - counts
             windows = best_fit(counts.tolist(), window)
             for at in range(0, len(windows), 512):

@@ -96,13 +96,13 @@ def pack_documents(docs: DataFrame, vocabulary: str, key: str = "doc_id", text:
     no rows. sequence_id and step_id are unique over all tasks; steps hold about step_tokens tokens."""
     if any(t & (t - 1) for t in tiers) or list(tiers) != sorted(set(tiers), reverse=True):
         raise ValueError("tiers must be falling powers of two")
-    kept = docs.sparkSession.sparkContext.broadcast(content_of(vocabulary))
+    sent = docs.sparkSession.sparkContext.broadcast(content_of(vocabulary))
     schema = SCHEMA.format(key=docs.schema[key].dataType.simpleString(), ids=", ids binary" if with_ids else "")
     target = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sequence = step = TaskContext.get().partitionId() << 40
-        for keys, ids, counts in token_groups(batches, kept.value, end_id, group):
+        for keys, ids, counts in token_groups(batches, sent.value, end_id, group):
             ids = ids.astype("<u4", copy=False)
             offsets = np.cumsum(counts) - counts
             windows = pack_tiers(counts.tolist(), tiers)

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
+from tidegate.llm.common import kept
 from tidegate.llm.pretokens import END, Table, Vocabulary, looked_up, pieces, ragged, split
 
 #: Pre-tokens that the library encodes in one call.
@@ -63,14 +63,9 @@ class Encoder:
         return np.concatenate([*flat, np.zeros(0, np.uint32)]), total
 
 
-@lru_cache(maxsize=2)
-def encoder(content: str) -> Encoder:
-    return Encoder(content)
-
-
 def token_groups(batches: Iterator[pa.RecordBatch], content: str, end_id: int | None, most: int) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
     """(keys, ids, counts) of rows (key, text): groups of about `most` tokens, each text whole, end_id after it."""
-    coder, keys, flat, counts, size = encoder(content), [], [], [], 0
+    coder, keys, flat, counts, size = kept("token ids", content, lambda: Encoder(content)), [], [], [], 0
     for batch in batches:
         texts, names = batch.column(1).to_pylist(), batch.column(0).to_pylist()
         for i in range(0, len(texts), SLICE):

@@ -17,14 +17,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegate.llm.common import fifth, fold, map_batches, written
+from tidegate.llm.common import fifth, fold, kept, map_batches, written
 
 #: Characters of a gram: the next one and its context.
 ORDER = 8
 #: Labelled documents of each class that a model is fitted on, at most.
 MOST = 3000
 #: Words whose score a worker keeps before it starts anew.
-KEPT = 1 << 18
+KEPT = 1 << 17
 #: Log ratios from which a word is telling; the left-out documents decide which.
 TELLING = (3.5, 4.0, 4.5, 5.0)
 #: Texts handled at a time.
@@ -243,9 +243,6 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, key: str = "doc_id"
     return model
 
 
-_known: dict[int, dict[str, float]] = {}
-
-
 def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: key, score (0 to 1), ratio (root of the log-likelihood ratio by word).
 
@@ -255,9 +252,8 @@ def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
 
     def each(batch: pa.RecordBatch) -> dict:
         held, texts = shown.value, batch.column(1).to_pylist()
-        if id(held) not in _known:
-            _known.clear()
-        ratio = np.concatenate([features(texts[i : i + SLICE], held, _known.setdefault(id(held), {}), (held.telling,))[:, 0] for i in range(0, len(texts), SLICE)])
+        known = kept("toxicity", held, dict)
+        ratio = np.concatenate([features(texts[i : i + SLICE], held, known, (held.telling,))[:, 0] for i in range(0, len(texts), SLICE)])
         return {"key": batch.column(0), "score": held.probability(ratio), "ratio": ratio}
 
     kind = docs.schema[key].dataType.simpleString()
@@ -277,11 +273,9 @@ def score_of(spark, model: Model):
     shown = spark.sparkContext.broadcast(model)
 
     def scores(texts: pd.Series) -> pd.Series:
-        held = shown.value
-        if id(held) not in _known:
-            _known.clear()
-        column = texts.fillna("").tolist()
-        parts = [features(column[i : i + SLICE], held, _known.setdefault(id(held), {}), (held.telling,))[:, 0] for i in range(0, len(column), SLICE)]
+        held, column = shown.value, texts.fillna("").tolist()
+        known = kept("toxicity", held, dict)
+        parts = [features(column[i : i + SLICE], held, known, (held.telling,))[:, 0] for i in range(0, len(column), SLICE)]
         return pd.Series(held.probability(np.concatenate([*parts, np.zeros(0)])))
 
     return F.pandas_udf(scores, "double")
