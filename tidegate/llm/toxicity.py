@@ -100,7 +100,7 @@ class Model:
     context: np.ndarray
     context_ratio: np.ndarray
     slope: float = 1.0
-    offset: float = 0.0
+    offset: float = -4.0  # without labels of both classes to place the curve, a text is taken as ordinary
     telling: float = TELLING[0]
 
     def words(self, words: list[str]) -> np.ndarray:
@@ -231,7 +231,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, key: str = "doc_id"
         return {"feature": np.concatenate(parts).tolist(), "toxic": batch.column(1)}
 
     rest = map_batches(sample.where("part = 0").select("text", "toxic"), each, "feature array<double>, toxic int").toPandas()
-    if len(rest):
+    if rest["toxic"].nunique() == 2:
         share = rest["toxic"].map({k: n / max(1, (rest["toxic"] == k).sum()) for k, n in total.items()}).to_numpy(float)
         x, y, best = np.stack(rest["feature"].to_numpy()), rest["toxic"].to_numpy(float), np.inf
         for i, limit in enumerate(TELLING):
