@@ -61,7 +61,8 @@ def test_odd_rows_get_scores(spark, odd, none):
     blank = {r["score"] for r in got if r["doc_id"] in (0, 1, 2)}
     assert len(blank) == 1
     for docs, known in ((none, labels), (odd, labels.limit(0))):
-        assert all(not r["predicted"] for r in (got := toxicity.toxicity(docs, known).collect())) and len(got) == docs.count()
+        got = toxicity.toxicity(docs, known).collect()
+        assert len(got) == docs.count() and not any(r["predicted"] for r in got)
 
 
 def test_kneser_ney_probabilities_sum_to_one():
