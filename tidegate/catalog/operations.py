@@ -442,6 +442,7 @@ def str5(spark, folder):
     return ops.lag(load(spark, folder, "partitions"), NOW + 2 * DAY_US, 7 * DAY_US)
 
 
+# The upper bounds of the delay histogram.
 _BOUNDS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 30.0, 60.0, 300.0)
 
 

@@ -45,7 +45,7 @@ def apply_events(
     `watermark_us` is the watermark that earlier deliveries, which are not among the rows, have left.
     """
     if retention_us < MAX_WINDOW:
-        raise ValueError("retention must cover the largest feature window")
+        raise ValueError("retention_us is shorter than the longest window of the features")
     at = F.col("received_us") if available is None else available
     rows = deliveries.withColumn("_at", at)
     span = Observation()

@@ -28,7 +28,7 @@ DEGRADED_CODES = (
 def decide(score: Column, review: float, decline: float | None) -> Column:
     """struct(action, reason); limits are inclusive, and a missing score is never approved."""
     if not 0.0 <= review <= (1.0 if decline is None else decline) <= 1.0:
-        raise ValueError("thresholds must satisfy 0 <= review <= decline <= 1")
+        raise ValueError("limits must lie between 0 and 1, and that of review not above that of decline")
 
     def outcome(action: str, reason: str) -> Column:
         return F.struct(F.lit(action).alias("action"), F.lit(reason).alias("reason"))

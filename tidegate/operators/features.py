@@ -44,11 +44,11 @@ APPLIED = "applied"
 def available_at(delay_us: int = 0, availability: str = "arrival") -> Column:
     """When an event becomes history. `event_time` ignores arrival and exists to measure the leak."""
     if delay_us < 0:
-        raise ValueError("processing delay cannot be negative")
+        raise ValueError("delay_us is below zero")
     if availability == "event_time":
         return F.col("event_us")
     if availability != "arrival":
-        raise ValueError(f"unknown availability: {availability}")
+        raise ValueError(f"availability is arrival or event_time, not {availability}")
     return F.col("received_us") + lit(delay_us)
 
 
@@ -216,7 +216,7 @@ def history_complete(
     all rows.
     """
     if retention_us < MAX_WINDOW:
-        raise ValueError("retention must cover the largest feature window")
+        raise ValueError("retention_us is shorter than the longest window of the features")
     slack = retention_us - MAX_WINDOW
     nothing = F.lit(None).cast("bigint")
     event, decided = F.col("event_us"), F.col("decision_us")
