@@ -125,6 +125,20 @@ def test_one_of_each_group_of_near_copies_stays(spark):
     assert got == want and len(want) < len(rows)
 
 
+@pytest.mark.parametrize("size,other", [(4, 5), (8, 10), (9, 9), (18, 18), (16, 20)])
+def test_short_near_copies_are_found(spark, size, other):
+    rng = random.Random(size)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows = []
+    for _ in range(60):
+        words = [word() for _ in range(size + 4)]
+        copy = words + [word() for _ in range(other - size)] if other > size else [*words[:-1], word()]
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(copy))]
+    want = kept_of(rows)
+    got = sorted(r["doc_id"] for r in nearcopies.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect())
+    assert got == want == list(range(0, 120, 2))
+
+
 def test_near_copies_of_odd_rows(odd, none):
     rows = odd.collect()
     left = nearcopies.one_of_each(odd)

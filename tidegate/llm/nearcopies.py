@@ -1,10 +1,12 @@
-"""Near copies by word shingles: SimHash candidates, exact similarity, one document of each group.
+"""Near copies by word shingles: candidates by prefixes and SimHash, exact similarity, one document of each group.
 
-A pair just above the similarity differs in more bits of a whole document's fingerprint than covering tables
-can span. So each document also gets fingerprints of parts: shingles are dealt to parts by their hash, alike
-in all documents, and a part of a near copy often holds the very same few shingles. Equal fingerprints of a
-part, and whole fingerprints within the radius, make candidates; only pairs whose shingle sets reach the
-similarity link."""
+Sets of few shingles are ordered by how often a shingle occurs, rare ones first. Two sets that share enough
+of their union share one of the first n - ceil(similarity n) + 1, so no pair of short documents is missed. A
+pair of long ones just above the similarity differs in more bits of a whole document's fingerprint than
+covering tables can span. So each also gets fingerprints of parts: shingles are dealt to parts by their hash,
+alike in all documents, and a part of a near copy often holds the very same few shingles. Equal prefix
+shingles, equal fingerprints of a part, and whole fingerprints within the radius, make candidates; only pairs
+whose shingle sets reach the similarity link."""
 
 from __future__ import annotations
 
@@ -18,12 +20,14 @@ from pyspark.sql import functions as F
 
 from tidegate.llm.common import fold, map_batches, written
 from tidegate.llm.components import components
-from tidegate.llm.simhash import BLOCK, SEED, links
+from tidegate.llm.simhash import BLOCK, SEED, masks, signed
 
 #: Shingles of a part are between this many and twice as many on average; parts of a document, at most.
 PART, PARTS = 3, 16
-#: Texts handled at a time.
-SLICE = 64
+#: Shingles up to which a set is short: its candidates are exact. Pairs with a larger set go by fingerprints.
+SHORT = 64
+#: Places of the counts that order shingles; those that share one count together, which any order allows.
+SLOTS = 1 << 16
 
 
 def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
@@ -63,15 +67,16 @@ def part_prints(kinds: np.ndarray, similarity: float) -> list[tuple[int, int]]:
     return out
 
 
-SKETCH = "row bigint, key {key}, h1 bigint, h2 bigint, w1 bigint, w2 bigint, low bigint, fp bigint, parts array<struct<part: int, print: bigint>>, shingles binary"
+SKETCH = "row bigint, key {key}, h1 bigint, h2 bigint, w1 bigint, w2 bigint, n int, fp bigint, parts array<struct<part: int, print: bigint>>, shingles binary"
 
 
 def sketched(docs: DataFrame, key: str, text: str, size: int, similarity: float) -> DataFrame:
-    """One row per document with what the steps need: a row number, hashes of the text and of its words, the
-    least shingle, the fingerprints of whole and parts, and the distinct shingles as 32-bit hashes."""
+    """One row per document with what the steps need: a row number, hashes of the text and of its words,
+    the fingerprints of whole and parts (of sets that a long one may be like), and the distinct shingles as
+    32-bit hashes with their number."""
 
     def each(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {c: [] for c in ("w1", "w2", "low", "fp", "parts", "shingles")}
+        out: dict[str, list] = {c: [] for c in ("w1", "w2", "n", "fp", "parts", "shingles")}
         for text in batch.column(4).to_pylist():
             words = text.encode().lower().split()
             joined = b" ".join(words)
@@ -79,10 +84,12 @@ def sketched(docs: DataFrame, key: str, text: str, size: int, similarity: float)
                 out[f"w{i}"].append(int.from_bytes(xxhash.xxh64_digest(joined, i), "big", signed=True))
             hashes = shingle_hashes(words, size)
             kinds = np.unique(hashes)
-            out["low"].append(int(kinds[:1].view(np.int64)[0]) if len(kinds) else 0)
-            out["fp"].append(majority(hashes) if len(hashes) else 0)
-            out["parts"].append([{"part": p, "print": f} for p, f in part_prints(kinds, similarity)])
-            out["shingles"].append(np.unique((kinds >> np.uint64(32)).astype("<u4")).tobytes())
+            held = np.unique((kinds >> np.uint64(32)).astype("<u4"))
+            long = len(held) >= math.floor(similarity * SHORT)
+            out["n"].append(len(held))
+            out["fp"].append(majority(hashes) if long else 0)
+            out["parts"].append([{"part": p, "print": f} for p, f in part_prints(kinds, similarity)] if long else [])
+            out["shingles"].append(held.tobytes())
         return {"row": batch.column(3), "key": batch.column(0), "h1": batch.column(1), "h2": batch.column(2), **out}
 
     marks = [F.xxhash64(F.lit(i), fold(text)).alias(f"h{i}") for i in (1, 2)]
@@ -104,23 +111,51 @@ def similar(pairs: DataFrame, similarity: float) -> DataFrame:
     return map_batches(pairs, each, "a bigint, b bigint, keep boolean").where("keep").select("a", "b")
 
 
-def candidates(nodes: DataFrame, radius: int) -> DataFrame:
-    """(a, b), b < a, for nodes (row, low, fp, parts): every member of a bucket with the bucket's first one.
+def slot_counts(sets: DataFrame) -> np.ndarray:
+    """How many shingles of all sets fall into each slot."""
 
-    Buckets are equal parts, and equal parts with an equal least shingle, which keeps near copies apart from
-    others that share a passage; and whole fingerprints within the radius."""
-    each = nodes.select("row", "low", F.explode("parts").alias("p")).select("row", "low", "p.part", "p.print")
-    edges = None
-    for key in (["part", "print"], ["part", "print", "low"]):
-        firsts = each.groupBy(*key).agg(F.min("row").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
-        found = each.join(firsts, key).where("row != b").select(F.col("row").alias("a"), "b")
-        edges = found if edges is None else edges.union(found)
-    prints = written(nodes.groupBy("fp").agg(F.min("row").alias("b")), "prints")
-    same = nodes.join(prints, "fp").where("row != b").select(F.col("row").alias("a"), "b")
-    near = links(prints.select("fp"), radius)
-    near = near.join(prints.select(F.col("fp").alias("a"), F.col("b").alias("x")), "a").join(prints.select(F.col("fp").alias("b"), F.col("b").alias("y")), "b")
-    near = near.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
-    return edges.union(same).union(near).distinct()
+    def each(batch: pa.RecordBatch) -> dict:
+        held = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u4")
+        counts = np.bincount(held % SLOTS, minlength=SLOTS)
+        slots = np.flatnonzero(counts)
+        return {"slot": slots, "n": counts[slots]}
+
+    out = np.zeros(SLOTS, np.int64)
+    for r in map_batches(sets.select("shingles"), each, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).collect():
+        out[r["slot"]] = r["n"]
+    return out
+
+
+def prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """(row, n, k): the rarest shingles of each set, as many as make every similar pair share one."""
+    counts = slot_counts(sets)
+
+    def each(batch: pa.RecordBatch) -> dict:
+        taken, sizes = [], []
+        for held in batch.column(2).to_pylist():
+            x = np.frombuffer(held, "<u4")
+            take = len(x) - math.ceil(similarity * len(x) - 1e-9) + 1
+            taken.append(x[np.lexsort((x, counts[x % SLOTS]))[:take]])
+            sizes.append(len(taken[-1]))
+        place = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+        return {"row": batch.column(0).take(place), "n": batch.column(1).take(place), "k": np.concatenate(taken).astype(np.int64)}
+
+    return map_batches(sets.select("row", "n", "shingles"), each, "row bigint, n int, k bigint")
+
+
+def buckets(seen: DataFrame, nodes: DataFrame, similarity: float, radius: int) -> DataFrame:
+    """(kind, k, row, n, first, members) for the given nodes (row): the buckets of more than one, with their least row.
+
+    Kinds from 0 are equal parts; -1 is an equal shingle of the prefixes of short sets; kinds below are the
+    covering tables of whole fingerprints."""
+    short = prefixes(seen.where(F.col("n").between(1, SHORT)), similarity).select(F.lit(-1).alias("kind"), "k", "row", "n")
+    long = seen.where(F.col("n") >= math.floor(similarity * SHORT))
+    tables = [F.struct(F.lit(-2 - t).alias("kind"), F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long")).alias("k")) for t, m in enumerate(masks(radius))]
+    parts = F.transform("parts", lambda p: F.struct(p["part"].alias("kind"), p["print"].alias("k")))
+    each = long.select("row", "n", F.explode(F.concat(parts, F.array(*tables))).alias("p")).select("p.kind", "p.k", "row", "n")
+    each = each.union(short).join(nodes, "row").select("kind", "k", "row", "n")
+    firsts = each.groupBy("kind", "k").agg(F.min("row").alias("first"), F.count("*").alias("members")).where("members > 1")
+    return written(each.join(firsts, ["kind", "k"]).select("kind", "k", "row", "n", "first", "members"), "buckets")
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8, radius: int = 3) -> DataFrame:
@@ -132,8 +167,8 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     key and text one stays. Null keys come first. An empty table gives no rows."""
     seen = sketched(docs, key, text, size, similarity)
     nodes = written(seen.groupBy("w1", "w2").agg(F.min("row").alias("node")), "nodes")
-    alone = seen.join(nodes.select(F.col("node").alias("row")), "row").select("row", "low", "fp", "parts")
-    pairs = written(candidates(alone, radius), "candidates")
+    shared = buckets(seen, nodes.select(F.col("node").alias("row")), similarity, radius)
+    pairs = written(shared.where("row != first").select(F.col("row").alias("a"), F.col("first").alias("b")).distinct(), "candidates")
     sets = seen.select("row", "shingles")
     both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
     roots = components(similar(both, similarity))
