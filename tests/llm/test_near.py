@@ -139,6 +139,34 @@ def test_short_near_copies_are_found(spark, size, other):
     assert got == want == list(range(0, 120, 2))
 
 
+def versions(rng, families, times, length, changed):
+    """Edited versions of some texts, mostly unlike each other, every fourth with a near copy of its own."""
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows = []
+    for _ in range(families):
+        words = [word() for _ in range(length)]
+        for i in range(times):
+            copy = [word() if rng.random() < changed else w for w in words]
+            rows.append(" ".join(copy))
+            if i % 4 == 0:
+                place = rng.randrange(length)
+                rows.append(" ".join([*copy[:place], word(), *copy[place + 1 :]]))
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("small,block", [(32, 256), (4, 16)])
+def test_near_copies_among_versions_of_one_text(spark, monkeypatch, small, block):
+    """Versions share buckets with first members that they aren't like."""
+    monkeypatch.setattr(nearcopies, "SMALL", small)
+    monkeypatch.setattr(nearcopies, "MEMBERS", block)
+    rng = random.Random(8)
+    rows = [(i, t) for i, (_, t) in enumerate(versions(rng, 2, 150, 60, 0.04) + versions(rng, 2, 150, 250, 0.035))]
+    want = kept_of(rows)
+    got = sorted(r["doc_id"] for r in nearcopies.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect())
+    assert got == want
+
+
 def test_near_copies_of_odd_rows(odd, none):
     rows = odd.collect()
     left = nearcopies.one_of_each(odd)

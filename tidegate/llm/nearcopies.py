@@ -13,9 +13,10 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegate.llm.common import fold, map_batches, written
@@ -26,6 +27,8 @@ from tidegate.llm.simhash import BLOCK, SEED, masks, signed
 PART, PARTS = 3, 16
 #: Shingles up to which a set is short: its candidates are exact. Pairs with a larger set go by fingerprints.
 SHORT = 64
+#: Members up to which a bucket's pairs are listed, and members of a block of a larger one.
+SMALL, MEMBERS = 32, 256
 #: Places of the counts that order shingles; those that share one count together, which any order allows.
 SLOTS = 1 << 16
 
@@ -148,14 +151,77 @@ def buckets(seen: DataFrame, nodes: DataFrame, similarity: float, radius: int) -
 
     Kinds from 0 are equal parts; -1 is an equal shingle of the prefixes of short sets; kinds below are the
     covering tables of whole fingerprints."""
-    short = prefixes(seen.where(F.col("n").between(1, SHORT)), similarity).select(F.lit(-1).alias("kind"), "k", "row", "n")
-    long = seen.where(F.col("n") >= math.floor(similarity * SHORT))
+    short = prefixes(seen.where(F.col("n").between(1, SHORT)), similarity).join(nodes, "row").select(F.lit(-1).alias("kind"), "k", "row", "n")
+    long = seen.where(F.col("n") >= math.floor(similarity * SHORT)).select("row", "n", "fp", "parts").join(nodes, "row")
     tables = [F.struct(F.lit(-2 - t).alias("kind"), F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long")).alias("k")) for t, m in enumerate(masks(radius))]
     parts = F.transform("parts", lambda p: F.struct(p["part"].alias("kind"), p["print"].alias("k")))
-    each = long.select("row", "n", F.explode(F.concat(parts, F.array(*tables))).alias("p")).select("p.kind", "p.k", "row", "n")
-    each = each.union(short).join(nodes, "row").select("kind", "k", "row", "n")
-    firsts = each.groupBy("kind", "k").agg(F.min("row").alias("first"), F.count("*").alias("members")).where("members > 1")
-    return written(each.join(firsts, ["kind", "k"]).select("kind", "k", "row", "n", "first", "members"), "buckets")
+    each = long.select("row", "n", F.explode(F.concat(parts, F.array(*tables))).alias("p")).select("p.kind", "p.k", "row", "n").union(short)
+    bucket = Window.partitionBy("kind", "k")
+    placed = each.withColumns({"first": F.min("row").over(bucket), "members": F.count("*").over(bucket)})
+    return written(placed.where("members > 1"), "buckets")
+
+
+def across(rows: np.ndarray, roots: np.ndarray, blocks: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Similar pairs that join what isn't joined yet, between two blocks, or within one if there is one only.
+
+    Intersections are counted over the places of each shingle, for all members at once."""
+    sizes = np.array([len(x) for x in sets])
+    values, owners = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(values, kind="stable")
+    values, owners = values[order], owners[order]
+    parent = {int(r): int(r) for r in roots}
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out, one = [], blocks.min() == blocks.max()
+    for i in np.flatnonzero(blocks == blocks.min()):
+        lows, highs = np.searchsorted(values, sets[i]), np.searchsorted(values, sets[i], "right")
+        lengths = highs - lows
+        at = np.repeat(lows - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+        both = np.bincount(owners[at], minlength=len(sets))
+        fits = (both >= similarity * (sizes + sizes[i] - both)) & (roots != roots[i])
+        fits &= np.arange(len(sets)) > i if one else blocks != blocks[i]
+        for j in np.flatnonzero(fits):
+            a, b = find(int(roots[i])), find(int(roots[j]))
+            if a != b:
+                parent[a] = b
+                out.append((int(rows[i]), int(rows[j])))
+    return out
+
+
+def unjoined(shared: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): similar pairs of members of a bucket that have different roots (node, root) so far.
+
+    Buckets whose members all have one root are done. The others' pairs across roots are all compared:
+    listed in small buckets, block against block in large ones; of buckets with the same members one is."""
+    placed = shared.join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
+    marks = [F.bit_xor(F.xxhash64(F.lit(i), "row")).alias(f"x{i}") for i in (1, 2)]
+    open_ = placed.groupBy("kind", "k").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("members").alias("size"), F.min("row").alias("least"), *marks)
+    open_ = open_.where("low != high").dropDuplicates(["size", "least", "x1", "x2"]).select("kind", "k")
+    members = written(placed.join(open_, ["kind", "k"]), "open")
+    listed = members.where(F.col("members") <= SMALL).groupBy("kind", "k", "first").agg(F.collect_list(F.struct("row", "root", "n")).alias("held"))
+    listed = listed.select("first", "held", F.explode("held").alias("x"))
+    near = lambda y: (y["row"] < F.col("x.row")) & (y["row"] != F.col("first")) & (y["root"] != F.col("x.root")) & (F.least(y["n"], F.col("x.n")) >= similarity * F.greatest(y["n"], F.col("x.n")) - 1e-9)
+    pairs = listed.select(F.col("x.row").alias("a"), F.explode(F.filter("held", near)).alias("y")).select("a", F.col("y.row").alias("b")).distinct()
+    few = similar(pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb"), similarity)
+    blocks = F.ceil(F.col("members") / MEMBERS).cast("int")
+    many = members.where(F.col("members") > SMALL).withColumn("block", F.pmod(F.xxhash64(F.lit(3), "row"), blocks).cast("int"))
+    many = many.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    many = many.select("kind", "k", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "row", "root", "block").join(sets, "row")
+
+    def each(frame: pd.DataFrame) -> pd.DataFrame:
+        found: list[tuple[int, int]] = []
+        frame = frame.sort_values("row", ignore_index=True)
+        if frame["root"].nunique() > 1 and (frame["i"].iloc[0] == frame["j"].iloc[0] or frame["block"].nunique() > 1):
+            held = [np.frombuffer(x, "<u4") for x in frame["shingles"]]
+            found = across(frame["row"].to_numpy(), frame["root"].to_numpy(), frame["block"].to_numpy(), held, similarity)
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return few.union(many.groupBy("kind", "k", "i", "j").applyInPandas(each, "a bigint, b bigint"))
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8, radius: int = 3) -> DataFrame:
@@ -171,7 +237,9 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     pairs = written(shared.where("row != first").select(F.col("row").alias("a"), F.col("first").alias("b")).distinct(), "candidates")
     sets = seen.select("row", "shingles")
     both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
-    roots = components(similar(both, similarity))
+    joined = written(similar(both, similarity), "joined")
+    more = written(unjoined(shared, written(components(joined), "roots"), sets, similarity), "more")
+    roots = components(joined.union(more))
     groups = nodes.join(roots, "node", "left").select("w1", "w2", F.coalesce("root", "node").alias("root"))
     one = F.min(F.struct("key", "row", "h1", "h2")).alias("one")
     kept = seen.select("key", "row", "h1", "h2", "w1", "w2").join(groups, ["w1", "w2"]).groupBy("root").agg(one)
