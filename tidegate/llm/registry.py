@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm import bpe, chunks, embeddings, lm, mixing, packing, simhash, surrogates, tiers, toxicity
+from tidegate.llm import bpe, captures, chunks, embeddings, lm, merkle, mixing, oracles, packing, simhash, surrogates, tiers, toxicity
 from tidegate.llm.common import table
 
 
@@ -64,5 +64,16 @@ def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_entities", "kinds", "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_fingerprints, op4_packed_ids, op5_tiered_packing, op6_embeddings, op7_simhash, op8_mixing, op9_language_scores, op10_surrogates)}
-ORACLES: dict[str, str] = {}
+def op11_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The table has no time of capture: one second per id, from a fixed day on.
+    at = (F.lit(1_704_067_200) + F.coalesce(F.pmod("page_id", F.lit(31_536_000)), F.lit(0))) * 1_000_000
+    found = captures.captured(table(spark, sf_dir, "pages").withColumn("captured_us", at))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "capture_no")
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_fingerprints, op4_packed_ids, op5_tiered_packing, op6_embeddings, op7_simhash, op8_mixing, op9_language_scores, op10_surrogates, op11_captures, op13_manifest)}
+ORACLES: dict[str, str] = oracles.ORACLES
