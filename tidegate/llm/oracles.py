@@ -76,3 +76,27 @@ SELECT e.doc_id, e.leaf, t.h AS subroot, top.h AS root, coalesce(p.proof_sha256,
 FROM e JOIN tops t USING (tree) CROSS JOIN top LEFT JOIN proofs p USING (id) JOIN folded g USING (id)"""
 
 ORACLES["op13_manifest"] = MANIFEST
+
+PREFIXES = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT *, sha256(CAST(strlen(role) AS VARCHAR) || ':' || role || text) AS key FROM t),
+o AS (SELECT conv_id, list(key ORDER BY turn NULLS FIRST, key) AS ids, {crc32('CAST(conv_id AS VARCHAR)')} % 6 AS h FROM k GROUP BY conv_id),
+r AS (SELECT o.conv_id, list_concat(coalesce(b.ids[1:CAST(o.h AS BIGINT)], []), o.ids[CAST(o.h AS BIGINT) + 1:]) AS ids
+      FROM o LEFT JOIN o b ON b.conv_id = o.conv_id - o.conv_id % 100),
+c AS (SELECT key, any_value(length(text)) AS chars FROM k GROUP BY key),
+m AS (SELECT conv_id, ids, unnest(range(len(ids) + 1)) AS depth FROM r),
+p AS (SELECT conv_id, depth, ids[1:depth] AS prefix, ids[1:depth - 1] AS up, len(ids) = depth AS ends FROM m),
+n AS (SELECT prefix, any_value(up) AS up, depth, min(conv_id) AS low, count(*) AS n,
+             sha256(coalesce(string_agg(CASE WHEN ends THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '')) AS ends_sha256
+      FROM p GROUP BY prefix, depth),
+w AS (SELECT n.*, coalesce((n.n - 1) * c.chars, 0) AS own FROM n LEFT JOIN c ON n.depth > 0 AND c.key = n.prefix[n.depth]),
+kids AS (SELECT up, count(*) AS kids FROM w WHERE depth > 0 GROUP BY up),
+x AS (SELECT w.*, coalesce(kids.kids, 0) AS kids FROM w LEFT JOIN kids ON kids.up = w.prefix),
+a AS (SELECT prefix, own, kids, unnest(range(depth + 1)) AS d FROM x),
+s AS (SELECT prefix[1:d] AS anc, sum(own) AS saved, count(*) FILTER (WHERE kids = 0) AS leaves FROM a GROUP BY 1)
+SELECT x.low AS conv_id, x.depth, q.low AS parent_conv_id, x.n AS n_convs, x.kids AS n_children, s.leaves AS n_leaves,
+       CAST(s.saved AS BIGINT) AS saved_tokens, x.ends_sha256
+FROM x JOIN s ON s.anc = x.prefix LEFT JOIN n q ON x.depth > 0 AND q.prefix = x.up"""
+
+ORACLES["op12_prefixes"] = PREFIXES

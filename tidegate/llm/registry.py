@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm import bpe, captures, chunks, embeddings, lm, merkle, mixing, oracles, packing, simhash, surrogates, tiers, toxicity
+from tidegate.llm import bpe, captures, chunks, embeddings, lm, merkle, mixing, oracles, packing, prefixes, simhash, surrogates, tiers, toxicity
 from tidegate.llm.common import table
 
 
@@ -71,9 +71,13 @@ def op11_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "capture_no")
 
 
+def op12_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_fingerprints, op4_packed_ids, op5_tiered_packing, op6_embeddings, op7_simhash, op8_mixing, op9_language_scores, op10_surrogates, op11_captures, op13_manifest)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_fingerprints, op4_packed_ids, op5_tiered_packing, op6_embeddings, op7_simhash, op8_mixing, op9_language_scores, op10_surrogates, op11_captures, op12_prefixes, op13_manifest)}
 ORACLES: dict[str, str] = oracles.ORACLES
