@@ -125,3 +125,44 @@ def test_long_chains_need_few_rounds(spark, monkeypatch):
     monkeypatch.setattr(ap, "_status", lambda horizon: rounds.append(1) or status(horizon))
     got = {r["seq"]: r["status"] for r in ap.apply_events(spark.createDataFrame(rows, COLUMNS)).collect()}
     assert got == fold(rows, ap.RETENTION) and len(rounds) <= 9
+
+
+@pytest.mark.parametrize("seed,days,limit", [(1, 20, 100_000), (2, 100, 100_000), (3, 60, 90)])
+def test_dense_chains_equal_the_sequential_reader(spark, monkeypatch, seed, days, limit):
+    """Ids and sources drawn from a few, with repeats, over more than the horizon; long chains in several reads."""
+    monkeypatch.setattr(ap, "CHAIN_ROWS", limit)
+    rng = random.Random(seed)
+    rows = []
+    for i in range(220):
+        event, source = f"e{rng.randrange(25)}", f"s{rng.randrange(25)}"
+        rows.append((i, event, source, rng.choice("aab"), max(0, i * days * DAY // 220 - rng.choice([0, 0, 40 * DAY])), i // 2))
+        if rng.random() < 0.3:
+            rows.append((1000 + i, *rng.choice(rows)[1:5], i // 2))
+    got = {r["seq"]: r["status"] for r in ap.apply_events(spark.createDataFrame(rows, COLUMNS)).collect()}
+    assert got == fold(rows, ap.RETENTION)
+
+
+def test_repeats_of_a_hot_id_are_not_read_with_its_chain(spark, monkeypatch):
+    """A chain that moves, and twenty thousand repeats of its last id: the group holds the chain alone."""
+    sizes = []
+    reader = ap._reader
+    path = []
+
+    def measured(retention):
+        read = reader(retention)
+
+        def count(rows):
+            assert len(rows) <= 300, len(rows)
+            return read(rows)
+
+        path.append(1)
+        return count
+
+    monkeypatch.setattr(ap, "_reader", measured)
+    links = [(2 * i + k, f"e{i + k}", f"s{i}", "h", 1000 + i, i) for i in range(120) for k in (0, 1)]
+    many = spark.range(20_000).selectExpr("id + 1000 AS seq", "'e120' AS event_id", "'s119' AS source_id", "'h' AS payload_hash", "1119L AS event_us", "id + 500 AS received_us")
+    got = ap.apply_events(spark.createDataFrame(links, COLUMNS).unionByName(many)).checkpoint()
+    want = fold(links + [(1000, "e120", "s119", "h", 1119, 500), (1001, "e120", "s119", "h", 1119, 501)], ap.RETENTION)
+    have = {r["seq"]: r["status"] for r in got.filter("seq < 1002").collect()}
+    assert have == want and path and not sizes
+    assert got.filter("seq > 1000").select("status").distinct().collect() == [(want[1001],)]

@@ -5,8 +5,10 @@ applied rows only. Rows whose id and source occur once and that can not be late
 happens to the others. The rest is solved by rounds: each round takes the statuses of the round
 before, and the first rows of the order that are right stay right, so rounds that change nothing
 have reached the sequential result. Repeats of an id settle in two or three rounds, however many there
-are; rows that depend on each other through a chain of ids and sources would take a round for each link,
-so what still changes then is solved chain by chain in one pass, and checked by further rounds.
+are; rows that depend on each other through a chain of ids and sources would take a round for each link.
+What still changes then is solved chain by chain, and checked by further rounds: a chain is reduced to the
+deliveries that can change its state, and at most CHAIN_ROWS of them are read at once, from the first that
+changed on; what follows them is read after the next rounds.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from tidegate.functions.times import lit
 from tidegate.operators.features import APPLIED, MAX_WINDOW, RETENTION
 from tidegate.plans.components import components
 from tidegate.plans.ordered import ROWS_PER_CHUNK, Chunked, chunked, last_before, running
@@ -29,6 +32,7 @@ LATE = "late_beyond_horizon"
 STATUSES = (APPLIED, DUPLICATE, PAYLOAD_CONFLICT, LATE, EVENT_ID_CONFLICT)
 # Statuses whose message is kept with a reason instead of being dropped.
 ROUNDS = 3  # rounds before chains are solved by themselves
+CHAIN_ROWS = 100_000  # deliveries of one chain that are read in one group
 DEAD_LETTER_STATUSES = (PAYLOAD_CONFLICT, EVENT_ID_CONFLICT, LATE)
 
 
@@ -113,7 +117,7 @@ def _rounds(
 ) -> DataFrame:
     chunks = chunked(open_rows, [F.col("_at"), F.col("seq")], rows_per_chunk, "_c")
     state = chunks.df.withColumn("status", F.lit(APPLIED))
-    order, count = ["_at", "seq"], 0
+    order, count, roots = ["_at", "seq"], 0, None
     while True:
         applied = F.col("status") == APPLIED
         identity = F.struct("event_id", "event_us", "payload_hash", "source_id")
@@ -131,49 +135,109 @@ def _rounds(
         else:
             marked, horizon = step.df, F.lit(None).cast("bigint")
         state_next = marked.withColumn("_next", _status(horizon)).withColumn("_horizon", horizon).select(
-            *state.columns, "_next", "_horizon"
+            *state.columns, "_next", "_horizon", "_seen", "_owner"
         ).checkpoint()
         changed = not state_next.filter("_next <> status").isEmpty()
         count += 1
         if changed and count % ROUNDS == 0:
-            state_next = _by_chain(state_next, retention_us).checkpoint()
-        state = state_next.withColumn("status", F.col("_next")).drop("_next", "_horizon")
+            if roots is None:
+                event, source = _nodes()
+                edges = open_rows.select(event.alias("a"), source.alias("b")).distinct()
+                roots = components(edges).withColumnsRenamed({"node": "_a", "root": "_chain"})
+            state_next = _by_chain(Chunked(state_next, "_c", chunks.single), roots, retention_us, horizon_matters).checkpoint()
+        state = state_next.withColumn("status", F.col("_next")).drop("_next", "_horizon", "_seen", "_owner")
         if not changed:
             return state
 
 
-def _by_chain(state: DataFrame, retention_us: int) -> DataFrame:
+def _nodes() -> tuple[Column, Column]:
+    return F.xxhash64(F.lit("event"), "event_id"), F.xxhash64(F.lit("source"), "source_id")
+
+
+def _by_chain(state: Chunked, roots: DataFrame, retention_us: int, horizon_matters: bool) -> DataFrame:
     """`_next` of rows whose chain still changes, read in order within each chain of shared ids and sources.
 
-    The horizon of other chains is taken as it stands; a chain's own rows move it as they are applied.
-    """
-    event, source = F.xxhash64(F.lit("event"), "event_id"), F.xxhash64(F.lit("source"), "source_id")
-    open_rows = state.withColumn("_a", event)
-    roots = components(open_rows.select(F.col("_a").alias("a"), source.alias("b")).distinct())
-    placed = open_rows.join(roots.withColumnsRenamed({"node": "_a", "root": "_chain"}), "_a").drop("_a")
-    moving = placed.filter("_next <> status").select("_chain").distinct().checkpoint()
-    rest = placed.join(moving, "_chain", "left_anti").select(*state.columns)
-    columns = ["seq", "event_id", "source_id", "payload_hash", "event_us", "_at", "_horizon"]
-    mine = placed.join(moving, "_chain", "left_semi")
-    solved = mine.select("_chain", *columns).groupBy("_chain").applyInPandas(_reader(retention_us), "seq bigint, _solved string")
-    mine = mine.join(solved, "seq").withColumn("_next", F.col("_solved"))
-    return rest.unionByName(mine.select(*state.columns))
+    The horizon that other rows give is taken as it stands; a chain's own rows move it as they are applied. What comes
+    before a chain's first change is right, and enters as the records that the rows after it see first."""
+    columns = state.df.columns
+    placed = state.df.withColumn("_a", _nodes()[0]).join(roots, "_a").drop("_a")
+    change = F.struct(F.col("_at").alias("at"), F.col("seq").alias("seq"))
+    moving = placed.filter("_next <> status").groupBy("_chain").agg(F.min(change).alias("_from")).checkpoint()
+    few = moving.count() <= 10_000
+    placed = placed.join(F.broadcast(moving) if few else moving, "_chain", "left")
+    open_ = F.coalesce(change >= F.col("_from"), F.lit(False))
+    if horizon_matters:
+        # What moves a chain's horizon from outside: applied rows that are not to be read again themselves.
+        # `_most` is what the horizon could be if all rows were applied.
+        sure = F.when((F.col("status") == APPLIED) & ~open_, F.col("event_us"))
+        marks = {"_sure": ("max", sure), "_top": ("max", F.col("event_us"))}
+        placed = running(Chunked(placed, state.column, state.single), [F.col("_at"), F.col("seq")], marks, inclusive=False)
+        placed = placed.withColumns({to: F.greatest(of, "_base") - F.lit(retention_us) for to, of in (("_horizon", "_sure"), ("_most", "_top"))})
+        placed = placed.drop("_sure", "_top").checkpoint()
+    telling = _telling(Chunked(placed.filter(open_), state.column, state.single), horizon_matters)
+    # The first CHAIN_ROWS of each chain; what lies between them and is not telling can not be applied.
+    numbered = running(Chunked(telling, state.column, state.single), [F.col("_at"), F.col("seq")], {"_n": ("sum", lit(1))}, ["_chain"])
+    read = numbered.filter(F.col("_n") <= CHAIN_ROWS).checkpoint()
+    upto = read.groupBy("_chain").agg(F.max(change).alias("_last"), F.count(F.lit(1)).alias("_k"))
+    ends = F.when(F.col("_k") == CHAIN_ROWS, F.col("_last"))  # shorter chains are read to their end
+    fields = ["seq", "event_id", "source_id", "payload_hash", "event_us", "_at", "_horizon"]
+    seen = [F.col(f"_seen.{c}").alias(f"_seen_{c}") for c in ("event_us", "payload_hash", "source_id")]
+    owner = [F.col(f"_owner.{c}").alias(f"_owner_{c}") for c in ("event_us", "event_id")]
+    solved = read.select("_chain", *fields, *seen, *owner).groupBy("_chain").applyInPandas(_reader(retention_us), "seq bigint, _solved string")
+    spans = upto.select("_chain", ends.alias("_end"))
+    inside = open_ & F.coalesce(change <= F.col("_end"), F.lit(True))
+    repeat = F.when(inside & (F.col("_next") == APPLIED), F.lit(DUPLICATE)).otherwise(F.col("_next"))
+    out = placed.join(F.broadcast(spans) if few else spans, "_chain", "left").join(solved, "seq", "left")
+    return out.withColumn("_next", F.coalesce("_solved", repeat)).select(*columns)
+
+
+def _telling(rows: Chunked, horizon_matters: bool) -> DataFrame:
+    """The deliveries of each chain that can be applied: the first of an equal id, source, payload and time, and the
+    first of them after the horizon has passed an event of the same id or source, which may have stood in the way.
+
+    An applied delivery's repeats are duplicates until both are late; a refused one's repeats are refused while
+    what refused it lives. Where the chain's own rows decide whether the horizon has passed such an event, all are kept."""
+    same = ["event_id", "source_id", "payload_hash", "event_us"]
+    place = F.struct(F.col("_at").alias("at"), F.col("seq").alias("seq"))
+    marked, unsure = rows.df, F.lit(False)
+    if horizon_matters:
+        for key in ("event_id", "source_id"):
+            times = marked.select(key, F.col("event_us").alias("_v")).distinct().withColumn("_w", lit(1))
+            asked = marked.select(key, F.explode(F.array("_horizon", "_most")).alias("_v")).distinct().filter("_v is not null")
+            both = asked.withColumn("_w", lit(0)).unionByName(times).checkpoint()
+            # Events before a horizon: those of the same instant are counted after it.
+            cut = chunked(both, [F.col("_v")], column="_k")
+            passed = running(cut, [F.col("_v"), F.col("_w")], {"_n": ("sum", F.col("_w"))}, [key]).filter("_w = 0").select(key, "_v", "_n")
+            for horizon in ("_horizon", "_most"):
+                marked = marked.join(passed.withColumnsRenamed({"_v": horizon, "_n": f"{horizon}_{key}"}), [key, horizon], "left")
+            low, high = (F.coalesce(f"{horizon}_{key}", lit(0)) for horizon in ("_horizon", "_most"))
+            unsure, same = unsure | (low != high), [*same, f"_horizon_{key}"]
+    # A row of which it is not sure is its own first.
+    kept = marked.withColumn("_alone", F.when(unsure, F.col("seq"))).groupBy(*same, "_alone").agg(F.min(place).alias("_first"))
+    return rows.df.join(kept.select(F.col("_first.seq").alias("seq")), "seq", "left_semi")
 
 
 def _reader(retention_us: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """Statuses of the rows of one chain as a sequential reader gives them."""
+    names = ("event_id", "source_id", "payload_hash", "event_us", "_horizon")
+    before = ("_seen_event_us", "_seen_payload_hash", "_seen_source_id", "_owner_event_us", "_owner_event_id")
 
     def read(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["_at", "seq"])
         seen: dict = {}
         owner: dict = {}
         newest, out = None, []
-        fields = zip(*(rows[c].tolist() for c in ("event_id", "source_id", "payload_hash", "event_us", "_horizon")), strict=True)
-        for event_id, source_id, payload, at, horizon in fields:
+        fields = zip(*(rows[c].tolist() for c in names + before), strict=True)
+        for event_id, source_id, payload, at, horizon, seen_at, seen_payload, seen_source, owner_at, owner_id in fields:
+            # The first mention of an id or source brings what earlier rows left.
+            if event_id not in seen:
+                seen[event_id] = None if seen_at is None or seen_at != seen_at else (int(seen_at), seen_payload, seen_source)
+            if source_id not in owner:
+                owner[source_id] = None if owner_at is None or owner_at != owner_at else (int(owner_at), owner_id)
             limit = None if horizon is None or horizon != horizon else int(horizon)
             if limit is not None and newest is not None:
                 limit = max(limit, newest - retention_us)
-            known, held = seen.get(event_id), owner.get(source_id)
+            known, held = seen[event_id], owner[source_id]
             known = known if known and (limit is None or known[0] >= limit) else None
             held = held if held and (limit is None or held[0] >= limit) else None
             if limit is not None and at < limit:
