@@ -120,6 +120,17 @@ def test_base_scores_equal_plain_counts(spark, sf, docs, monkeypatch, common):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_scores_do_not_depend_on_which_counts_are_broadcast(spark, sf, monkeypatch):
+    """Words outside the broadcast counts are joined, among them words with an output of their own."""
+    found = []
+    for common in (1 << 21, 300, 1):
+        monkeypatch.setattr(lm, "COMMON", common)
+        found.append({r["doc_id"]: (r["score"], r["base_score"]) for r in registry.op9_language_scores(spark, sf).collect()})
+    for other in found[1:]:
+        assert other.keys() == found[0].keys()
+        assert all(other[i] == pytest.approx(found[0][i], rel=1e-4) for i in other)
+
+
 def test_language_scores_of_odd_rows(odd, none):
     got = lm.scores(odd, F.coalesce(F.col("key"), F.lit(0)) != 5).collect()
     check_base([(r["doc_id"], r["text"]) for r in odd.collect()], got, lambda i: i != 5)

@@ -144,16 +144,19 @@ class Scorer:
         grouped = out < RARE
         model = log_shares(self.model, out, sizes) - np.where(grouped, self.rest[np.minimum(out, RARE - 1)], 0.0)
         model += np.where(grouped & common, share, 0.0)
-        code = known.code[numbers[~common]]
+        code, shared = known.code[numbers[~common]], grouped[~common]
         ends = np.cumsum(np.bincount(owner[~common], minlength=len(texts)))[:-1]
-        rare = [np.unique(c, return_counts=True) for c in np.split(code, ends)]
+        rare = [np.unique(c, return_index=True, return_counts=True) for c in np.split(code, ends)]
+        # Words with an output of their own need no share of a group, whether or not they are common.
+        needed = [np.where(g[first], n, 0) for g, (_, first, n) in zip(np.split(shared, ends), rare, strict=True)]
         return {
             "n_tokens": sizes,
             "n_known": total(common).astype(np.int64),
             "base": total(np.where(common, share, 0.0)) - sizes * self.base,
             "model": total(model),
-            "codes": [c.tolist() for c, _ in rare],
-            "times": [n.tolist() for _, n in rare],
+            "codes": [c.tolist() for c, _, _ in rare],
+            "times": [n.tolist() for _, _, n in rare],
+            "needed": [n.tolist() for n in needed],
         }
 
 
@@ -184,7 +187,7 @@ def scores(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "
         model = trained(learned.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == part), model, shared_partitions(spark))
     scorer = spark.sparkContext.broadcast(Scorer(model, common["code"].to_numpy(), common["n"].to_numpy(), mass, kinds, tokens, words))
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"key {kind}, row bigint, n_tokens bigint, n_known bigint, base double, model double, codes array<bigint>, times array<bigint>"
+    schema = f"key {kind}, row bigint, n_tokens bigint, n_known bigint, base double, model double, codes array<bigint>, times array<bigint>, needed array<bigint>"
 
     def each(batch: pa.RecordBatch) -> dict:
         texts = batch.column(1).to_pylist()
@@ -193,21 +196,22 @@ def scores(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "
 
     numbered = rows.withColumn("row", F.monotonically_increasing_id())
     seen = written(map_batches(numbered, each, schema), "scored")
-    rare = seen.select("row", F.explode(F.arrays_zip("codes", "times")).alias("w")).select("row", "w.codes", "w.times")
+    rare = seen.select("row", F.explode(F.arrays_zip("codes", "times", "needed")).alias("w")).select("row", "w.*")
     found = rare.join(counts.where(F.col("n") < least), F.col("codes") == F.col("code"), "left")
+    part = F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.5))
     sums = found.groupBy("row").agg(
-        F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.5))).alias("share"),
+        F.sum(F.col("times") * part).alias("share"),
+        F.sum(F.col("needed") * part).alias("in_groups"),
         F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("more"),
     )
-    out = seen.drop("codes", "times").join(sums, "row", "left")
-    share = F.coalesce("share", F.lit(0.0))
+    out = seen.drop("codes", "times", "needed").join(sums, "row", "left")
     return out.select(
         F.col("key").alias(key),
         "n_tokens",
         (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + share).alias("base_score"),
-        (F.col("model") + share).alias("score"),
+        (F.col("base") + F.coalesce("share", F.lit(0.0))).alias("base_score"),
+        (F.col("model") + F.coalesce("in_groups", F.lit(0.0))).alias("score"),
     )
 
 
