@@ -1,5 +1,7 @@
 """Sources, sinks, digests, comparisons, neighbourhoods and the text scan."""
 
+import time
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -121,6 +123,24 @@ TEXTS = [
     ("reach printer-2.lan", {"host_name"}),
     ("DB_PASSWORD=qwertz-77", {"credential"}),
     ("password: short", set()),
+    ("12345+mira-k@users.noreply.github.com.", {"github_noreply"}),
+    ("push by 7+x@users.noreply.github.com and y.z@post.invalid", {"github_noreply", "email"}),
+    ("key sk-" + "a1" * 10, {"token"}),
+    ("sent ghp_" + "Zz9" * 10 + " and xoxb-1234567890", {"token"}),
+    ("eyJ" + "hbGci" * 4 + ".c2lnbmF0dXJl", {"token"}),
+    ("risk-" + "a" * 30 + " task-eyJx", set()),
+    ("annas-MacBook-Pro and toms-iMac", {"host_name"}),
+    ("db1.internal, api.internal.invalid", {"host_name"}),
+    ("api.internal.invalid", set()),
+    ("c:\\users\\bob is not, c:\\Users\\bob\\x is", {"home_path"}),
+    ("PASSWORD=abc123", {"credential"}),
+    ("my_apikey_2 = 'abcdef'; token:123", {"credential"}),
+    ("the token was abcdef and x: abcdefg", set()),
+    (".mira@post.invalid.", {"email"}),
+    ("-----BEGIN PUBLIC KEY-----", set()),
+    ("-----BEGIN PRIVATE KEY-----", {"private_key"}),
+    (None, set()),
+    ("", set()),
     ("Secret Person here", {"personal_term"}),
 ]
 
@@ -134,6 +154,15 @@ def test_text_categories(spark):
     assert [(r["category"], r["lines"]) for r in quality.sensitive_lines(long, "doc_id", "text").collect()] == [("private_ip", 2)]
 
 
+@pytest.mark.parametrize("piece", ["a", "a.", "a@", "1+", "eyJ", "-eyJ", "token", "token=", "/home/", "10.", "-----BEGIN ", "a@b.", "s-", "\\", "x:"])
+def test_a_long_line_is_read_once(spark, piece):
+    df = spark.createDataFrame([(0, piece * (200_000 // len(piece)))], "doc_id long, text string")
+    quality.sensitive_lines(df.limit(0), "doc_id", "text").collect()
+    started = time.perf_counter()
+    quality.sensitive_lines(df, "doc_id", "text").collect()
+    assert time.perf_counter() - started < 3  # a second for the scan, the rest for planning on a busy machine
+
+
 def features(spark, n=400):
     rng = np.random.default_rng(3)
     pdf = pd.DataFrame({f: rng.integers(0, 50, n).astype(float) for f in FEATURES})

@@ -311,16 +311,36 @@ def join9(spark, folder):
     return spatial.near_counts(load(spark, folder, "homes"), load(spark, folder, "shops"), "id", 12.5)
 
 
+# The rules of DQ-7 in the dialect of another engine, written apart from those of the operator.
+_LINE_RULES = {
+    "home_path": r"regexp_matches(line, '(?:^|[^A-Za-z0-9])/(?:home|Users)/\w|[A-Za-z]:\\Users\\\w')",
+    "github_noreply": r"regexp_matches(line, '(?:^|[^0-9])\d+\+[A-Za-z0-9-]+@users\.noreply\.github\.com[.-]*(?:$|[^A-Za-z0-9.-])')",
+    "email": r"""len(list_filter(regexp_extract_all(line, '[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-][A-Za-z0-9.-]*\.[A-Za-z]{2,}'), lambda m:
+                 NOT ends_with(m, '@users.noreply.github.com') AND NOT regexp_matches(m, '[@.]example\.(com|net|org)$'))) > 0""",
+    "private_key": "regexp_matches(line, '-----BEGIN (?:[A-Z ]* )?PRIVATE KEY-----')",
+    "token": r"""regexp_matches(line, '(?:^|[^\w-])(?:AKIA[A-Z0-9]{16}|gh[opsur]_[A-Za-z0-9]{30})')
+                 OR regexp_matches(line, '(?:^|[^\w-])(?:sk-[A-Za-z0-9]{20}|xox[abprs]-[A-Za-z0-9-]{10}|eyJ[\w-]{20,}\.[\w-]{10})')""",
+    "private_ip": r"""regexp_matches(line, '(?:^|[^0-9.])(?:10\.\d{1,3}|192\.168|172\.(?:1[6-9]|2\d|3[01]))\.\d{1,3}\.\d{1,3}(?:$|[^0-9.])')""",
+    "host_name": r"regexp_matches(line, '[A-Za-z0-9-]\.(?:local|lan|internal)(?:$|[^A-Za-z0-9.-])') OR regexp_matches(line, '[A-Za-z]s-(?:MacBook|iMac|Mac-mini)')",
+    "credential": r"""len(list_filter(regexp_extract_all(lower(line), '\b(\w+) ?[=:] ?["'']?[^\s"'']{6}', 1), lambda n:
+                      regexp_matches(n, 'password|passwd|secret|api_?key|token'))) > 0""",
+    "personal_term": "contains(lower(line), 'the')",
+}
+
+
 def _text_sql() -> str:
-    shown = {name: f"regexp_matches(line, '{pattern}')" for name, pattern in quality.SENSITIVE.items()}
-    # The oracle's regular expressions list the mailboxes, which are filtered afterwards.
-    shown["email"] = f"""len(list_filter(regexp_extract_all(line, '{quality.SENSITIVE["email"]}'), lambda m: NOT regexp_matches(m, '{quality.EXAMPLE_MAIL}'))) > 0"""
-    shown["credential"] = "regexp_matches(line, '{}')".format(quality.CREDENTIAL.replace("'", "''"))
-    shown["personal_term"] = "contains(lower(line), 'the')"
-    parts = [f"SELECT doc_id, '{name}' AS category, count(*) AS lines FROM l WHERE {rule} GROUP BY doc_id" for name, rule in shown.items()]
+    parts = [f"SELECT doc_id, '{name}' AS category, count(*) AS lines FROM l WHERE {rule} GROUP BY doc_id" for name, rule in _LINE_RULES.items()]
     return " UNION ALL ".join(parts)
 
 
+@query("dq7_sensitive_files", "SELECT page_id, 'sensitive_file' AS category FROM pages WHERE page_id % 7 < 4")
+def dq7_files(spark, folder):
+    """DQ-7: paths that name files of secrets, state or logs; the pages' URLs with file names of seven kinds."""
+    names = F.split(F.lit(".env state.db server.key worker.log notes.txt environment a.key.txt"), " ")
+    named = F.concat(F.regexp_replace("url", "[?#].*", ""), F.lit("/"), F.element_at(names, (F.pmod("page_id", F.lit(7)) + 1).cast("int")))
+    return quality.sensitive_files(source(spark, folder, "pages").withColumn("path", named), "page_id", "path")
+
+
 @query(
     "dq7_sensitive_text",
     _text_sql(),

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -86,45 +87,74 @@ def difference_examples(left: DataFrame, right: DataFrame, key: str, column: str
 
 
 # What counts as sensitive, from the public formats of each kind: the folder of a user's files, addresses of
-# mailboxes other than the reserved example domains, PEM headers, vendors' published token prefixes, the
-# address ranges reserved for private networks, names of machines in a local network.
+# mailboxes other than reserved ones, PEM headers, vendors' published token prefixes, the address ranges
+# reserved for private networks, names of machines in a local network and the names that laptops get by default.
+# Every pattern begins with a literal or where a run begins, and runs are possessive: a line is read once, however
+# long it is. A category is looked for in a text only if one of its literals occurs there.
 SENSITIVE = {
-    "home_path": r"(?:^|[^A-Za-z0-9])/(?:home|Users)/\w[\w.-]*|[A-Z]:\\Users\\\w+",
-    "email": r"[A-Za-z0-9][A-Za-z0-9._+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
-    "private_key": r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----",
-    "token": r"(?:^|[^A-Za-z0-9])(?:AKIA[A-Z0-9]{16}|gh[opsur]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{12,}|eyJ[\w-]{16,}\.eyJ[\w-]{8,})",
-    "private_ip": r"(?:^|[^0-9.])(?:10(?:\.[0-9]{1,3}){3}|192\.168(?:\.[0-9]{1,3}){2}|172\.(?:1[6-9]|2[0-9]|3[01])(?:\.[0-9]{1,3}){2})(?:$|[^0-9.])",
-    "host_name": r"[A-Za-z0-9-]+\.(?:local|lan|internal)(?:$|[^A-Za-z0-9.-])",
+    "home_path": (("/home/", "/Users/", ":\\Users\\"), r"(?<![A-Za-z0-9])/(?:home|Users)/\w|[A-Za-z]:\\Users\\\w"),
+    "github_noreply": (("@users.noreply.github.com",), r"(?<![0-9])[0-9]++\+[A-Za-z0-9-]++@users\.noreply\.github\.com(?![A-Za-z0-9.-]*[A-Za-z0-9])"),
+    "private_key": (("-----BEGIN ",), r"-----BEGIN [A-Z ]*+(?<= PRIVATE KEY)-----"),
+    "token": (
+        ("AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "xox", "eyJ"),
+        r"(?<![\w-])(?:AKIA[A-Z0-9]{16}|gh[opsur]_[A-Za-z0-9]{30}|sk-[A-Za-z0-9]{20}|xox[abprs]-[A-Za-z0-9-]{10}|eyJ[\w-]{20,}+\.[\w-]{10})",
+    ),
+    "private_ip": (
+        ("10.", "192.168.", "172."),
+        r"(?<![0-9.])(?:10(?:\.[0-9]{1,3}){3}|192\.168(?:\.[0-9]{1,3}){2}|172\.(?:1[6-9]|2[0-9]|3[01])(?:\.[0-9]{1,3}){2})(?![0-9.])",
+    ),
+    "host_name": (
+        (".local", ".lan", ".internal", "s-MacBook", "s-iMac", "s-Mac-mini"),
+        r"[A-Za-z0-9-]\.(?:local|lan|internal)(?![A-Za-z0-9.-])|[A-Za-z]s-(?:MacBook|iMac|Mac-mini)",
+    ),
 }
-#: Mail domains that are reserved for examples.
-EXAMPLE_MAIL = r"@(?:[A-Za-z0-9-]+\.)*example\.(?:com|net|org)$"
-#: A name of a secret, then a value of at least eight marks.
-CREDENTIAL = r"(?i)(?:password|passwd|secret|api_?key|token)\w* ?[=:] ?[\"']?([^\s\"']{8,})"
+#: A mailbox from the start of its run on.
+EMAIL = r"(?<![A-Za-z0-9._%+-])[._%+-]*+([A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-][A-Za-z0-9.-]*\.[A-Za-z]{2,}+)"
+#: Mail domains that are reserved for examples, and addresses that have a category of their own.
+RESERVED_MAIL = r"@(?:[A-Za-z0-9-]+\.)*example\.(?:com|net|org)$|@users\.noreply\.github\.com$"
+#: A name, then a value of at least six marks; it counts if the name tells of a secret.
+ASSIGNED = r"(?<!\w)(\w++) ?[=:] ?[\"']?[^\s\"']{6}"
+SECRET_NAMES = ("password", "passwd", "secret", "api_key", "apikey", "token")
+#: Names of files that hold secrets, state or logs.
+FILE_NAME = r"(?:^|/)\.env$|\.(?:db|sqlite|log|pem|key)$"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
+def _any_of(text: Column, words: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(word)) for word in words])
+
+
+def sensitive_files(rows: DataFrame, key: str, path: str) -> DataFrame:
+    """Keys of rows whose path names a file that should not be shared; null paths name none."""
+    return rows.filter(F.col(path).rlike(FILE_NAME)).select(key, F.lit("sensitive_file").alias("category"))
+
+
 def sensitive_lines(rows: DataFrame, key: str, text: str, terms: Sequence[str] = ()) -> DataFrame:
-    """Per text and category, how many lines have a finding; the text itself is not repeated."""
-    lines = F.split(F.col(text), LINE_BREAK)
-    categories = {name: (lambda p: lambda line: line.rlike(p))(pattern) for name, pattern in SENSITIVE.items()}
+    """Per text and category, how many lines have a finding; the text itself is not repeated. Null texts have none."""
+    whole = F.col("_text")
+
+    def matching(pattern: str) -> Callable[[Column], Column]:
+        return lambda line: line.rlike(pattern)
 
     def mailbox(line: Column) -> Column:
-        found = F.regexp_extract_all(line, F.lit(f"({SENSITIVE['email']})"), F.lit(1))
-        return F.exists(found, lambda m: ~m.rlike(EXAMPLE_MAIL))
+        return F.exists(F.regexp_extract_all(line, F.lit(EMAIL), F.lit(1)), lambda m: ~m.rlike(RESERVED_MAIL))
 
-    categories["email"] = mailbox
-    categories["credential"] = lambda line: line.rlike(CREDENTIAL)
-    if terms:
-        def personal(line: Column) -> Column:
-            out = F.lit(False)
-            for term in terms:
-                out = out | F.contains(F.lower(line), F.lit(term.lower()))
-            return out
+    def secret(line: Column) -> Column:
+        names = F.regexp_extract_all(F.lower(line), F.lit(ASSIGNED), F.lit(1))
+        return F.exists(names, lambda name: _any_of(name, SECRET_NAMES))
 
-        categories["personal_term"] = personal
+    categories = {name: (_any_of(whole, hints), matching(pattern)) for name, (hints, pattern) in SENSITIVE.items()}
+    categories["email"] = F.contains(whole, F.lit("@")), mailbox
+    categories["credential"] = _any_of(F.lower(whole), SECRET_NAMES), secret
+    if terms:
+        lowered = [term.lower() for term in terms]
+        categories["personal_term"] = _any_of(F.lower(whole), lowered), lambda line: _any_of(F.lower(line), lowered)
     cells = [
-        F.struct(F.lit(name).alias("category"), F.size(F.filter("_lines", test)).cast("bigint").alias("lines"))
-        for name, test in categories.items()
+        F.struct(
+            F.lit(name).alias("category"),
+            F.when(hint, F.size(F.filter("_lines", test))).otherwise(0).cast("bigint").alias("lines"),
+        )
+        for name, (hint, test) in categories.items()
     ]
-    split = rows.select(key, lines.alias("_lines"))
+    split = rows.select(key, F.col(text).alias("_text"), F.split(F.col(text), LINE_BREAK).alias("_lines"))
     return split.select(key, F.inline(F.array(*cells))).filter("lines > 0")
