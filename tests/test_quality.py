@@ -172,6 +172,12 @@ def features(spark, n=400):
     return df.select(*[F.nanvl(F.col(f), F.lit(None).cast("double")).alias(f) for f in FEATURES], "is_fraud").checkpoint(), pdf
 
 
+def test_preprocessing_of_no_rows(spark):
+    df, _ = features(spark, 3)
+    prep = scoring.fit_preprocessing(df.limit(0))
+    assert set(prep.means.values()) == {0.0} and set(prep.scales.values()) == {1.0}
+
+
 def test_preprocessing_and_score_match_numpy(spark):
     df, pdf = features(spark)
     prep = scoring.fit_preprocessing(df)

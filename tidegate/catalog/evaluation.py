@@ -334,14 +334,16 @@ def met17(spark, folder):
 
 
 _BOOT = {
-    "b": f"SELECT *, (decision_us - {_DAY0}) // {DAY_US} AS day FROM scored",
+    # Some rows have no score.
+    "b": f"SELECT * REPLACE (CASE WHEN decision_us % 11 <> 0 THEN score END AS score), (decision_us - {_DAY0}) // {DAY_US} AS day FROM scored",
     "m": "SELECT CAST(r AS BIGINT) AS replicate, day, CAST((r * 31 + day * 17 + r * day) % 3 AS BIGINT) AS times FROM (SELECT DISTINCT day FROM b) d, range(20) t(r)",
     "g": f"""SELECT m.replicate, b.score, sum(m.times) AS n, sum(m.times) FILTER (WHERE is_fraud) AS p,
              sum(m.times) FILTER (WHERE {_F}) AS f, sum(m.times) FILTER (WHERE {_F} AND is_fraud) AS fp
              FROM b JOIN m ON b.day = m.day WHERE m.times > 0 GROUP BY 1, 2""",
     "c": """SELECT *, sum(n) OVER w AS cum_n, sum(coalesce(p, 0)) OVER w AS cum_p FROM g WINDOW w AS (PARTITION BY replicate ORDER BY score DESC)""",
     "reps": """SELECT replicate,
-        sum(CAST(coalesce(p, 0) AS DOUBLE) * CAST(cum_p AS DOUBLE) / CAST(cum_n AS DOUBLE)) / sum(coalesce(p, 0)) AS average_precision,
+        sum(CAST(coalesce(p, 0) AS DOUBLE) * CAST(cum_p AS DOUBLE) / CAST(cum_n AS DOUBLE)) FILTER (WHERE score IS NOT NULL)
+          / sum(coalesce(p, 0)) FILTER (WHERE score IS NOT NULL) AS average_precision,
         CAST(sum(coalesce(f, 0)) AS DOUBLE) / CAST(sum(n) AS DOUBLE) AS flagged_rate,
         CAST(sum(coalesce(fp, 0)) AS DOUBLE) / greatest(CAST(sum(coalesce(f, 0)) AS DOUBLE), 1) AS flagged_precision,
         CAST(sum(coalesce(fp, 0)) AS DOUBLE) / greatest(CAST(sum(coalesce(p, 0)) AS DOUBLE), 1) AS flagged_recall FROM c GROUP BY replicate""",
@@ -350,7 +352,7 @@ _BOOT_METRICS = ["average_precision", "flagged_rate", "flagged_precision", "flag
 
 
 def _boot_rows(spark, folder):
-    rows = load(spark, folder, "scored")
+    rows = load(spark, folder, "scored").withColumn("score", F.when(F.col("decision_us") % 11 != 0, F.col("score")))
     return rows.withColumn("day", day_index(F.col("decision_us"), splits.first_day(rows))).checkpoint()
 
 

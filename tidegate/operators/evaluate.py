@@ -301,7 +301,8 @@ def bootstrap(
     summed per (score, day) once; a chunk of that order is multiplied with the draws of `per_block`
     replicates inside a task, starting from the day totals of the chunks before it. The draws stay in a
     table with one row per block and day, so neither replicates nor days are limited; rows are copied
-    per block and not per replicate.
+    per block and not per replicate. Rows without a score take no part in the ranking, as in `curve`, and count
+    in the other metrics.
     """
     summed = multiplicities.groupBy("replicate", "day").agg(F.sum("times").alias("times"))
     blocks = summed.select("replicate", "day", "times", F.pmod(F.xxhash64("replicate"), F.lit(0x7FFFFFFF)).alias("h")).checkpoint()
@@ -310,12 +311,16 @@ def bootstrap(
     blocks = blocks.withColumn("block", F.pmod(F.col("h").cast("bigint"), lit(numbers)))
     draws = blocks.groupBy("block", "day").agg(F.collect_list(F.struct("replicate", "times")).alias("draws")).checkpoint()
 
-    cells = rows.groupBy("score", "day").agg(
+    tallies = (
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("is_fraud")).alias("p"),
         F.count_if(flag).alias("f"),
         F.count_if(flag & F.col("is_fraud")).alias("fp"),
-    ).checkpoint()
+    )
+    placed = F.col("score").isNotNull()
+    cells = rows.filter(placed).groupBy("score", "day").agg(*tallies).checkpoint()
+    drawn = [F.sum(F.col(c) * F.col("times")).alias(c) for c in ("n", "p", "f", "fp")]
+    scoreless = rows.filter(~placed).groupBy("day").agg(*tallies).join(summed, "day").groupBy("replicate").agg(*drawn)
     chunks = chunked(cells, [-F.col("score")], rows_per_chunk)
     per_day = chunks.df.groupBy(chunks.column, "day").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
     before = Window.partitionBy("day").orderBy(chunks.column).rowsBetween(Window.unboundedPreceding, 0)
@@ -370,10 +375,12 @@ def bootstrap(
         return pa.table({"replicate": pa.array(replicates, pa.int64()), **joined})
 
     schema = "replicate bigint, gained double, n bigint, p bigint, f bigint, fp bigint"
-    parts = both.groupBy(chunks.column, "block").applyInArrow(partial, schema)
+    ranked = both.groupBy(chunks.column, "block").applyInArrow(partial, schema)
+    parts = ranked.withColumns({"ranked_n": F.col("n"), "ranked_p": F.col("p")}).unionByName(scoreless, allowMissingColumns=True)
     p, n, f, fp = F.sum("p"), F.sum("n"), F.sum("f"), F.sum("fp")
+    hits, places = F.coalesce(F.sum("ranked_p"), lit(0)), F.coalesce(F.sum("ranked_n"), lit(0))
     return parts.groupBy("replicate").agg(
-        F.when((p > 0) & (p < n), F.sum("gained") / p.cast("double")).otherwise(F.lit(0.0)).alias("average_precision"),
+        F.when((hits > 0) & (hits < places), F.sum("gained") / hits.cast("double")).otherwise(F.lit(0.0)).alias("average_precision"),
         (f.cast("double") / n.cast("double")).alias("flagged_rate"),
         ratio(fp, f).alias("flagged_precision"),
         ratio(fp, p).alias("flagged_recall"),

@@ -98,7 +98,7 @@ def fit_medians(rows: DataFrame, prep: Preprocessing = Preprocessing()) -> DataF
 
 
 def fit_preprocessing(rows: DataFrame, prep: Preprocessing = Preprocessing()) -> Preprocessing:
-    """Two aggregate passes over the training rows; only one number per column comes back."""
+    """Two aggregate passes over the training rows; only one number per column comes back. Without rows, zeros and ones."""
     medians = {r["feature"]: r["median"] for r in fit_medians(rows, prep).collect()}
     partial = Preprocessing(prep.features, prep.nullable, prep.log1p, medians)
     stats = rows.agg(
@@ -111,8 +111,8 @@ def fit_preprocessing(rows: DataFrame, prep: Preprocessing = Preprocessing()) ->
         prep.nullable,
         prep.log1p,
         medians,
-        {n: stats[f"m_{n}"] for n in names},
-        {n: stats[f"s_{n}"] if stats[f"s_{n}"] > 0 else 1.0 for n in names},
+        {n: stats[f"m_{n}"] or 0.0 for n in names},
+        {n: stats[f"s_{n}"] or 1.0 for n in names},
     )
 
 
