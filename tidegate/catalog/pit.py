@@ -9,7 +9,7 @@ from tidegate.fixtures import load
 from tidegate.functions.times import DAY, US, lit
 from tidegate.operators import apply as ap
 from tidegate.operators import compare
-from tidegate.operators.features import FEATURES, available_at, point_in_time
+from tidegate.operators.features import FEATURES, available_at, changes, point_in_time
 from tidegate.operators.splits import first_day, split_at_cutoff
 from tidegate.plans.visibility import Scan, oversized, visible
 
@@ -130,12 +130,10 @@ _CHANGED = " OR ".join(f"a.{f} IS DISTINCT FROM b.{f}" for f in FEATURES)
 )
 def pit3(spark, folder):
     """PIT-3: decisions whose vector changes when arrival is ignored."""
-    left, right = _both(spark, folder, availability="event_time")
-    changed = F.count_if(compare.any_difference(FEATURES))
-    return compare.aligned(left, right, "seq", FEATURES).agg(
-        F.count(F.lit(1)).alias("decisions"),
-        changed.alias("changed"),
-        r9(changed.cast("double") / F.count(F.lit(1)), "rate"),
+    found = changes(events(spark, folder), {"all": lit(2**62)})
+    changed = F.count_if("changed")
+    return found.agg(
+        F.count(F.lit(1)).alias("decisions"), changed.alias("changed"), r9(changed.cast("double") / F.count(F.lit(1)), "rate")
     )
 
 
@@ -151,18 +149,10 @@ def pit3(spark, folder):
 )
 def pit4(spark, folder):
     """PIT-4: decisions that change when events become visible 1 s and 60 s after they arrive."""
-    history = events(spark, folder)
-    base = point_in_time(history).select("seq", *FEATURES).checkpoint()
-    out = None
-    for seconds in (1, 60):
-        moved = point_in_time(history, delay_us=seconds * US).select("seq", *FEATURES)
-        one = compare.aligned(base, moved, "seq", FEATURES).agg(
-            lit(seconds).alias("delay_seconds"),
-            F.count(F.lit(1)).alias("decisions"),
-            F.count_if(compare.any_difference(FEATURES)).alias("changed"),
-        )
-        out = one if out is None else out.unionByName(one)
-    return out
+    found = changes(events(spark, folder), {str(s): F.col("received_us") - lit(s * US) for s in (1, 60)})
+    return found.groupBy(F.col("variant").cast("bigint").alias("delay_seconds")).agg(
+        F.count(F.lit(1)).alias("decisions"), F.count_if("changed").alias("changed")
+    )
 
 
 _DAY0 = f"(SELECT min(event_us) - min(event_us) % {DAY_US} FROM history)"
