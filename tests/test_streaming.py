@@ -96,3 +96,42 @@ def test_offsets_of_two_partitions_are_two_messages(spark):
     assert statuses == ["applied", "event_id_conflict"]
     kept = pipeline.table("dead_letters").collect()
     assert [(r["reason"], bytes(r["value"]) in {v for *_, v in ids}) for r in kept] == [("event_id_conflict", True)]
+
+
+def test_an_attempt_without_commit_is_not_read(spark, monkeypatch):
+    """An attempt ends between two writes; readers see the batches before, and the next attempt counts once."""
+    pipeline = Pipeline(spark, scratch(spark, "c"), with_features=False)
+    first = events(spark, [(i, f"e{i}", f"e{i}", "h", i, i) for i in range(5)])
+    second = events(spark, [(10 + i, f"e{3 + i}", f"e{3 + i}", "h", 3 + i, 50 + i) for i in range(5)])
+    pipeline.on_events(first, 0)
+    put = Pipeline._put
+
+    def stops(self, written, name, df, number, by=None):
+        put(self, written, name, df, number, by)
+        if name == "refused":
+            raise RuntimeError("stopped")
+
+    monkeypatch.setattr(Pipeline, "_put", stops)
+    for _ in range(2):
+        try:
+            pipeline.on_events(second, 1)
+        except RuntimeError:
+            pass
+        assert pipeline.table("statuses").count() == 5 and pipeline.history(2).count() == 5
+    monkeypatch.setattr(Pipeline, "_put", put)
+    for _ in range(2):
+        pipeline.on_events(second, 1)
+    statuses = [r["status"] for r in pipeline.table("statuses").collect()]
+    assert sorted(statuses) == ["applied"] * 8 + ["duplicate"] * 2
+    assert pipeline.snapshot().agg(F.sum("applied_count")).first()[0] == 8
+
+
+def test_folders_behind_the_horizon_leave_the_history(spark):
+    pipeline = Pipeline(spark, scratch(spark, "h"), with_features=False)
+    day = 86_400_000_000
+    for number in range(4):
+        at = number * 20 * day
+        pipeline.on_events(events(spark, [(10 * number + i, f"e{number}{i}", f"e{number}{i}", "h", at + i, at + i) for i in range(3)]), number)
+    assert [len(pipeline.commit_of(n)["history"]) for n in range(4)] == [1, 2, 2, 2]
+    assert {r["batch"] for r in pipeline.history(4).select("batch").distinct().collect()} == {2, 3}
+    assert pipeline.table("statuses").count() == 12

@@ -1,19 +1,21 @@
 """Micro-batch pipeline: messages in; statuses, features, history and dead letters out.
 
-Each batch writes folders named after its number and replaces them when it is repeated, so a batch
-that was written but not committed before a failure leaves nothing twice. A batch reads the state that
-earlier batches wrote: only history of its own customers and terminals inside the retention horizon,
-and only identities that it mentions. A namespace reads one topic; a message is known by its partition and
-offset, as offsets start anew in each partition.
+Each attempt of a batch writes folders of its own, and one commit written last lists them. Readers follow commits:
+what an attempt left before it failed is never read, a reader between two writes sees the batches before, and a
+batch that is handed over again after its commit is not handled again. A commit also carries the folders of the
+history inside the retention horizon, so a batch reads one commit, only history of its own customers and terminals
+inside the horizon, and only identities that it mentions. A namespace reads one topic; a message is known by its
+partition and offset, as offsets start anew in each partition.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,7 +25,11 @@ from tidegate.operators import messages as msg
 from tidegate.operators.apply import DEAD_LETTER_STATUSES, apply_events, entity_metadata
 from tidegate.operators.features import APPLIED, FEATURES, RETENTION, point_in_time
 
-_STORED = T.StructType([*schemas.TXN_EVENT.fields, T.StructField("day", T.LongType()), T.StructField("batch", T.LongType())])
+_STORED = T.StructType([*schemas.TXN_EVENT.fields, T.StructField("batch", T.LongType()), T.StructField("attempt", T.StringType()), T.StructField("day", T.LongType())])
+_COMMIT = (
+    "batch bigint, watermark_us bigint, tables array<struct<name: string, folder: string>>, "
+    "history array<struct<folder: string, newest_us: bigint>>"
+)
 
 
 @dataclass(frozen=True)
@@ -39,60 +45,109 @@ class Pipeline:
     def path(self, table: str) -> str:
         return f"{self.base}/{self.namespace.replace(':', '_')}/{table}"
 
-    def watermark(self, number: int) -> int | None:
-        """Newest applied event time before a batch; each batch leaves one row for the next."""
-        if number == 0:
-            return None
-        return self.spark.read.schema("watermark_us bigint").parquet(self.path(f"watermark/batch={number - 1}")).first()[0]
+    def _commits(self) -> DataFrame:
+        try:
+            return self.spark.read.schema(_COMMIT).option("recursiveFileLookup", True).json(self.path("commits"))
+        except AnalysisException:
+            return self.spark.createDataFrame([], _COMMIT)
 
-    def history(self, before_batch: int, since_us: int | None = None) -> DataFrame:
-        """Applied events of earlier batches; days before `since_us` are not read."""
+    def commit_of(self, number: int) -> Row | None:
+        """The commit of a batch, if it has one."""
         try:
-            stored = self.spark.read.schema(_STORED).option("basePath", self.path("history")).parquet(self.path("history"))
+            return self.spark.read.schema(_COMMIT).json(self.path(f"commits/{number:09d}")).first()
         except AnalysisException:
-            stored = self.spark.createDataFrame([], _STORED)
-        kept = stored.filter(F.col("batch") < before_batch)
+            return None
+
+    def _before(self, number: int) -> Row | None:
+        """The newest commit before a batch: that of the batch before it, or what comes nearest."""
+        found = self.commit_of(number - 1) if number else None
+        return found or self._commits().filter(F.col("batch") < number).orderBy(F.desc("batch")).first()
+
+    def watermark(self, number: int) -> int | None:
+        """Newest applied event time before a batch."""
+        commit = self._before(number)
+        return commit["watermark_us"] if commit else None
+
+    def history(self, before_batch: int, since_us: int | None = None) -> DataFrame:
+        """Applied events of earlier batches inside the horizon; days before `since_us` are not read."""
+        commit = self._before(before_batch)
+        live = [h["folder"] for h in (commit["history"] if commit else []) if since_us is None or h["newest_us"] >= since_us]
+        if not live:
+            return self.spark.createDataFrame([], _STORED).drop("attempt")
+        stored = self.spark.read.schema(_STORED).option("basePath", self.path("history")).parquet(*live).drop("attempt")
         if since_us is None:
-            return kept
-        return kept.filter((F.col("day") >= since_us // DAY) & (F.col("event_us") >= since_us))
+            return stored
+        return stored.filter((F.col("day") >= since_us // DAY) & (F.col("event_us") >= since_us))
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(name))
+        """A table of all committed batches."""
+        listed = self._commits().select(F.explode("tables").alias("t")).filter(F.col("t.name") == name)
+        folders = [r[0] for r in listed.select("t.folder").collect()]
+        if not folders:
+            raise ValueError(f"no committed batch has a table {name}")
+        return self.spark.read.parquet(*folders)
+
+    def _put(self, written: dict[str, str], name: str, df: DataFrame, number: int, by: str | None = None) -> None:
+        """Write a table of this attempt; nobody reads it before the commit."""
+        folder = self.path(f"{name}/attempt={number:09d}-{uuid.uuid4().hex}")
+        writer = df.write.partitionBy(by) if by else df.write
+        writer.parquet(folder)
+        written[name] = folder
+
+    def _commit(self, number: int, written: dict[str, str], watermark: int | None, added_us: int | None) -> None:
+        """Make a batch's tables visible. Folders whose events are all behind the horizon leave the history."""
+        earlier = self._before(number)
+        live = [(h["folder"], h["newest_us"]) for h in (earlier["history"] if earlier else [])]
+        if added_us is not None:
+            live.append((written["history"], added_us))
+        if watermark is not None:
+            live = [(folder, newest) for folder, newest in live if newest >= watermark - self.retention_us]
+        row = (number, watermark, sorted(written.items()), live)
+        out = self.spark.createDataFrame([row], _COMMIT).coalesce(1)
+        out.write.mode("overwrite").option("ignoreNullFields", "false").json(self.path(f"commits/{number:09d}"))
 
     def on_messages(self, batch: DataFrame, number: int) -> None:
         """Apply one batch of messages; what is refused by its form or its status is kept as it came."""
+        if self.commit_of(number) is not None:
+            return
+        written: dict[str, str] = {}
         parsed = msg.parse(batch).withColumn("seq", msg.delivery()).checkpoint()
-        statuses = self.on_events(msg.to_history(parsed, F.col("seq")), number)
+        statuses, watermark, added_us = self._apply(msg.to_history(parsed, F.col("seq")), number, written)
         if statuses is not None:
             refused = statuses.filter(F.col("status").isin(*DEAD_LETTER_STATUSES)).select("seq", F.col("status").alias("_status"))
             parsed = parsed.join(refused, "seq", "left").withColumn("reason", F.coalesce("reason", "_status"))
-        msg.dead_letters(parsed).write.mode("overwrite").parquet(self.path(f"dead_letters/batch={number}"))
-
-    def on_events(self, batch: DataFrame, number: int) -> DataFrame | None:
-        """Apply one batch of events and compute the features its decisions could see; the statuses."""
+        self._put(written, "dead_letters", msg.dead_letters(parsed), number)
+        self._commit(number, written, watermark, added_us)
+
+    def on_events(self, batch: DataFrame, number: int) -> None:
+        """Apply one batch of events and compute the features its decisions could see."""
+        if self.commit_of(number) is not None:
+            return
+        written: dict[str, str] = {}
+        _, watermark, added_us = self._apply(batch, number, written)
+        self._commit(number, written, watermark, added_us)
+
+    def _apply(self, batch: DataFrame, number: int, written: dict[str, str]) -> tuple[DataFrame | None, int | None, int | None]:
+        """Write a batch's tables; its rows with their status, the watermark after it, and its newest applied event."""
         rows = batch.select(*schemas.TXN_EVENT.fieldNames()).checkpoint()
         watermark = self.watermark(number)
         if rows.isEmpty():
-            self._leave_watermark(watermark, number)
-            return None
+            return None, watermark, None
         live = None if watermark is None else watermark - self.retention_us
         prior = self._identities(self.history(number, live), rows)
         both = rows.withColumn("_at", F.col("received_us")).unionByName(prior)
         status = apply_events(both, self.retention_us, F.col("_at"), watermark_us=watermark)
         applied = rows.join(status.filter("_at >= 0").select("seq", "status"), "seq").checkpoint()
-        applied.write.mode("overwrite").parquet(self.path(f"statuses/batch={number}"))
-        refused = applied.filter(F.col("status").isin(*DEAD_LETTER_STATUSES))
-        refused.write.mode("overwrite").parquet(self.path(f"refused/batch={number}"))
+        self._put(written, "statuses", applied, number)
+        self._put(written, "refused", applied.filter(F.col("status").isin(*DEAD_LETTER_STATUSES)), number)
         if self.with_features:
-            self._features(number, applied, watermark).write.mode("overwrite").parquet(self.path(f"features/batch={number}"))
-        # Written after the outputs: only a batch that is complete becomes history.
+            self._put(written, "features", self._features(number, applied, watermark), number)
         fresh = applied.filter(F.col("status") == APPLIED).drop("status")
-        days = fresh.withColumn("day", F.floor(F.col("event_us") / DAY).cast("bigint"))
-        entity_metadata(applied, "customer_id").write.mode("overwrite").parquet(self.path(f"entities/batch={number}"))
-        days.write.mode("overwrite").partitionBy("day").parquet(self.path(f"history/batch={number}"))
+        days = fresh.withColumns({"batch": lit(number), "day": F.floor(F.col("event_us") / DAY).cast("bigint")})
+        self._put(written, "entities", entity_metadata(applied, "customer_id").withColumn("batch", lit(number)), number)
+        self._put(written, "history", days, number, "day")
         newest = fresh.agg(F.max("event_us")).first()[0]
-        self._leave_watermark(max((w for w in (watermark, newest) if w is not None), default=None), number)
-        return applied
+        return applied, max((w for w in (watermark, newest) if w is not None), default=None), newest
 
     def snapshot(self) -> DataFrame:
         """The latest state of every customer; each batch leaves what it adds."""
@@ -103,10 +158,6 @@ class Pipeline:
             F.max_by("last_event_id", F.struct("last_applied_us", "batch")).alias("last_event_id"),
         )
 
-    def _leave_watermark(self, watermark: int | None, number: int) -> None:
-        row = self.spark.createDataFrame([(watermark,)], "watermark_us bigint").coalesce(1)
-        row.write.mode("overwrite").parquet(self.path(f"watermark/batch={number}"))
-
     def _identities(self, history: DataFrame, rows: DataFrame) -> DataFrame:
         """Stored events with an id or source that the batch mentions, ordered before its rows."""
         ids, sources = rows.select("event_id").distinct(), rows.select("source_id").distinct()
