@@ -87,3 +87,31 @@ def test_odd_rows_and_single_rows(spark, odd, none):
     one = chunks.edits(spark.createDataFrame([(5, "abcd")], "doc_id long, text string")).first()
     assert one["edited_sha256"] == hashlib.sha256(b"abab").hexdigest() and one["near_next"] == 1.0
     assert odd.where(F.col("doc_id") == 5).count() == 4
+
+
+def placed(df, parts):
+    place, number = chunks.ranges(df, parts)
+    sizes = {r["place"]: r["count"] for r in df.groupBy(place.alias("place")).count().collect()}
+    assert set(sizes) <= set(range(number))
+    return sizes
+
+
+@pytest.mark.parametrize("heavy", ["cast(null as long)", "7L"])
+def test_heavy_and_null_keys_are_cut(spark, heavy):
+    """100,000 rows, three quarters of them without a key or of one key."""
+    df = spark.range(100_000).selectExpr(f"if(id % 4 = 0, id, {heavy}) AS key", "xxhash64(id) AS hash")
+    assert max(placed(df, 16).values()) < 2 * 100_000 / 16
+
+
+def test_edits_of_heavy_keys_follow_key_hash_and_text(spark):
+    rows = [(None if i % 3 else i % 4, f"text {i} " * (i % 5)) for i in range(240)] + [(3, "again")] * 4
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    have = sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["edited_sha256"]) for r in chunks.edits(df, parts=7).collect())
+    hashed = {r["text"]: r["h"] for r in df.selectExpr("text", "xxhash64(text) AS h").collect()}
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashed[r[1]], r[1]))
+    want = []
+    for (key, text), (_, after) in zip(ordered, ordered[1:] + ordered[:1], strict=True):
+        half = len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        want.append((key is not None, key or 0, hashlib.sha256(edited.encode()).hexdigest()))
+    assert have == sorted(want)

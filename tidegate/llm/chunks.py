@@ -103,22 +103,42 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return out.withColumnRenamed("key", key)
 
 
-def ranges(docs: DataFrame, key: str, parts: int) -> tuple[Column, int]:
-    """A column with each row's place among about equal ranges of an integer key, and their number.
-
-    Bounds are approximate quantiles, at most one for each range; a row finds its range by halving."""
-    at = [i / parts for i in range(1, parts)]
-    bounds = docs.select(F.percentile_approx(F.col(key).cast("long"), at or [0.5], 10 * parts)).first()[0] or []
-    bounds = sorted(set(bounds)) if at else []
-    steps = len(bounds).bit_length()
-    if not steps:
+def ranges(docs: DataFrame, parts: int) -> tuple[Column, int]:
+    """A column with each row's place among about equal ranges of (key, hash), and their number; null keys first.
+
+    Bounds are approximate quantiles of the key, at most one for each range; a key heavier than a range, and the
+    null keys, are cut by quantiles of the hash. A row finds its range by halving."""
+    key = F.col("key").cast("long")
+    at = [i / parts for i in range(1, parts)] or [0.5]
+    found = docs.select(F.percentile_approx(key, at, 10 * parts), F.count("*"), F.count_if(key.isNull())).first()
+    if parts < 2 or not found[1]:
         return F.lit(0), 1
-    limits = F.array(*[F.lit(b).cast("long") for b in bounds + [None] * ((1 << steps) - 1 - len(bounds))])
-    place = F.lit(0)
-    table = "bounds"
+    cuts = found[0] or []
+    ranges_of = {k: cuts.count(k) for k in set(cuts) if cuts.count(k) > 1}
+    empty = round(parts * found[2] / found[1])
+    if empty > 1:
+        ranges_of[None] = empty
+    bounds = {(k, -(1 << 63)) for k in cuts} | ({(min(cuts), -(1 << 63))} if found[2] and cuts else set())
+    fine = [i / (4 * parts) for i in range(1, 4 * parts)]
+    if ranges_of:
+        keys = [k for k in ranges_of if k is not None]
+        heavy = key.isin(keys) if keys else F.lit(False)
+        heavy = F.coalesce(heavy, F.lit(False)) | (key.isNull() if None in ranges_of else F.lit(False))
+        hashes = docs.where(heavy).groupBy(key.alias("k")).agg(F.percentile_approx("hash", fine, 40 * parts).alias("h")).collect()
+        for row in hashes:
+            n = ranges_of[row["k"]]
+            bounds |= {(row["k"], row["h"][len(fine) * i // n]) for i in range(1, n)}
+            # What follows a heavy key begins a range of its own.
+            bounds |= {(row["k"], -(1 << 63))} | ({(row["k"] + 1, -(1 << 63))} if row["k"] is not None and row["k"] < (1 << 63) - 1 else set())
+    bounds = sorted(bounds, key=lambda b: (b[0] is not None, b[0] or 0, b[1]))
+    steps = len(bounds).bit_length()
+    shape = "struct<key: bigint, hash: bigint>"
+    listed = [F.struct(F.lit(k).cast("long").alias("key"), F.lit(h).cast("long").alias("hash")) for k, h in bounds]
+    limits = F.array(*listed, *[F.lit(None).cast(shape) for _ in range((1 << steps) - 1 - len(bounds))])
+    own, place = F.struct(key.alias("key"), F.col("hash").alias("hash")), F.lit(0)
     for step in reversed(range(steps)):
         half = 1 << step
-        place = place + F.when(F.col(key).cast("long") >= F.element_at(limits, place + half), F.lit(half)).otherwise(F.lit(0))
+        place = place + F.when(own >= F.element_at(limits, place + half), F.lit(half)).otherwise(F.lit(0))
     return place, len(bounds) + 1
 
 
@@ -139,18 +159,19 @@ def edits(docs: DataFrame, key: str = "doc_id", text: str = "text", parts: int |
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
     parts = parts or shared_partitions(spark)
-    plain = docs.select(F.col(key).alias("key"), fold(text).alias("text"))
-    place, number = ranges(plain, "key", parts)
-    rows = plain.select(place.alias("place"), F.lit(0).alias("extra"), "key", F.xxhash64("text").alias("hash"), "text")
-    lows = rows.select("place", "key").groupBy("place").agg(F.min("key").alias("low"), F.max(F.col("key").isNull()).alias("none"))
-    lows = sorted((r["place"], None if r["none"] else r["low"]) for r in lows.collect()) if number else []
-    wanted = spark.createDataFrame([(p, k) for p, k in lows], f"place int, low {kind}")
-    follows = {p: lows[i - 1][0] for i, (p, _) in enumerate(lows)}
-    first = rows.join(F.broadcast(wanted.withColumnRenamed("place", "own")), (F.col("own") == F.col("place")) & F.col("key").eqNullSafe(F.col("low")))
+    plain = docs.select(F.col(key).alias("key"), fold(text).alias("text")).withColumn("hash", F.xxhash64("text"))
+    place, number = ranges(plain, parts)
+    rows = plain.select(place.alias("place"), F.lit(0).alias("extra"), "key", "hash", "text")
+    lowest = rows.select("place", "key", "hash").groupBy("place").agg(F.min(F.struct("key", "hash")).alias("low"))
+    lows = sorted((r["place"], r["low"]["key"], r["low"]["hash"]) for r in lowest.collect())
+    wanted = spark.createDataFrame(lows, f"own int, low {kind}, low_hash long")
+    follows = {p: lows[i - 1][0] for i, (p, _, _) in enumerate(lows)}
+    same = (F.col("own") == F.col("place")) & F.col("key").eqNullSafe(F.col("low")) & (F.col("hash") == F.col("low_hash"))
+    first = rows.join(F.broadcast(wanted), same)
     first = first.groupBy("place").agg(F.min(F.struct("key", "hash", "text")).alias("f"))
     before = F.create_map(*[F.lit(x) for pair in follows.items() for x in pair]) if follows else F.create_map(F.lit(0), F.lit(0))
     first = first.select(before[F.col("place")].alias("place"), F.lit(1).alias("extra"), "f.key", "f.hash", "f.text")
-    dealt = rows.union(first).repartition(number, "place").sortWithinPartitions("place", "extra", "key", "hash", "text")
+    dealt = rows.union(first).repartitionByRange(number, "place").sortWithinPartitions("place", "extra", "key", "hash", "text")
     target = to_arrow_schema(StructType.fromDDL(SCHEMA.format(key=kind)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
