@@ -233,3 +233,19 @@ def test_fifths_follow_the_text_of_the_id(spark):
     rows = spark.createDataFrame([(None,), (0,), (17,), (-4,)], "doc_id long")
     got = [r[0] for r in rows.select(fifth()).collect()]
     assert got == [zlib.crc32(x) % 5 for x in (b"", b"0", b"17", b"-4")]
+
+
+def test_repeated_and_null_keys_are_spread(spark, monkeypatch):
+    """40,000 rows of which most have no key or share one: no group holds many more than its share."""
+    largest, write = [], mixing.written
+
+    def noted(df, label):
+        out = write(df, label)
+        if label == "rounded":
+            largest.append(out.groupBy("place", "bucket").count().agg(F.max("count")).first()[0])
+        return out
+
+    monkeypatch.setattr(mixing, "written", noted)
+    df = spark.range(40_000).selectExpr("if(id % 4 = 0, id, if(id % 4 = 1, 7L, null)) AS doc_id", "'a b c' AS text", "'s' || (id % 2) AS source")
+    got = mixing.mixed(df).agg(F.count("*"), F.sum(F.col("copies") * F.col("size")), F.max("target")).first()
+    assert got[0] == 40_000 and max(largest) <= 2 * mixing.FAN

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegate.llm.common import written
+from tidegate.llm.keyed import matched
 
 WEIGHTS = (5, 2, 1)
 #: Documents, and then residuals, that one step of the tree rounds together.
@@ -100,17 +101,22 @@ def mixed(docs: DataFrame, key: str = "doc_id", source: str = "source", text: st
     is given to all, the rest is rounded: groups of about `fan` documents of a source are rounded by pivoting,
     each leaves at most one fractional document, and those are rounded in turn until one is left, which goes
     to the nearer side. The words that a source takes so differ from its target by half a document at most;
-    all other documents keep their mean. Groups and draws come from hashes of the key: reruns agree.
+    all other documents keep their mean. Groups and draws come from hashes of the key: reruns agree. Rows of a
+    key that repeats, or of no key, are dealt by their place as well, so they don't fall into one group.
 
     Null texts have size 0 and take no copies; a null source is a source, the last one; rows that repeat a key
     are rounded one by one; equal sizes are ordered by key; an empty table gives no rows."""
     kind = docs.schema[key].dataType.simpleString()
-    rows = written(docs.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), word_count(text).alias("size")), "sizes")
+    sized = docs.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), word_count(text).alias("size"))
+    rows = written(sized.withColumns({"_row": F.monotonically_increasing_id(), "_name": F.coalesce(F.concat(F.lit("="), F.col("key").cast("string")), F.lit(""))}), "sizes")
+    again = written(rows.groupBy("_name").agg(F.count("*").alias("_again")).where("_again > 1"), "again")
+    rows = matched(rows, again, ["_name"], "_again", "left") if not again.isEmpty() else rows.withColumn("_again", F.lit(1))
     per = written(targets(rows.select("source", "size"), weights, most), "targets")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     placed = rows.join(per.withColumnRenamed("source", "name"), F.col("source").eqNullSafe(F.col("name")))
     groups = F.greatest(F.ceil(F.col("source_rows") / fan), F.lit(1))
-    placed = placed.select(F.col("key").cast("string").alias("key"), "size", "place", F.floor(ratio).alias("whole"), (ratio - F.floor(ratio)).alias("part"), F.pmod(F.xxhash64(F.lit(seed), "key"), groups).alias("bucket"))
+    dealt = F.when(F.col("_again") > 1, F.xxhash64(F.lit(seed), "key", "_row")).otherwise(F.xxhash64(F.lit(seed), "key"))
+    placed = placed.select(F.col("key").cast("string").alias("key"), "size", "place", F.floor(ratio).alias("whole"), (ratio - F.floor(ratio)).alias("part"), F.pmod(dealt, groups).alias("bucket"))
     spread = max(1, math.ceil((per.agg(F.max("source_rows")).first()[0] or 0) / fan))
     shape = "key string, size bigint, place int, whole bigint, part double, bucket bigint, open boolean"
 
