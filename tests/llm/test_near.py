@@ -8,7 +8,7 @@ import pytest
 import xxhash
 
 from tidegate.llm import embeddings, nearcopies, registry, simhash
-from tidegate.llm.components import components
+from tidegate.plans.components import components
 
 
 def reachable(nodes, edges):
@@ -219,3 +219,25 @@ def test_odd_vectors_link_with_nothing(spark):
     want = [(0, 3, 0, True), (1, 3, 0, False), *[(i, 0, i, True) for i in range(2, 9)], (9, 3, 0, False), (9, 3, 0, False), (None, 0, None, False)]
     assert got == sorted(want, key=str)
     assert embeddings.near_groups(table.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("kind,offset", [("float", 0.0), ("double", 2.0), ("float", 3.0)])
+def test_embeddings_with_a_common_offset_are_found(spark, kind, offset):
+    """Vectors whose mean has a norm of up to 0.95: at least 0.95 of the links by brute force are found, none else."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((1500, 32)) + offset
+    x[1000:] = x[:500] + rng.uniform(0.2, 0.9, (500, 1)) * rng.standard_normal((500, 32))
+    x = x.astype(np.float32).astype(float) if kind == "float" else x
+    threshold = 0.9 if offset == 0 else 0.97 if offset == 2.0 else 0.985
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (unit @ unit.T >= threshold).sum(axis=1) - 1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], f"vec_id long, embedding array<{kind}>")
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.near_groups(df, threshold=threshold).collect()}
+    assert all(got[i] <= want[i] for i in got)
+    assert sum(got.values()) >= 0.95 * want.sum() > 100
+
+
+def test_double_vectors_are_compared_in_double(spark):
+    rows = [(1, [1e300, 1.0]), (2, [1e300, 1e299]), (3, [1.0, 0.0]), (4, [1.0, 1e-9])]
+    got = embeddings.near_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), threshold=1 - 1e-12).collect()
+    assert {r["vec_id"]: r["n_links"] for r in got} == {1: 2, 2: 0, 3: 2, 4: 2}

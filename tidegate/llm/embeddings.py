@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegate.llm.common import map_batches, written
-from tidegate.llm.components import components
+from tidegate.plans.components import components
 
 #: Vectors that the rotations are learned from, at most.
 SAMPLE = 10_000
-#: Share of the pairs at the threshold itself that the tables may miss, where signs of a random rotation differ
-#: independently; closer pairs are missed far less often.
+#: Share of the pairs at the threshold that the tables may miss, as measured on pairs made from the sample.
 MISSED = 0.02
+#: Pairs that agreement is measured on.
+PAIRS = 4_000
 #: Vectors of a bucket that are compared as one block.
 BLOCK = 256
 
@@ -59,17 +60,56 @@ def quantised(unit: np.ndarray, bits: int, rng: np.random.Generator, rounds: int
     return axes @ spin
 
 
+def at_threshold(sample: np.ndarray, threshold: float, rng: np.random.Generator, number: int = PAIRS) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of unit vectors whose cosine is the threshold: sample vectors, each turned towards another one."""
+    if len(sample) < 2 or sample.shape[1] < 2:
+        return sample[:0], sample[:0]
+    first, other = sample[rng.integers(0, len(sample), number)], sample[rng.integers(0, len(sample), number)]
+    aside = other - sample.mean(axis=0) + 1e-6 * rng.standard_normal(other.shape)
+    aside -= (aside * first).sum(axis=1, keepdims=True) * first
+    aside /= np.sqrt((aside * aside).sum(axis=1, keepdims=True))
+    return first, threshold * first + math.sqrt(max(0.0, 1 - threshold * threshold)) * aside
+
+
 def learned(sample: np.ndarray, size: int, threshold: float, seed: int = 42) -> Codes:
-    """Codes for `size` vectors: substrings about as wide as leave a few random vectors in a bucket, and as
-    many of them, over several rotations, as a pair at the threshold needs to meet."""
+    """Codes for `size` vectors, cut into tables that pairs at the threshold meet in.
+
+    Codes are signs of centred vectors, so how often a pair agrees depends on the data and not on its cosine
+    alone: vectors with a common offset are much wider apart around their mean. The width of a substring is the
+    one with the least work, from the measured agreement of pairs at the threshold and of any two vectors; then
+    rotations are added until at most MISSED of the pairs at the threshold have met in no table."""
     dims, rng = sample.shape[1], np.random.default_rng(seed)
     bits = min(64, dims)
-    width = max(1, min(bits, max(6, round(math.log2(max(size, 2))) - 4)))
-    alike = (1 - math.acos(min(1.0, threshold)) / math.pi) ** width
-    tables = max(1, math.ceil(math.log(MISSED) / math.log(max(1e-12, 1 - alike)))) if alike < 1 else 1
-    each = bits // width
     mean = sample.mean(axis=0) if len(sample) else np.zeros(dims)
-    return Codes(mean, [quantised(sample, bits, rng) for _ in range(-(-tables // each))], width, tables)
+    widest = max(1, min(bits, max(6, round(math.log2(max(size, 2))) - 4)))
+    first, second = at_threshold(sample, threshold, rng)
+    if not len(first):
+        return Codes(mean, [quantised(sample, bits, rng)], widest, 1)
+    rotations = [quantised(sample, bits, rng)]
+
+    def agreeing(rotation: np.ndarray, a: np.ndarray, b: np.ndarray, width: int) -> np.ndarray:
+        same = ((a - mean) @ rotation > 0) == ((b - mean) @ rotation > 0)
+        each = bits // width
+        return same[:, : each * width].reshape(len(same), each, width).all(axis=2)
+
+    any_two = sample[rng.integers(0, len(sample), PAIRS)]
+
+    def work(width: int) -> float:
+        met = agreeing(rotations[0], first, second, width).mean()
+        tables = math.log(MISSED) / math.log(max(1e-9, 1 - met)) if 0 < met < 1 else 1.0 if met else math.inf
+        crowd = size * max(agreeing(rotations[0], any_two, first, width).mean(), 0.5**width)
+        return max(1.0, tables) * (1 + crowd / BLOCK)
+
+    width = min(range(widest, min(widest, 4) - 1, -1), key=work)
+    missed, tables = np.ones(len(first), bool), 0
+    while True:
+        met = agreeing(rotations[-1], first, second, width)
+        for table in range(met.shape[1]):
+            missed &= ~met[:, table]
+            tables += 1
+            if missed.mean() <= MISSED:
+                return Codes(mean, rotations, width, tables)
+        rotations.append(quantised(sample, bits, rng))
 
 
 def joined(hits: np.ndarray) -> np.ndarray:
@@ -106,7 +146,7 @@ def links(vectors: DataFrame, codes: Codes, threshold: float, block: int = BLOCK
         keys = np.stack([shown.value.keys(code, t) for t in range(shown.value.tables)], axis=1)
         return {"node": batch.column(0), "copies": batch.column(1), "vector": batch.column(2), "codes": code.view(np.int64).tolist(), "ks": keys.astype(np.int64).tolist()}
 
-    rows = written(map_batches(vectors.select("node", "copies", "vector"), coded, "node bigint, copies bigint, vector array<float>, codes array<bigint>, ks array<bigint>"), "codes")
+    rows = written(map_batches(vectors.select("node", "copies", "vector"), coded, f"node bigint, copies bigint, vector {dict(vectors.dtypes)['vector']}, codes array<bigint>, ks array<bigint>"), "codes")
     large = rows.select(F.posexplode("ks").alias("t", "k")).groupBy("t", "k").agg(F.count("*").alias("n")).where(F.col("n") > block)
     large = written(large.select("t", "k", F.ceil(F.col("n") / block).alias("parts")), "buckets")
     dealt = rows.select("node", "copies", "vector", "codes", F.posexplode("ks").alias("t", "k")).join(large, ["t", "k"], "left")
@@ -184,7 +224,8 @@ def near_groups(table: DataFrame, key: str = "vec_id", vector: str = "embedding"
     with nothing; so do rows of a null key, which have a null component and are not kept. Repeated rows stay
     and count as vectors. An empty table gives no rows. Nothing below the threshold links; the tables are laid
     out to miss few pairs at the threshold, and all rows are in them."""
-    rows = table.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<float>").alias("vector"))
+    exact = "array<float>" if dict(table.dtypes)[vector] == "array<float>" else "array<double>"
+    rows = table.select(F.col(key).cast("long").alias("key"), F.col(vector).cast(exact).alias("vector"))
     finite = ~F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     sound = F.col("key").isNotNull() & F.coalesce((F.size("vector") > 0) & finite & F.exists("vector", lambda x: x != 0), F.lit(False))
     marks = [F.when(F.col("sound"), F.xxhash64(F.lit(i), "vector")).alias(f"h{i}") for i in (1, 2)]
