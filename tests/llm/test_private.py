@@ -109,3 +109,36 @@ def test_odd_rows_pass(odd, none):
 @pytest.mark.parametrize("text", ["a" * 200_000, "1" * 200_000, "a." * 100_000, "+1 " * 60_000, "token " * 30_000])
 def test_long_runs_take_little_time(spark, text):
     assert replaced(spark, [text])[0]["text"] == text
+
+
+LONGER = [
+    ("Mrs Mary Jane Watson called", ["Mary", "Jane", "Watson"]),
+    ("Mr John F. Kennedy spoke", ["John", "F.", "Kennedy"]),
+    ("Mr O'Brien and Mrs Smith-Jones", ["O'Brien", "Smith", "Jones"]),
+    ("Dr Alice Brown met Mr Brown.", ["Alice", "Brown"]),
+    ("Prof. J. Müller", ["J. M", "Müller"]),
+    ("Κύριος Νίκος Παπαδόπουλος", ["Νίκος", "Παπαδόπουλος"]),
+    ("AKIA" + "QWERTYUIOPASDFGH", ["QWERTYUIOP"]),
+    ("host 2001:db8::1 and fe80::a1 answered", ["db8::1", "80::a1"]),
+]
+
+
+def test_longer_names_other_scripts_and_short_addresses(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(LONGER)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in surrogates.replaced(df, "k").collect()}
+    for i, (text, gone) in enumerate(LONGER):
+        assert all(word not in got[i] for word in gone), got[i]
+        assert len(got[i].split(" ")) == len(text.split(" "))
+        assert got[i].split(" ")[0] == text.split(" ")[0] or text.startswith("AKIA")
+    # The doctor and the person without a first name share a family name, in the script that it was in.
+    words = got[3].split(" ")
+    assert words[2] == words[5].rstrip(".")
+    assert all("Ͱ" <= c <= "Ͽ" or c == " " for c in got[5].split(" ", 1)[1])
+    assert got[1].split(" ")[2][1:] == "." and got[7].count(":") == LONGER[7][0].count(":")
+
+
+def test_what_only_looks_like_an_address_stays(spark):
+    texts = ["see std::vector and abc::def 1", "Mr Smith's", "at 10:30:15", "a Drum, the Profile"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r["text"] for r in surrogates.replaced(df, "k").orderBy("doc_id").collect()]
+    assert got[0] == texts[0] and got[2:] == texts[2:] and got[1].endswith("'s")

@@ -13,34 +13,43 @@ from pyspark.sql import functions as F
 
 from tidegate.llm.common import fold, written
 
-#: Titles before a person's name, by gender; a name is one or two capitalised words after a title.
+#: Titles before a person's name, by gender (n: none told); a name is up to five capitalised words or initials.
 TITLES = {
     "f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Signora", "Госпожа"],
     "m": ["Mr", "Mister", "Herr", "Monsieur", "Señor", "Sr", "Signor", "Господин"],
+    "n": ["Dr", "Prof", "Professor", "Κύριος", "Κυρία"],
 }
 #: Words that introduce a secret.
 SECRET_WORDS = ["token", "password", "passwd", "pwd", "secret", "api_key", "apikey", "access_key"]
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 IP4 = rf"{OCTET}(?:\.{OCTET}){{3}}(?!\.\d)"
-IP6 = r"[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}"
+#: Eight groups, or fewer around `::` after two groups or a first one that only addresses begin with.
+IP6 = (
+    r"[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}"
+    r"|(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){1,5}|(?i:fe80|f[cd][0-9a-f]{2}|2[0-9a-f]{3}))::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,4})?"
+)
 CARD = r"\d{4}(?:[ -]\d{4}){2,3}(?:[ -]\d{1,3})?|\d{13,19}"
 SOCIAL = r"\d{3}-\d{2}-\d{4}"
 PHONE = r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4}"
 IBAN = r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
 CLOUD = r"(?:AKIA|ASIA)[0-9A-Z]{16}"
 SECRET = rf"(?i:{'|'.join(SECRET_WORDS)})\s{{0,3}}[=:]\s{{0,3}}[\"']?[A-Za-z0-9_+/-]{{8,}}"
-NAME = rf"(?:{'|'.join(t for ts in TITLES.values() for t in ts)})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?"
+#: A word of a name, with capitals after hyphens and apostrophes, or an initial.
+WORD = r"\p{Lu}(?:\p{L}+(?:[-'’]\p{Lu}\p{L}+)*|['’]\p{Lu}\p{L}+)"
+NAME = rf"(?:{'|'.join(t for ts in TITLES.values() for t in ts)})\.? (?:(?:\p{{Lu}}\.|{WORD}) ){{0,4}}{WORD}"
 #: Everything that is looked for; what begins inside a word or number isn't an entity.
 ENTITY = rf"{EMAIL}|(?<![\p{{L}}\p{{N}}])(?:{SECRET}|{NAME}|{CLOUD}|{IBAN}|{IP4}|{IP6}|{SOCIAL}|{PHONE}|{CARD})(?![\p{{L}}\p{{N}}])"
 #: A text without any of these holds no entity.
-HINT = rf"[@\d]|(?i:{'|'.join(SECRET_WORDS)})|{'|'.join(t for ts in TITLES.values() for t in ts)}"
+HINT = rf"[@\d]|AKIA|ASIA|(?i:{'|'.join(SECRET_WORDS)})|{'|'.join(t for ts in TITLES.values() for t in ts)}"
 SIGN = r"[^\p{L}\p{N}]"
+#: The words between title and family name.
+GIVEN = rf"^\S+ (.+) {WORD}$"
 
 LATIN, CYRILLIC, GREEK = "abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмнопрстуфхцчшэюя", "αβγδεζηθικλμνξοπρστυφχψω"
 #: Onsets and vowels of drawn names, and the endings of first names of women and men and of family names.
-SYLLABLES = {"Latin": ("bdfgklmnprstvz", "aeiou"), "Cyrillic": ("бвгджзклмнпрст", "аеиоу")}
-ENDINGS = {"Latin": ("na", "ton", "ster"), "Cyrillic": ("на", "тон", "ский")}
+SYLLABLES = {"Latin": ("bdfgklmnprstvz", "aeiou"), "Cyrillic": ("бвгджзклмнпрст", "аеиоу"), "Greek": ("βγδζθκλμνπρστφ", "αειου")}
+ENDINGS = {"Latin": ("na", "ton", "len", "ster"), "Cyrillic": ("на", "тон", "лен", "ский"), "Greek": ("να", "τον", "λεν", "ιδης")}
 
 
 def digits(o: Column) -> Column:
@@ -51,12 +60,13 @@ def kind_of(o: Column) -> Column:
     """The kind of a match; null if its check digits show that it is none."""
     iban = F.upper(F.regexp_replace(o, " ", ""))
     moved = F.concat(F.substr(iban, F.lit(5)), F.substr(iban, F.lit(1), F.lit(4)))
-    female, male = (o.rlike(rf"^(?:{'|'.join(TITLES[g])})\.? ") for g in "fm")
+    female, male, untold = (o.rlike(rf"^(?:{'|'.join(TITLES[g])})\.? ") for g in "fmn")
     return (
         F.when(o.contains("@"), F.lit("email"))
         .when(o.rlike(rf"^(?i:{'|'.join(SECRET_WORDS)})\s*[=:]"), F.lit("secret"))
         .when(female, F.lit("name_f"))
         .when(male, F.lit("name_m"))
+        .when(untold, F.lit("name_n"))
         .when(o.rlike(f"^{CLOUD}$"), F.lit("cloud_key"))
         .when(o.rlike(f"^(?:{IP4})$"), F.lit("ipv4"))
         .when(o.rlike(f"^(?:{IP6})$"), F.lit("ipv6"))
@@ -84,7 +94,7 @@ def canonical(o: Column, kind: Column) -> Column:
     return (
         F.when(kind == "email", F.lower(o))
         .when(kind == "secret", F.regexp_extract(o, r"([A-Za-z0-9_+/-]{8,})$", 1))
-        .when(kind.isin("name_f", "name_m"), F.lower(F.regexp_extract(o, r"(\p{L}+)$", 1)))
+        .when(kind.startswith("name"), F.lower(F.regexp_extract(o, rf"({WORD})$", 1)))
         .when(kind == "phone", F.when(F.length(number) > 10, F.substr(number, F.length(number) - 9)).otherwise(number))
         .when(kind.isin("card", "social"), number)
         .when(kind == "iban", F.upper(F.regexp_replace(o, " ", "")))
@@ -94,8 +104,8 @@ def canonical(o: Column, kind: Column) -> Column:
 
 
 def given(o: Column) -> Column:
-    """The first name of a two-word name in lower case, empty if there is none."""
-    return F.lower(F.regexp_extract(o, r" (\p{L}+) \p{L}+$", 1))
+    """The words and initials between title and family name in lower case, empty if there are none."""
+    return F.lower(F.regexp_extract(o, GIVEN, 1))
 
 
 def draw(key: str, *parts: Column) -> Column:
@@ -141,12 +151,16 @@ def spoken(word: Column, kind: Column, h: Column, attempt: Column) -> Column:
 
     def built(script: str) -> Column:
         onsets, vowels = SYLLABLES[script]
-        female, male, family = ENDINGS[script]
+        female, male, untold, family = ENDINGS[script]
         places = F.sequence(F.lit(0), F.when(attempt >= 4, F.lit(3)).otherwise(F.lit(2)))
         stem = F.array_join(F.transform(places, lambda i: F.concat(pick(onsets, number_at(h, 2 * i)), pick(vowels, number_at(h, 2 * i + 1)))), "")
-        return F.concat(stem, F.when(kind == "given_f", F.lit(female)).when(kind == "given_m", F.lit(male)).otherwise(F.lit(family)))
+        return F.concat(stem, F.when(kind == "given_f", F.lit(female)).when(kind == "given_m", F.lit(male)).when(kind == "given_n", F.lit(untold)).otherwise(F.lit(family)))
 
-    return F.when(word.rlike(r"\p{IsCyrillic}"), built("Cyrillic")).otherwise(built("Latin"))
+    first = F.when(word.rlike(r"\p{IsCyrillic}"), built("Cyrillic")).when(word.rlike(r"\p{IsGreek}"), built("Greek")).otherwise(built("Latin"))
+    # An initial stays one, and so do further words and initials; the parts of a double name become one name.
+    further = F.regexp_extract(word, r"^\S+( .*)$", 1)
+    first = F.when(word.rlike(r"^\p{L}\."), F.concat(F.substr(shaped(word, h), F.lit(1), F.lit(1)), F.lit("."))).otherwise(first)
+    return F.concat(first, F.when(further == "", F.lit("")).otherwise(shaped(further, F.reverse(h))))
 
 
 def surrogates(key: str, units: Column) -> Column:
@@ -179,7 +193,7 @@ def surrogates(key: str, units: Column) -> Column:
             .when(kind == "iban", F.concat(land, check, account))
             .when(kind == "ipv4", octets)
             .when(kind == "cloud_key", F.concat(F.substr(canon, F.lit(1), F.lit(4)), account))
-            .when(kind.isin("given_f", "given_m", "family"), spoken(canon, kind, h, u["attempt"]))
+            .when(kind.isin("given_f", "given_m", "given_n", "family"), spoken(canon, kind, h, u["attempt"]))
             .otherwise(drawn)
         )
 
@@ -202,25 +216,30 @@ def cased(word: Column, s: Column) -> Column:
     return F.when((word == F.upper(word)) & (F.length(word) > 1), F.upper(s)).when(word.rlike(r"^\p{Lu}"), F.concat(F.upper(F.substr(s, F.lit(1), F.lit(1))), F.substr(s, F.lit(2)))).otherwise(s)
 
 
+def words_cased(words: Column, s: Column) -> Column:
+    """`cased` word by word; both have as many."""
+    return F.array_join(F.transform(F.arrays_zip(F.split(words, " ").alias("w"), F.split(s, " ").alias("s")), lambda z: cased(z["w"], z["s"])), " ")
+
+
 def family(kind: Column) -> Column:
     """The kind that an entity is known by: a family name is one, whoever bears it."""
-    return F.when(kind.isin("name_f", "name_m"), F.lit("family")).otherwise(kind)
+    return F.when(kind.startswith("name"), F.lit("family")).otherwise(kind)
 
 
 def first_kind(kind: Column) -> Column:
-    return F.when(kind == "name_f", F.lit("given_f")).otherwise(F.lit("given_m"))
+    return F.when(kind == "name_f", F.lit("given_f")).when(kind == "name_n", F.lit("given_n")).otherwise(F.lit("given_m"))
 
 
 def in_place(o: Column, kind: Column, s: Column, first: Column) -> Column:
     """The match with its surrogate: signs, spaces, title and prefix as they were."""
     name = F.concat(
-        F.regexp_extract(o, r"^(.*?\.? )(?=\p{L}+(?: \p{L}+)?$)", 1),
-        F.when(given(o) != "", F.concat(cased(F.regexp_extract(o, r" (\p{L}+) \p{L}+$", 1), first), F.lit(" "))).otherwise(""),
-        cased(F.regexp_extract(o, r"(\p{L}+)$", 1), s),
+        F.regexp_extract(o, r"^(\S+ )", 1),
+        F.when(given(o) != "", F.concat(words_cased(F.regexp_extract(o, GIVEN, 1), first), F.lit(" "))).otherwise(""),
+        cased(F.regexp_extract(o, rf"({WORD})$", 1), s),
     )
     return (
         F.when(kind.isNull(), o)
-        .when(kind.isin("name_f", "name_m"), name)
+        .when(kind.startswith("name"), name)
         .when(kind == "email", cased(o, s))
         .when(kind == "secret", F.concat(F.regexp_extract(o, r"^(.*?)[A-Za-z0-9_+/-]{8,}$", 1), s))
         .when(kind.isin("ipv4", "cloud_key"), s)
@@ -239,7 +258,7 @@ def entities(docs: DataFrame, text: str = "text") -> DataFrame:
     held = docs.select(fold(text).alias("text")).where(F.col("text").rlike(HINT))
     each = held.select(F.explode(found(F.col("text"))).alias("e")).where("e.kind is not null").select("e.o", "e.kind").distinct()
     o, kind = F.col("o"), F.col("kind")
-    pair = F.array(F.struct(family(kind).alias("kind"), canonical(o, kind).alias("canon")), F.struct(first_kind(kind).alias("kind"), F.when(kind.isin("name_f", "name_m"), given(o)).alias("canon")))
+    pair = F.array(F.struct(family(kind).alias("kind"), canonical(o, kind).alias("canon")), F.struct(first_kind(kind).alias("kind"), F.when(kind.startswith("name"), given(o)).alias("canon")))
     return each.select(F.explode(pair).alias("p")).select("p.kind", "p.canon").where("canon != ''").distinct()
 
 
