@@ -131,14 +131,9 @@ def ranges(docs: DataFrame, parts: int) -> tuple[Column, int]:
             # What follows a heavy key begins a range of its own.
             bounds |= {(row["k"], -(1 << 63))} | ({(row["k"] + 1, -(1 << 63))} if row["k"] is not None and row["k"] < (1 << 63) - 1 else set())
     bounds = sorted(bounds, key=lambda b: (b[0] is not None, b[0] or 0, b[1]))
-    steps = len(bounds).bit_length()
-    shape = "struct<key: bigint, hash: bigint>"
-    listed = [F.struct(F.lit(k).cast("long").alias("key"), F.lit(h).cast("long").alias("hash")) for k, h in bounds]
-    limits = F.array(*listed, *[F.lit(None).cast(shape) for _ in range((1 << steps) - 1 - len(bounds))])
-    own, place = F.struct(key.alias("key"), F.col("hash").alias("hash")), F.lit(0)
-    for step in reversed(range(steps)):
-        half = 1 << step
-        place = place + F.when(own >= F.element_at(limits, place + half), F.lit(half)).otherwise(F.lit(0))
+    limits = F.array(*[F.struct(F.lit(k).cast("long").alias("key"), F.lit(h).cast("long").alias("hash")) for k, h in bounds])
+    own = F.struct(key.alias("key"), F.col("hash").alias("hash"))
+    place = F.size(F.filter(limits, lambda limit: limit <= own))
     return place, len(bounds) + 1
 
 
