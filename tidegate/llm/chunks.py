@@ -107,7 +107,7 @@ def ranges(docs: DataFrame, parts: int) -> tuple[Column, int]:
     """A column with each row's place among about equal ranges of (key, hash), and their number; null keys first.
 
     Bounds are approximate quantiles of the key, at most one for each range; a key heavier than a range, and the
-    null keys, are cut by quantiles of the hash. A row finds its range by halving."""
+    null keys, are cut by quantiles of the hash. A row's place is the number of bounds up to it."""
     key = F.col("key").cast("long")
     at = [i / parts for i in range(1, parts)] or [0.5]
     found = docs.select(F.percentile_approx(key, at, 10 * parts), F.count("*"), F.count_if(key.isNull())).first()
