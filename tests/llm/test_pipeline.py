@@ -2,6 +2,7 @@
 
 import collections
 import re
+import os
 import shutil
 import subprocess
 import sys
@@ -103,15 +104,17 @@ def test_odd_and_empty_tables_pass_every_stage(spark, odd, sf):
                 at = spark.createDataFrame(rows, docs.schema)
 
 
-def test_the_rest_works_without_this_subpackage(tmp_path):
-    for name in ("tidegate", "__spark_entry__.py"):
+@pytest.mark.parametrize("pipeline", [True, False])
+def test_the_rest_works_without_this_subpackage(tmp_path, pipeline):
+    for name in ("tidegate", "__spark_entry__.py", *(["corpus_pipeline.py"] if pipeline else [])):
         source = ROOT / name
         if source.is_dir():
             shutil.copytree(source, tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__"))
         else:
             shutil.copy(source, tmp_path / name)
     code = "import __spark_entry__ as e; assert not [n for n in e.queries() if n.startswith('op') or n == 'pipeline']; print(len(e.queries()))"
-    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True)
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True)
     assert done.returncode == 0 and int(done.stdout) > 150, done.stderr
 
 
