@@ -10,7 +10,7 @@ from tidegate.fixtures import load, source
 from tidegate.functions import scalars as fn
 from tidegate.functions.times import US, bucket, day_of_week, format_utc, hour_of_day, instant, micros, millis_between
 from tidegate.operators import evaluate as ev
-from tidegate.operators import fitting, scoring
+from tidegate.operators import boosting, fitting, scoring
 from tidegate.operators.features import FEATURES, point_in_time
 
 
@@ -297,6 +297,29 @@ def fit3(spark, folder):
     return _well(ev.average_precision(scored))
 
 
+@query("fit3_routed_trees", "SELECT *, TRUE AS ranks_well FROM later", ("history", "scored"), {"later": _LATER})
+def fit3_routed(spark, folder):
+    """FIT-3: boosted trees on raw inputs that send missing values to the better side, measured on later rows."""
+    train, later = _labelled(spark, folder)
+    (model,) = boosting.fit_boosted(train, [boosting.Setting(3, 6, 10.0)])
+    return _well(ev.average_precision(later.select("is_fraud", model.score().alias("score"))))
+
+
+@query(
+    "fit3_missing_decides",
+    "SELECT secs_since_prev_cust_txn IS NULL AS missing, count(*) AS rows, count(*) FILTER (WHERE secs_since_prev_cust_txn IS NULL) AS flagged FROM f GROUP BY 1",
+    ("history",),
+    _FEATURES,
+)
+def fit3_missing(spark, folder):
+    """FIT-3: where a missing input decides the label, the trees find that side and make no error."""
+    rows = _features(spark, folder).select(*FEATURES, F.col("secs_since_prev_cust_txn").isNull().alias("first")).checkpoint()
+    inputs = [f for f in FEATURES if f == "secs_since_prev_cust_txn" or f not in scoring.NULLABLE]
+    (model,) = boosting.fit_boosted(rows, [boosting.Setting(2, 3, 1.0)], [f for f in inputs if not f.startswith("cust_")], "first", step=1.0, columns=1.0)
+    scored = rows.select("first", (model.score() >= 0.5).cast("int").alias("flag"))
+    return scored.groupBy(F.col("first").alias("missing")).agg(F.count(F.lit(1)).alias("rows"), F.sum("flag").cast("bigint").alias("flagged"))
+
+
 @query("fit4_configuration_grid", "SELECT family, TRUE AS is_best, TRUE AS ranks_well FROM later, (VALUES ('linear'), ('trees')) v(family)", ("history", "scored"), {"later": _LATER})
 def fit4(spark, folder):
     """FIT-4: a grid of both families; the best of each by average precision on later rows."""
