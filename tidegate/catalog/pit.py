@@ -12,6 +12,8 @@ from tidegate.operators import compare
 from tidegate.operators.features import FEATURES, available_at, changes, point_in_time
 from tidegate.operators.splits import first_day, split_at_cutoff
 from tidegate.plans.visibility import Scan, oversized, visible
+from tidegate.session import scratch
+from tidegate.sources.buckets import write_bucketed
 
 
 def feature_sql(table: str = "history", available: str = "e.received_us", applied: str = "TRUE", complete: bool = False) -> str:
@@ -248,6 +250,19 @@ def join10(spark, folder):
     return compare.differences_by_column(compare.aligned(left, right, "seq", FEATURES), FEATURES, "feature")
 
 
+@query(
+    "join10_parity_by_feature_bucketed",
+    _PER_FEATURE,
+    ("history",),
+    {"f": feature_sql(), "g": feature_sql(available=f"e.received_us + {60 * US}")},
+)
+def join10_bucketed(spark, folder):
+    """JOIN-10 over two stored tables of vectors that share their buckets: the join moves no rows."""
+    left, right = (write_bucketed(df, scratch(spark, "vectors"), "seq", 8) for df in _both(spark, folder, delay_us=60 * US))
+    both = compare.aligned(left.hint("merge"), right, "seq", FEATURES)
+    return compare.differences_by_column(both, FEATURES, "feature")
+
+
 _STORED_SCORE = "CASE WHEN secs_since_prev_cust_txn IS NULL THEN CAST(0.5 AS DOUBLE) ELSE CAST(cust_txn_count_7d + term_txn_count_1d AS DOUBLE) / CAST(cust_txn_count_7d + term_txn_count_1d + 20 AS DOUBLE) END"
 _STORED_ACTION = f"CASE WHEN ({_STORED_SCORE}) >= CAST(0.5 AS DOUBLE) THEN 'review' ELSE 'approve' END"
 

@@ -12,6 +12,8 @@ from tidegate.functions.times import US, bucket, day_of_week, format_utc, hour_o
 from tidegate.operators import evaluate as ev
 from tidegate.operators import boosting, fitting, scoring
 from tidegate.operators.features import FEATURES, point_in_time
+from tidegate.session import scratch
+from tidegate.sources.buckets import write_bucketed
 
 
 @query(
@@ -248,6 +250,19 @@ def join1(spark, folder):
     return features.join(labels, "seq")
 
 
+@query(
+    "join1_features_with_labels_bucketed",
+    "SELECT f.seq, f.cust_txn_count_7d, t.is_fraud, t.label_us FROM f JOIN txn t ON t.txn_id = f.seq",
+    ("history", "txn"),
+    _FEATURES,
+)
+def join1_bucketed(spark, folder):
+    """JOIN-1 over stored tables that share their buckets: the join moves no rows."""
+    features = write_bucketed(_features(spark, folder).select("seq", "cust_txn_count_7d"), scratch(spark, "features"), "seq", 8)
+    labels = load(spark, folder, "txn").select(F.col("txn_id").alias("seq"), "is_fraud", "label_us")
+    return features.hint("merge").join(write_bucketed(labels, scratch(spark, "labels"), "seq", 8), "seq")
+
+
 @query(
     "join1_uniqueness",
     """SELECT (SELECT count(*) FROM history) AS left_rows, (SELECT count(DISTINCT seq) FROM history) AS left_keys, (SELECT count(*) FROM txn) AS right_rows,
