@@ -200,3 +200,14 @@ def test_balanced_weights(spark):
     weighted, total = fitting.class_weights(rows, True)
     got = {r["label"]: r["weight"] for r in weighted.collect()}
     assert got == {1.0: 2.5, 0.0: 0.625} and total == 10.0
+
+
+def test_sketches_of_parts_answer_for_the_whole(spark):
+    from tidegate.operators import operations
+
+    rows = spark.range(30_000).select((F.col("id") % 10).alias("day"), (F.col("id") % 20_000).alias("v"), F.lit("a").alias("k"))
+    rows = rows.unionByName(spark.createDataFrame([(1, None, "b"), (1, None, "b")], "day long, v long, k string"))
+    days = operations.distinct_sketches(rows, ["k", "day"], "v")
+    got = {r["k"]: r["distinct_values"] for r in operations.merged_sketches(days, ["k"]).collect()}
+    assert abs(got["a"] - 20_000) <= 0.04 * 20_000 and got["b"] == 0
+    assert operations.merged_sketches(days.limit(0), ["k"]).count() == 0

@@ -135,3 +135,51 @@ def test_folders_behind_the_horizon_leave_the_history(spark):
     assert [len(pipeline.commit_of(n)["history"]) for n in range(4)] == [1, 2, 2, 2]
     assert {r["batch"] for r in pipeline.history(4).select("batch").distinct().collect()} == {2, 3}
     assert pipeline.table("statuses").count() == 12
+
+
+def test_folded_snapshots_read_few_folders(spark):
+    rows = sorted(stream(7, 40, n=120), key=lambda r: (r[5], r[0]))
+    plain, folding = (Pipeline(spark, scratch(spark, "fold"), with_features=False, fold_after=n) for n in (1000, 3))
+    for number, start in enumerate(range(0, len(rows), 20)):
+        for pipeline in (plain, folding):
+            pipeline.on_events(events(spark, rows[start : start + 20]), number)
+        assert len(folding.commit_of(number)["entities"]) <= 3
+    for at in (None, 3, number):
+        a, b = (sorted(map(tuple, p.snapshot(at).collect())) for p in (plain, folding))
+        assert a == b and a
+    names = {t["name"] for n in range(number + 1) for t in folding.commit_of(n)["tables"]}
+    assert "entities_folded" in names
+
+
+def test_a_fold_without_a_commit_is_not_read(spark, monkeypatch):
+    pipeline = Pipeline(spark, scratch(spark, "fold"), with_features=False, fold_after=1)
+    rows = [(i, f"e{i}", f"e{i}", "h", i, i) for i in range(9)]
+    pipeline.on_events(events(spark, rows[:3]), 0)
+    before = sorted(map(tuple, pipeline.snapshot().collect()))
+    put = Pipeline._put
+
+    def fails(self, written, name, *rest):
+        put(self, written, name, *rest)
+        if name == "entities_folded":
+            raise RuntimeError("lost")
+
+    monkeypatch.setattr(Pipeline, "_put", fails)
+    try:
+        pipeline.on_events(events(spark, rows[3:6]), 1)
+    except RuntimeError:
+        pass
+    assert sorted(map(tuple, pipeline.snapshot().collect())) == before
+    monkeypatch.setattr(Pipeline, "_put", put)
+    pipeline.on_events(events(spark, rows[3:6]), 1)
+    assert pipeline.snapshot().agg(F.sum("applied_count")).first()[0] == 6
+
+
+def test_commits_without_a_list_of_entities(spark):
+    pipeline = Pipeline(spark, scratch(spark, "fold"), with_features=False, fold_after=2)
+    rows = [(i, f"e{i}", f"e{i}", "h", i, i) for i in range(9)]
+    pipeline.on_events(events(spark, rows[:3]), 0)
+    old = pipeline._commits().drop("entities").checkpoint()
+    old.coalesce(1).write.mode("overwrite").json(pipeline.path("commits/000000000"))
+    assert pipeline.snapshot().agg(F.sum("applied_count")).first()[0] == 3
+    pipeline.on_events(events(spark, rows[3:]), 1)
+    assert len(pipeline.commit_of(1)["entities"]) == 2 and pipeline.snapshot().agg(F.sum("applied_count")).first()[0] == 9

@@ -229,6 +229,19 @@ def agg18(spark, folder):
     )
 
 
+@query(
+    "agg18_merged_sketches",
+    "SELECT CAST(extract(year FROM o_orderdate) AS INTEGER) AS year, count(*) AS rows, count(DISTINCT o_custkey) AS customers, TRUE AS close FROM orders GROUP BY 1",
+)
+def agg18_sketches(spark, folder):
+    """AGG-18: distinct customers of a year from the sketches of its days, within 4% of the exact number."""
+    orders = source(spark, folder, "orders").withColumn("year", F.year("o_orderdate"))
+    days = ops.distinct_sketches(orders, ["year", "o_orderdate"], "o_custkey")
+    exact = orders.groupBy("year").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("o_custkey").alias("customers"))
+    close = F.abs(F.col("distinct_values") - F.col("customers")) <= 0.04 * F.col("customers")
+    return exact.join(ops.merged_sketches(days, ["year"]), "year").select("year", "rows", "customers", close.alias("close"))
+
+
 _LIST = "SELECT transaction_id, decision_us, amount_minor, score, action"
 
 

@@ -216,6 +216,18 @@ def state8_stream(spark, folder):
     return _in_parts(spark, folder, Pipeline(spark, scratch(spark, "snapshot"), with_features=False), parts=3).snapshot()
 
 
+@query(
+    "state8_folded_snapshot",
+    """SELECT customer_id, count(*) AS applied_count, max(received_us) AS last_applied_us, max_by(event_id, CAST(received_us AS HUGEINT) * 1000000 + seq) AS last_event_id
+       FROM statuses WHERE status = 'applied' GROUP BY customer_id""",
+    ("deliveries",),
+    _STATUS,
+)
+def state8_folded(spark, folder):
+    """STATE-8: the same where batches fold what earlier ones left, so that a snapshot reads few folders."""
+    return _in_parts(spark, folder, Pipeline(spark, scratch(spark, "snapshot"), with_features=False, fold_after=2), parts=5).snapshot()
+
+
 @query(
     "str7_replay_isolation",
     """SELECT namespace, status, count(*) AS n FROM (SELECT 'live' AS namespace, status FROM statuses UNION ALL SELECT 'replay:r1', status FROM statuses) x GROUP BY ALL""",

@@ -234,3 +234,15 @@ def even_sample(rows: DataFrame, rank: str, size: int, total: Column) -> DataFra
     number = F.when(step > 0, F.ceil(at / step)).otherwise(F.lit(0))  # one row is its own sample
     hit = lambda i: (i >= 0) & (i <= size - 1) & (F.floor(i.cast("double") * step) == at)
     return rows.filter(hit(number) | hit(number - 1) | hit(number + 1))
+
+
+def distinct_sketches(rows: DataFrame, keys: Sequence[str], value: str, precision: int = 14) -> DataFrame:
+    """Per key a sketch of its distinct non-null values: 2 ** precision registers at most, however many values.
+
+    Stored per day or batch, sketches answer for any union of them without a second look at the rows."""
+    return rows.groupBy(*keys).agg(F.hll_sketch_agg(value, precision).alias("sketch"))
+
+
+def merged_sketches(sketches: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Approximate distinct counts of the union of sketches per key, within about 1.04 / 2 ** (precision / 2)."""
+    return sketches.groupBy(*keys).agg(F.hll_union_agg("sketch").alias("_s")).select(*keys, F.hll_sketch_estimate("_s").alias("distinct_values"))

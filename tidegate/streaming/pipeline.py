@@ -28,7 +28,7 @@ from tidegate.operators.features import APPLIED, FEATURES, RETENTION, point_in_t
 _STORED = T.StructType([*schemas.TXN_EVENT.fields, T.StructField("batch", T.LongType()), T.StructField("attempt", T.StringType()), T.StructField("day", T.LongType())])
 _COMMIT = (
     "batch bigint, watermark_us bigint, tables array<struct<name: string, folder: string>>, "
-    "history array<struct<folder: string, newest_us: bigint>>"
+    "history array<struct<folder: string, newest_us: bigint>>, entities array<string>"
 )
 
 
@@ -41,6 +41,7 @@ class Pipeline:
     namespace: str = "live"
     retention_us: int = RETENTION
     with_features: bool = True
+    fold_after: int = 64  # entity folders that a snapshot reads at most; one more, and the batch folds them into one
 
     def path(self, table: str) -> str:
         return f"{self.base}/{self.namespace.replace(':', '_')}/{table}"
@@ -102,7 +103,8 @@ class Pipeline:
             live.append((written["history"], added_us))
         if watermark is not None:
             live = [(folder, newest) for folder, newest in live if newest >= watermark - self.retention_us]
-        row = (number, watermark, sorted(written.items()), live)
+        entities = self._entities(earlier, number, written)
+        row = (number, watermark, sorted(written.items()), live, entities)
         out = self.spark.createDataFrame([row], _COMMIT).coalesce(1)
         out.write.mode("overwrite").option("ignoreNullFields", "false").json(self.path(f"commits/{number:09d}"))
 
@@ -149,14 +151,35 @@ class Pipeline:
         newest = fresh.agg(F.max("event_us")).first()[0]
         return applied, max((w for w in (watermark, newest) if w is not None), default=None), newest
 
-    def snapshot(self) -> DataFrame:
-        """The latest state of every customer; each batch leaves what it adds."""
-        added = self.table("entities")
-        return added.groupBy("customer_id").agg(
-            F.sum("applied_count").alias("applied_count"),
-            F.max("last_applied_us").alias("last_applied_us"),
-            F.max_by("last_event_id", F.struct("last_applied_us", "batch")).alias("last_event_id"),
-        )
+    def _entities(self, earlier: Row | None, number: int, written: dict[str, str]) -> list[str]:
+        """Folders that together hold the state of all customers after a batch, folded when they are many."""
+        folders = list(earlier["entities"] or []) if earlier else []
+        if earlier and earlier["entities"] is None:  # the commit of a version that kept no such list
+            listed = self._commits().filter(F.col("batch") < number).select(F.explode("tables").alias("t")).filter("t.name = 'entities'")
+            folders = [r[0] for r in listed.select("t.folder").collect()]
+        if "entities" in written:
+            folders.append(written["entities"])
+        if len(folders) > self.fold_after:
+            self._put(written, "entities_folded", self._folded(self.spark.read.parquet(*folders)), number)
+            folders = [written["entities_folded"]]
+        return folders
+
+    @staticmethod
+    def _folded(added: DataFrame) -> DataFrame:
+        """One row per customer of rows that each batch, or an earlier fold, has left."""
+        last = F.max(F.struct("last_applied_us", "batch", "last_event_id"))
+        out = added.groupBy("customer_id").agg(F.sum("applied_count").alias("applied_count"), last.alias("_last"))
+        return out.select("customer_id", "applied_count", "_last.last_applied_us", "_last.last_event_id", "_last.batch")
+
+    def snapshot(self, before_batch: int | None = None) -> DataFrame:
+        """The latest state of every customer, or that before a batch: from at most `fold_after` folders."""
+        commit = self._before(before_batch) if before_batch is not None else self._commits().orderBy(F.desc("batch")).first()
+        folders = list(commit["entities"] or []) if commit else []
+        if commit and commit["entities"] is None:
+            return self._folded(self.table("entities").filter(F.col("batch") <= commit["batch"])).drop("batch")
+        if not folders:
+            raise ValueError("no committed batch has customers")
+        return self._folded(self.spark.read.parquet(*folders)).drop("batch")
 
     def _identities(self, history: DataFrame, rows: DataFrame) -> DataFrame:
         """Stored events with an id or source that the batch mentions, ordered before its rows."""
