@@ -46,6 +46,18 @@ def test_rare_expressions_are_known_by_their_beginning(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in got.values())
 
 
+def test_query_finds_held_out_toxic_documents(spark):
+    """The registered query on a larger table: most held-out toxic documents are found, few others flagged."""
+    folder = "/root/testdata/sf0.01"
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    got = registry.op1_toxicity(spark, folder).collect()
+    assert len(got) == spark.read.parquet(f"{folder}/documents.parquet").count()
+    held = [(r["predicted"], labels[r["doc_id"]]) for r in got if r["held_out"] and r["doc_id"] in labels]
+    flags = [p for p, y in held if y == 0]
+    found = [p for p, y in held if y == 1]
+    assert found and sum(found) >= 0.5 * len(found) and sum(flags) <= 0.05 * len(flags)
+
+
 def test_held_out_labels_are_not_learned(spark):
     rows, labels = labelled(2, 300)
     docs = spark.createDataFrame(rows, "doc_id long, text string")

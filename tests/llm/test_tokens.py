@@ -102,6 +102,12 @@ def test_matrices_hold_every_id_once(odd, none, library):
     assert packing.pack_ids(none, PATH).count() == 0
 
 
+def test_query_packs_the_ids_of_every_document(spark, sf, docs, library):
+    back = pieces_of(packing.unpacked(registry.op4_packed_ids(spark, sf)).collect(), 1, 2)
+    want = {r["doc_id"]: ids_of(library, r["text"], 50256) for r in docs.collect()}
+    assert {k: [x for _, part in sorted(v) for x in part] for k, v in back.items()} == want
+
+
 def test_best_fit_is_near_the_least_number_of_windows():
     rng = random.Random(5)
     lengths = [rng.choice([0, 1, 2048, 5000, rng.randint(1, 2500)]) for _ in range(3000)]
