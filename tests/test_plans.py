@@ -2,11 +2,13 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tidegate.plans.ordered import chunked, framed, last_before, row_numbers, running
 from tidegate.plans.quantiles import exact_percentiles
-from tidegate.plans.visibility import NOTHING, count_visible
+from tidegate.plans import visibility
+from tidegate.plans.visibility import NOTHING, Scan, count_visible
 
 
 def test_visible_counts_against_brute_force():
@@ -24,6 +26,27 @@ def test_visible_counts_against_brute_force():
             assert newest[i] == (pu[m].max() if m.any() else NOTHING)
 
 
+def test_a_task_answers_few_rows_at_once(monkeypatch):
+    """However many rows a task has; those of an entity stay together, and a large one is asked slot by slot."""
+    rng = np.random.default_rng(5)
+    keys = np.repeat(np.arange(41), [10] * 40 + [300])
+    n = keys.size
+    u = rng.integers(0, 50, n)
+    rows = dict(id=np.arange(n), k=keys, _u=u, _v=u + rng.integers(0, 9, n), _y=u + 3, later=u + 6, _w=np.ones(n, int), _point=np.ones(n, bool), _entity=keys)
+    asked, real = [], visibility.count_visible
+    monkeypatch.setattr(visibility, "count_visible", lambda *a: asked.append((a[0].size, a[5].size)) or real(*a))
+    monkeypatch.setattr(visibility, "ASKED_AT_ONCE", 100)
+    scan = Scan("c", ("k",), (("now", 0), ("back", 5), ("later", 0)), sums=("back",), last=("now",), until=(("later", "later"),))
+    batches = pa.table(rows).to_batches(max_chunksize=7)
+    out = pa.Table.from_batches(visibility._unit([scan], ["id", *scan.columns()], 30)(iter(batches))).to_pydict()
+    assert out["id"] == list(range(n)) and len(asked) > 10
+    assert max(q for p, q in asked if p < 300) <= 100 and max(p for p, _ in asked) <= 337
+    for i in range(n):
+        mine = (keys == keys[i]) & (rows["_v"] <= rows["_y"][i])
+        assert out["c_n_now"][i] == (mine & (u < u[i])).sum() and out["c_s_back"][i] == (mine & (u < u[i] - 5)).sum()
+        assert out["c_n_later"][i] == ((keys == keys[i]) & (u < u[i]) & (rows["_v"] <= u[i] + 6)).sum()
+
+
 def test_wide_values_do_not_overflow():
     far = np.array([-(2**61), 0, 2**61])
     total, _ = count_visible(

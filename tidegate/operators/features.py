@@ -117,30 +117,31 @@ def changes(txns: DataFrame, seen_until: dict[str, Column], rows_per_unit: int =
 
     A vector changes if and only if an event enters or leaves the customer's 30 days or the terminal's 7 days, as
     each of them is counted by a feature. So no vector is computed: one pass over the history counts, for every
-    decision and variant, the events of these two windows, however many variants there are. Columns of
+    decision and variant, the events of these two windows, however many variants there are; a row is an event once. Columns of
     `seen_until` give the time up to which arrivals are seen; event ids must not repeat."""
-    names = ["_as_made", *seen_until]
-    until = [F.col("received_us"), *seen_until.values()]
-    asked = F.array(*[F.struct(F.lit(i).alias("_variant"), u.cast("long").alias("decision_us")) for i, u in enumerate(until)])
     columns = ["seq", "event_id", "customer_id", "terminal_id", "amount_minor", "event_us", "received_us"]
     base = written(txns.select(*columns), "decisions")
     rows = base.count()
-    each = base.select("*", F.inline(asked)).withColumn("_row", F.col("seq") * len(names) + F.col("_variant"))
-    scans = [
-        Scan("c", ("customer_id",), (("now", 0), ("from", MAX_WINDOW))),
-        Scan("t", ("terminal_id",), (("now", 0), ("from", max(TERMINAL_WINDOWS.values())))),
-    ]
-    for scan in scans:
+    until = [f"_until_{i}" for i in range(len(seen_until))]
+    seen = base.withColumns({name: u.cast("long") for name, u in zip(until, seen_until.values(), strict=True)})
+    widths = {"c": ("customer_id", MAX_WINDOW), "t": ("terminal_id", max(TERMINAL_WINDOWS.values()))}
+    for prefix, (key, width) in widths.items():
+        offsets = [(f"{slot}{name}", back) for name in ("", *until) for slot, back in (("now", 0), ("from", width))]
+        asked = [(f"{slot}{name}", name) for name in until for slot in ("now", "from")]
+        scan = Scan(prefix, (key,), tuple(offsets), until=tuple(asked))
         hot = oversized(base, scan.keys, rows, rows_per_unit)
-        each = visible(
-            each, [scan], event_us="event_us", available_us=F.col("received_us"), decision_us="decision_us", weight="amount_minor",
-            is_point=F.col("_variant") == 0, row_id="_row", rows=rows * len(names), rows_per_unit=rows_per_unit, hot=hot,
+        if hot.entities:
+            seen = seen.checkpoint()
+        seen = visible(
+            seen, [scan], event_us="event_us", available_us=F.col("received_us"), decision_us="received_us", weight="amount_minor",
+            is_point=F.lit(True), row_id="seq", rows=rows, rows_per_unit=rows_per_unit, hot=hot,
         )
-    seen = F.struct((F.col("c_n_now") - F.col("c_n_from")).alias("c"), (F.col("t_n_now") - F.col("t_n_from")).alias("t"))
-    made = each.groupBy("seq").agg(F.max(F.when(F.col("_variant") == 0, seen)).alias("_made"), F.collect_list(F.struct("_variant", seen.alias("_s"))).alias("_all"))
-    out = made.select("seq", "_made", F.inline("_all")).filter("_variant > 0")
-    variant = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("_variant") + 1)
-    return out.select("seq", variant.alias("variant"), (F.col("_made") != F.col("_s")).alias("changed"))
+
+    def counted(name: str) -> Column:
+        return F.struct(*[F.col(f"{p}_n_now{name}") - F.col(f"{p}_n_from{name}") for p in widths])
+
+    variants = [F.struct(F.lit(v).alias("variant"), (counted("") != counted(n)).alias("changed")) for v, n in zip(seen_until, until, strict=True)]
+    return seen.select("seq", F.inline(F.array(*variants)))
 
 
 def _own_event(base: DataFrame, available: Column, is_point: Column) -> DataFrame:

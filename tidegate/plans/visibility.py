@@ -3,8 +3,9 @@
 A query (x, y) of one entity asks for all points of that entity with event time `u < x` that had
 arrived, `v <= y`. Pairing queries with points grows with the square of a hot entity, so:
 
-* Ordinary entities are packed into work units of bounded size and each unit is answered by sorts
-  and binary searches. Only points that arrive after some later decision need more than a prefix.
+* Ordinary entities are dealt to tasks, which read them one after another and answer a bounded number
+  of rows at once by sorts and binary searches. Only points that arrive after some later decision need
+  more than a prefix.
 * An entity larger than a unit is cut into chunks along both times. A query is then the sum of
   (a) points in its own event-time chunk, (b) points of earlier event-time chunks in its own
   arrival chunk, and (c) whole cells (earlier event-time chunk, earlier arrival chunk), which are
@@ -14,7 +15,7 @@ arrived, `v <= y`. Pairing queries with points grows with the square of a hot en
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ROWS_PER_UNIT = 500_000
+ROWS_AT_ONCE = 50_000  # rows of whole entities that a task answers together; a larger entity is answered alone
+ASKED_AT_ONCE = 500_000  # questions that are answered together: one slot at a time for the largest entities
 MAX_CUTS = 2048
 MAX_LISTED = 1_000_000  # numbers that may be broadcast: hot entities, or their cut points
 NOTHING = -(2**63)
@@ -36,7 +39,8 @@ class Scan:
 
     `offsets` maps a slot name to the microseconds subtracted from the row's event time, a number
     or a column of the row. `sums` names the slots that also need the summed weight, `last` those
-    that need the newest visible event time.
+    that need the newest visible event time. `until` maps slots to the column up to which they see
+    arrivals; the others see those up to the row's decision.
     """
 
     prefix: str
@@ -44,6 +48,7 @@ class Scan:
     offsets: tuple[tuple[str, int | str], ...]
     sums: tuple[str, ...] = ()
     last: tuple[str, ...] = ()
+    until: tuple[tuple[str, str], ...] = ()
 
     def columns(self) -> list[str]:
         names = [f"{self.prefix}_n_{slot}" for slot, _ in self.offsets]
@@ -142,34 +147,59 @@ def _or_null(values: np.ndarray) -> pa.Array:
     return pa.array(values, pa.int64(), mask=values == NOTHING)
 
 
-def _unit(scans: Sequence[Scan], columns: list[str]):
-    """The function applied to one work unit of whole entities."""
+def _whole(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """Tables of whole entities from rows that come entity by entity: no more are held than `most` rows, the rest of
+    an entity and a batch."""
+    held, count = [], 0
+    for batch in batches:
+        if count >= most and batch.num_rows:
+            entity = batch.column(batch.num_columns - 1).to_numpy()
+            before = held[-1].column(batch.num_columns - 1)[-1].as_py()
+            starts = np.flatnonzero(np.concatenate([[entity[0] != before], entity[1:] != entity[:-1]]))
+            if starts.size:
+                yield pa.Table.from_batches([*held, batch.slice(0, starts[0])])
+                held, count, batch = [], 0, batch.slice(starts[0])
+        if batch.num_rows:
+            held.append(batch)
+            count += batch.num_rows
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _unit(scans: Sequence[Scan], columns: list[str], most: int):
+    """The function applied to the rows of a task, whole entities one after another."""
 
     def answer(table: pa.Table) -> pa.Table:
         point = table["_point"].to_numpy().astype(bool)
         t, seen_at = _ints(table, "_u"), _ints(table, "_y")
         u, v = t[point], _ints(table, "_v")[point]
-        weights = np.stack([np.ones(u.size, np.int64), _ints(table, "_w")[point]])
+        one, amount = np.ones((1, u.size), np.int64), _ints(table, "_w")[point][None]
         out = table
         for scan in scans:
-            g = _codes(table, scan.keys)
-            count = len(scan.offsets)
-            x = np.concatenate(
-                [t - (_ints(table, back) if isinstance(back, str) else back) for _, back in scan.offsets]
-            )
-            total, newest = count_visible(
-                g[point], u, v, weights, u, np.tile(g, count), x, np.tile(seen_at, count)
-            )
-            for i, (slot, _) in enumerate(scan.offsets):
-                rows = slice(i * t.size, (i + 1) * t.size)
-                out = out.append_column(f"{scan.prefix}_n_{slot}", pa.array(total[0, rows]))
-                if slot in scan.sums:
-                    out = out.append_column(f"{scan.prefix}_s_{slot}", pa.array(total[1, rows]))
-                if slot in scan.last:
-                    out = out.append_column(f"{scan.prefix}_last_{slot}", _or_null(newest[rows]))
+            g, until, answers = _codes(table, scan.keys), dict(scan.until), {}
+            weights = np.concatenate([one, amount]) if scan.sums else one
+            step = max(1, ASKED_AT_ONCE // t.size)
+            for start in range(0, len(scan.offsets), step):
+                some = scan.offsets[start : start + step]
+                x = np.concatenate([t - (_ints(table, back) if isinstance(back, str) else back) for _, back in some])
+                y = np.concatenate([_ints(table, until[slot]) if slot in until else seen_at for slot, _ in some])
+                total, newest = count_visible(g[point], u, v, weights, u, np.tile(g, len(some)), x, y)
+                for i, (slot, _) in enumerate(some):
+                    rows = slice(i * t.size, (i + 1) * t.size)
+                    answers[f"{scan.prefix}_n_{slot}"] = pa.array(total[0, rows].copy())
+                    if slot in scan.sums:
+                        answers[f"{scan.prefix}_s_{slot}"] = pa.array(total[1, rows].copy())
+                    if slot in scan.last:
+                        answers[f"{scan.prefix}_last_{slot}"] = _or_null(newest[rows])
+            for name in scan.columns():
+                out = out.append_column(name, answers[name])
         return out.select(columns)
 
-    return answer
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole(batches, most):
+            yield from answer(table).to_batches(max_chunksize=10_000)
+
+    return each
 
 
 @dataclass(frozen=True)
@@ -259,17 +289,17 @@ def _split(base: DataFrame, keys: Sequence[str], hot: Hot) -> tuple[DataFrame, D
 def _pack(
     base: DataFrame, kept: Sequence[str], scans: Sequence[Scan], rows: int, rows_per_unit: int
 ) -> DataFrame:
-    """Whole entities, hashed into units of about `rows_per_unit` rows."""
+    """Whole entities, hashed to tasks that read them in the order of their hash."""
     workers = base.sparkSession.sparkContext.defaultParallelism
     units = max(math.ceil(rows / rows_per_unit), min(2 * workers, math.ceil(rows / 2000)), 1)
-    base = base.withColumn("_unit", F.pmod(F.xxhash64(*scans[0].keys), F.lit(units)))
-    base = base.repartition(units, "_unit")
+    base = base.withColumn("_entity", F.xxhash64(*scans[0].keys))
+    base = base.repartition(units, "_entity").sortWithinPartitions("_entity")
     columns = [*kept, *[c for s in scans for c in s.columns()]]
     schema = T.StructType(
         [base.schema[c] for c in kept]
         + [T.StructField(c, T.LongType(), True) for s in scans for c in s.columns()]
     )
-    return base.groupBy("_unit").applyInArrow(_unit(scans, columns), schema)
+    return base.mapInArrow(_unit(scans, columns, min(rows_per_unit, ROWS_AT_ONCE)), schema)
 
 
 def _chunk_of(value: Column, cuts: Column) -> Column:
@@ -436,10 +466,12 @@ def _by_grid(large: DataFrame, scan: Scan, hot: Hot, row_id: str, rows_per_unit:
     points = large.filter("_point").select(
         *keys, F.col("_u").alias("_a"), F.col("_v").alias("_b"), one.alias("_n"), F.col("_w").alias("_s"), F.col("_u").alias("_m")
     )
-    slots = [F.struct(F.lit(s).alias("_slot"), (F.col("_u") - _back(b)).alias("_a")) for s, b in scan.offsets]
-    queries = large.select(
-        *keys, F.col(row_id).alias("_row"), F.col("_y").alias("_b"), F.inline(F.array(*slots))
-    )
+    until = dict(scan.until)
+    slots = [
+        F.struct(F.lit(s).alias("_slot"), (F.col("_u") - _back(b)).alias("_a"), F.col(until.get(s, "_y")).cast("bigint").alias("_b"))
+        for s, b in scan.offsets
+    ]
+    queries = large.select(*keys, F.col(row_id).alias("_row"), F.inline(F.array(*slots)))
     each = 1 + len(scan.offsets)  # a row is a point and a query per slot
     parts = _solve(
         points, queries, keys, ["_row", "_slot"], hot.largest * each, hot.entities, rows_per_unit * each
