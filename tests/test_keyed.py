@@ -105,3 +105,58 @@ def test_timelines_answer_as_lists_do(monkeypatch, fresh):
         assert line.window(start, end, name) == (len(inside), sum(x[2] for x in inside))
         assert line.newest(start, end, name) == max((x[0] for x in inside), default=None)
         assert line.met(start, end, name, other) == any(x[3] == other for x in inside)
+
+
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_rows_of_a_batch_see_the_same_together_as_one_by_one(monkeypatch, few):
+    """Equal arrivals, own ids applied before, ties in event time and events older than a window."""
+    monkeypatch.setattr(keyed, "_FEW", few)
+    rng = random.Random(11)
+    make = keyed.Row(*keyed._names(keyed._STATUS))
+    stored = [(rng.randrange(40) * DAY, f"n{i % 60}", rng.randrange(9), f"t{rng.randrange(4)}") for i in range(90)]
+    rows = []
+    for seq in range(80):
+        at, arrived = rng.choice([rng.randrange(40) * DAY, rng.randrange(20, 40) * DAY + 1]), 41 * DAY + rng.randrange(30)
+        status = ap.APPLIED if rng.random() < 0.7 else ap.DUPLICATE
+        rows.append(make(seq, f"n{rng.randrange(100)}", "c", f"t{rng.randrange(5)}", rng.randrange(9), at, arrived, "h", "s", None, status))
+
+    class Days:
+        held = {}
+
+        def iterator(self):
+            return iter([((d,), v) for d, v in self.held.items()])
+
+        def updateValue(self, key, value):
+            self.held[key[0]] = value
+
+    class Timers:
+        set = []
+
+        def registerTimer(self, at):
+            self.set.append(at)
+
+        def getCurrentWatermarkInMs(self):
+            return 0
+
+    histories = keyed.CustomerHistories()
+    histories.days, histories.handle = Days(), Timers()
+    by_day = {}
+    for item in stored:
+        by_day.setdefault(item[0] // DAY, []).append(item)
+    histories._extend(by_day, {})
+    before = len(Timers.set)
+    got = {r["seq"]: r for r in histories.handleInputRows(("c",), iter(rows), Timers())}
+    for r in rows:
+        new = [(x["event_us"], x["event_id"], x["amount_minor"], x["terminal_id"]) for x in rows if x["status"] == ap.APPLIED and x["received_us"] <= r["received_us"]]
+        seen = [x for x in stored + new if x[0] < r["event_us"] and x[1] != r["event_id"]]
+        month = [x for x in seen if x[0] >= r["event_us"] - 30 * DAY]
+        week = [x for x in seen if x[0] >= r["event_us"] - 7 * DAY]
+        have = got[r["seq"]]
+        assert (have["cust_txn_count_30d"], have["cust_amount_30d"]) == (len(month), sum(x[2] for x in month))
+        assert (have["cust_txn_count_7d"], have["cust_amount_7d"]) == (len(week), sum(x[2] for x in week))
+        assert have["previous_us"] == max((x[0] for x in month), default=None)
+        assert have["pair_seen"] == any(x[3] == r["terminal_id"] for x in month)
+    # All applied events are kept, and a day has one timer.
+    assert sum(len(v[0]) // 8 for v in Days.held.values()) == len(stored) + sum(r["status"] == ap.APPLIED for r in rows)
+    assert len(Timers.set) == len(set(Timers.set)) == len(Days.held) >= before
+    Days.held.clear(), Timers.set.clear()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from tidegate import schemas
@@ -15,7 +17,11 @@ from tidegate.operators.splits import first_day
 from tidegate.session import scratch
 from tidegate.streaming import keyed
 
-_PARTITIONS = 4  # of the state: enough for the given tables
+
+def _partitions(rows):
+    """Partitions of the state: one for each core where there are rows for it, more where a partition would be large."""
+    workers, n = rows.sparkSession.sparkContext.defaultParallelism, rows.count()
+    return max(4, min(workers, math.ceil(n / 10_000)), math.ceil(n / 1_000_000))
 
 
 def _stream(spark, rows, path, parts, width_us):
@@ -42,8 +48,9 @@ _SHOWN = f"f.seq, statuses.status, f.decision_us, {', '.join('f.' + name for nam
 def str2_keyed(spark, folder):
     """STR-2, STATE-1, STATE-3: statuses and features of five batches by keyed state, equal to the batch result."""
     path = scratch(spark, "keyed")
-    stream = _stream(spark, load(spark, folder, "deliveries"), path, 5, 7 * DAY)
-    keyed.run_keyed(keyed.keyed_features(stream), path, _PARTITIONS)
+    rows = load(spark, folder, "deliveries")
+    stream = _stream(spark, rows, path, 5, 7 * DAY)
+    keyed.run_keyed(keyed.keyed_features(stream), path, _partitions(rows))
     return spark.read.parquet(f"{path}/out").select("seq", "status", "decision_us", *FEATURES, "history_complete")
 
 
@@ -83,7 +90,7 @@ def state7_kept(spark, folder):
     rows = load(spark, folder, "deliveries")
     rows = rows.withColumns({c: F.col(c) * 2 - lit(start) for c in ("event_us", "received_us")})
     # Repeats and conflicts follow their first delivery, so that the span of each batch is as the SQL cuts it.
-    keyed.run_keyed(keyed.keyed_features(_stream(spark, rows, path, 5, 12 * DAY)), path, _PARTITIONS)
+    keyed.run_keyed(keyed.keyed_features(_stream(spark, rows, path, 5, 12 * DAY)), path, _partitions(rows))
     return keyed.kept(spark, path, 6)
 
 
@@ -101,5 +108,5 @@ def pit7_hand_over(spark, folder):
     before = deliveries.filter(F.col("received_us") < cutoff)
     applied = ap.apply_events(before).filter(F.col("status") == ap.APPLIED).checkpoint()
     stream = _stream(spark, deliveries.filter(F.col("received_us") >= cutoff), path, 1, 0)
-    keyed.run_keyed(keyed.keyed_features(stream, applied=applied), path, _PARTITIONS)
+    keyed.run_keyed(keyed.keyed_features(stream, applied=applied), path, _partitions(deliveries))
     return spark.read.parquet(f"{path}/out").select("seq", "status", "decision_us", *FEATURES, "history_complete")

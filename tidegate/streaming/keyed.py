@@ -13,7 +13,7 @@ event time less the retention, as it stood after the batch before, which makes i
 
 What differs from `streaming.pipeline`, which is exact to the row: the horizon moves between batches; refused
 events move it as well; an id whose first delivery found its source taken stays refused until its record expires.
-A key's rows of one batch are read by one task, in order of arrival.
+A key's rows of one batch are read by one task; many rows of a key are answered together, by sorts.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from tidegate.functions.times import DAY, US, day_of_week, hour_of_day, lit
 from tidegate.operators.apply import DUPLICATE, EVENT_ID_CONFLICT, LATE, PAYLOAD_CONFLICT
 from tidegate.operators.features import APPLIED, CUSTOMER_WINDOWS, FEATURES, MAX_WINDOW, RETENTION, TERMINAL_WINDOWS
+from tidegate.plans.visibility import NOTHING, count_visible
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _EVENT = (
@@ -75,7 +76,7 @@ class Identities(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         horizon = _horizon(timerValues)
-        known = self.record.get() if self.record.exists() else None
+        known = self.record.get()
         for row in _arrived(rows):
             if known is not None and horizon is not None and known[2] < horizon:
                 known = None
@@ -113,7 +114,7 @@ class Owners(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         horizon = _horizon(timerValues)
-        held = self.owner.get() if self.owner.exists() else None
+        held = self.owner.get()
         width = len(_names(_EVENT))
         for row in _arrived(rows):
             if held is not None and horizon is not None and held[1] < horizon:
@@ -140,6 +141,7 @@ class Owners(StatefulProcessor):
 
 _SEPARATOR = "\x1f"
 _FRESH = 2_000  # events that are searched beside the sorted arrays before they are merged into them
+_FEW = 8  # rows of a key in a batch that are answered one by one
 
 
 class _Timeline:
@@ -197,6 +199,83 @@ class _Timeline:
         return any(r[3] == other and r[1] != name for r in recent)
 
 
+class _Together:
+    """What the rows of an entity's batch have seen, counted for all of them at once.
+
+    A row sees the events from before the batch and those that the batch applied no later than it arrived. Events are
+    named by their rank in time; the few that carry a row's own id are taken out one by one."""
+
+    def __init__(self, line: _Timeline, rows: list[Row], other: str):
+        def column(name: str, of: list[Row]) -> np.ndarray:
+            return np.array([r[name] for r in of], "<i8")
+
+        def texts(values: list[str]) -> np.ndarray:
+            return np.array(values, dtype=object)
+
+        new = [r for r in rows if r["status"] == APPLIED]
+        self.rows, self.at, self.until = rows, column("event_us", rows), column("received_us", rows)
+        times = np.concatenate([line.times, column("event_us", new)])
+        order = np.argsort(times, kind="stable")
+        self.times, self.ranks = times[order], np.arange(order.size)
+        self.arrived = np.concatenate([np.full(line.times.size, self.until.min()), column("received_us", new)])[order]
+        self.amounts = np.concatenate([line.amounts, column("amount_minor", new)])[order]
+        self.names = np.concatenate([line.names, texts([r["event_id"] for r in new])])[order].tolist()
+        self.others = np.concatenate([line.others, texts([r[other] or "" for r in new])])[order].tolist()
+        named: dict[str, list[int]] = {r["event_id"]: [] for r in rows}
+        for rank, name in enumerate(self.names):
+            if name in named:
+                named[name].append(rank)
+        #: (row, rank) of events that a row must not count although it could see them
+        self.own = [
+            (i, rank) for i, r in enumerate(rows) for rank in named[r["event_id"]]
+            if self.times[rank] < self.at[i] and self.arrived[rank] <= self.until[i]
+        ]
+
+    def _before(self, back: int, points: np.ndarray, groups: np.ndarray) -> np.ndarray:
+        """Number and amount of the visible events of a row's group before its event time less `back`."""
+        weights = np.stack([np.ones(self.times.size, np.int64), self.amounts])
+        places = np.searchsorted(self.times, self.at - back)
+        return count_visible(points, self.ranks, self.arrived, weights, self.ranks, groups, places, self.until)[0]
+
+    def _inside(self, width: int, points: np.ndarray, groups: np.ndarray, same: list[str] | None = None) -> np.ndarray:
+        found = self._before(0, points, groups) - self._before(width, points, groups)
+        for i, rank in self.own:
+            if self.times[rank] >= self.at[i] - width and (same is None or self.others[rank] == same[i]):
+                found[:, i] -= (1, self.amounts[rank])
+        return found
+
+    def window(self, width: int) -> tuple[list[int], list[int]]:
+        """Number and amount of the other events in [t - width, t) of each row."""
+        n, total = self._inside(width, np.zeros(self.times.size, np.int64), np.zeros(self.at.size, np.int64))
+        return n.tolist(), total.tolist()
+
+    def newest(self, width: int) -> list[int | None]:
+        """Time of the last other event in [t - width, t) of each row."""
+        out: list[int | None] = [None] * self.at.size
+        places, left = np.searchsorted(self.times, self.at), np.arange(self.at.size)
+        one = np.ones((1, self.times.size), np.int64)
+        while left.size:
+            group = np.zeros(left.size, np.int64)
+            last = count_visible(np.zeros(self.times.size, np.int64), self.ranks, self.arrived, one, self.ranks, group, places, self.until[left])[1]
+            again = []
+            for k, (i, rank) in enumerate(zip(left.tolist(), last.tolist(), strict=True)):
+                if rank == NOTHING or self.times[rank] < self.at[i] - width:
+                    continue
+                if self.names[rank] == self.rows[i]["event_id"]:
+                    again.append(k)
+                else:
+                    out[i] = int(self.times[rank])
+            left, places = left[again], last[again]
+        return out
+
+    def met(self, width: int, wanted: list[str]) -> list[bool]:
+        """Whether an other event in [t - width, t) of each row was with the one that is wanted."""
+        codes: dict[str, int] = {}
+        points = np.array([codes.setdefault(x, len(codes)) for x in self.others], np.int64)
+        groups = np.array([codes.setdefault(x, len(codes)) for x in wanted], np.int64)
+        return (self._inside(width, points, groups, wanted)[0] > 0).tolist()
+
+
 class _Histories(StatefulProcessor):
     """Keyed by an entity: one state entry per day of its applied events, removed by a timer as the day passes."""
 
@@ -206,33 +285,44 @@ class _Histories(StatefulProcessor):
         self.handle = handle
         self.days = handle.getMapState("days", "day long", "times binary, amounts binary, names string, others string")
 
-    def _extend(self, added: dict[int, list[tuple]]) -> None:
+    def _extend(self, added: dict[int, list[tuple]], stored: dict[int, tuple]) -> None:
+        """Add events to their days, of which those `stored` are known; a day that was stored has its timer."""
         for day, items in added.items():
-            times, amounts, names, others = self.days.getValue((day,)) if self.days.containsKey((day,)) else (b"", b"", "", "")
+            times, amounts, names, others = stored.get(day) or (b"", b"", "", "")
             joined = [np.array([i[k] for i in items], "<i8").tobytes() for k in (0, 2)]
             texts = [_SEPARATOR.join(([old] if times else []) + [i[k] for i in items]) for k, old in ((1, names), (3, others))]
             self.days.updateValue((day,), (bytes(times) + joined[0], bytes(amounts) + joined[1], *texts))
-            self.handle.registerTimer((day + 1) * DAY // 1000)
+            if not times:
+                self.handle.registerTimer((day + 1) * DAY // 1000)
 
-    def handleInputRows(self, key, rows, timerValues):
-        horizon = _horizon(timerValues)
-        # A day that has passed the horizon is not looked at, whether or not its timer has fired.
-        entries = [v for (day,), v in self.days.iterator() if horizon is None or (day + 1) * DAY > horizon]
-        line, added = _Timeline(entries), {}
+    def _one_by_one(self, line: _Timeline, rows: list[Row], horizon: int | None) -> Iterator[Row]:
         waiting: list[Row] = []
-        for row in [*_arrived(rows), None]:
+        for row in [*rows, None]:
             # Rows that arrive in one microsecond see each other.
             if waiting and (row is None or row["received_us"] != waiting[0]["received_us"]):
                 for r in waiting:
                     if r["status"] == APPLIED:
-                        item = (r["event_us"], r["event_id"], r["amount_minor"], r[self.other] or "")
-                        line.add(*item)
-                        added.setdefault(r["event_us"] // DAY, []).append(item)
+                        line.add(r["event_us"], r["event_id"], r["amount_minor"], r[self.other] or "")
                 for r in waiting:
                     yield self.made(*r, *self.seen(line, r, horizon))
                 waiting = []
             waiting.append(row)
-        self._extend(added)
+
+    def handleInputRows(self, key, rows, timerValues):
+        horizon = _horizon(timerValues)
+        rows, stored = _arrived(rows), {day: value for (day,), value in self.days.iterator()}
+        # A day that has passed the horizon is not looked at, whether or not its timer has fired.
+        line = _Timeline([v for day, v in stored.items() if horizon is None or (day + 1) * DAY > horizon])
+        if len(rows) <= _FEW:
+            yield from self._one_by_one(line, rows, horizon)
+        else:
+            for row, found in zip(rows, self.seen_by_all(_Together(line, rows, self.other), horizon), strict=True):
+                yield self.made(*row, *found)
+        added: dict[int, list[tuple]] = {}
+        for r in rows:
+            if r["status"] == APPLIED:
+                added.setdefault(r["event_us"] // DAY, []).append((r["event_us"], r["event_id"], r["amount_minor"], r[self.other] or ""))
+        self._extend(added, stored)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         gone = expiredTimerInfo.getExpiryTimeInMs() * 1000 // DAY - 1
@@ -242,7 +332,8 @@ class _Histories(StatefulProcessor):
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
         items = [(i["event_us"], i["event_id"], i["amount_minor"], i["other"]) for i in initialState["items"]]
-        self._extend({initialState["day"]: items})
+        day = initialState["day"]
+        self._extend({day: items}, {day: self.days.getValue((day,))})
 
 
 class CustomerHistories(_Histories):
@@ -255,6 +346,12 @@ class CustomerHistories(_Histories):
         previous = line.newest(t - MAX_WINDOW, t, own)
         return (horizon, *counts, found["7d"][1], found["30d"][1], previous, line.met(t - MAX_WINDOW, t, own, row["terminal_id"] or ""))
 
+    def seen_by_all(self, batch: _Together, horizon: int | None) -> Iterator[tuple]:
+        found = {name: batch.window(width) for name, width in CUSTOMER_WINDOWS.items()}
+        counts = [n for n, _ in found.values()]
+        met = batch.met(MAX_WINDOW, [r["terminal_id"] or "" for r in batch.rows])
+        return zip([horizon] * len(met), *counts, found["7d"][1], found["30d"][1], batch.newest(MAX_WINDOW), met, strict=True)
+
 
 class TerminalHistories(_Histories):
     other, made = "customer_id", Row(*_names(_TERMINAL))
@@ -263,6 +360,9 @@ class TerminalHistories(_Histories):
         t, own = row["event_us"], row["event_id"]
         return tuple(line.window(t - width, t, own)[0] for width in TERMINAL_WINDOWS.values())
 
+    def seen_by_all(self, batch: _Together, horizon: int | None) -> Iterator[tuple]:
+        return zip(*(batch.window(width)[0] for width in TERMINAL_WINDOWS.values()), strict=True)
+
 
 def _clocked(events: DataFrame, retention_us: int) -> DataFrame:
     """Rows with the event time that moves the watermark. A late row's clock is its arrival less the retention, so
@@ -337,7 +437,11 @@ def run_keyed(out: DataFrame, path: str, partitions: int | None = None) -> None:
 
     `partitions` of the state are fixed when a query first starts; the session's shuffle partitions by default."""
     spark = out.sparkSession
-    wanted = {"spark.sql.streaming.stateStore.providerClass": PROVIDER}
+    wanted = {
+        "spark.sql.streaming.stateStore.providerClass": PROVIDER,
+        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",  # a batch uploads what it changed
+        "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",  # counting would read before each write
+    }
     if partitions is not None:
         wanted["spark.sql.shuffle.partitions"] = str(partitions)
     before = {name: spark.conf.get(name, None) for name in wanted}
