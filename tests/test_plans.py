@@ -140,3 +140,15 @@ def test_chunks_beyond_one_cut_are_cut_again(spark, monkeypatch):
     want = np.empty(400, int)
     want[order] = np.arange(1, 401)
     assert (got["rank"].to_numpy() == want).all()
+
+
+def test_keys_smaller_than_a_chunk_are_read_without_cuts(spark):
+    from tidegate.sources.buckets import exchanges
+
+    _, df = heavy_frame(spark)
+    df = df.withColumn("j", F.col("id") % 30)
+    chunks = chunked(df, [F.col("id")], 60)
+    cut, whole = (last_before(chunks, ["id"], ["j"], F.col("a") == 7, F.struct("id"), "seen", small) for small in (False, True))
+    assert exchanges(whole) == 1 < exchanges(cut)
+    rows = [{r["id"]: r["seen"] and r["seen"]["id"] for r in out.collect()} for out in (cut, whole)]
+    assert rows[0] == rows[1] and len(rows[0]) == 900

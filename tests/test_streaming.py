@@ -183,3 +183,21 @@ def test_commits_without_a_list_of_entities(spark):
     assert pipeline.snapshot().agg(F.sum("applied_count")).first()[0] == 3
     pipeline.on_events(events(spark, rows[3:]), 1)
     assert len(pipeline.commit_of(1)["entities"]) == 2 and pipeline.snapshot().agg(F.sum("applied_count")).first()[0] == 9
+
+
+def test_history_of_a_batch_moves_no_wide_rows(spark, tmp_path):
+    """Rows of its ids, sources, customers and terminals; nulls match nothing; lists are broadcast."""
+    from tidegate.sources.buckets import exchanges
+    from tidegate.streaming.pipeline import Pipeline
+
+    def frame(rows):
+        return spark.createDataFrame([(i, e, c, t, 1, 5, 5, "h", s) for i, e, s, c, t in rows], schemas.TXN_EVENT)
+
+    path = str(tmp_path / "history")
+    frame([(0, "a", "a", "c1", "t1"), (1, "b", "s", "c2", "t2"), (2, "x", "x", "c3", None), (3, None, "y", None, "t4"), (4, "s", "z", "c1", "t9")]).write.parquet(path)
+    history, rows = spark.read.parquet(path), frame([(9, "a", "s", "c1", "t4"), (8, None, "q", "c2", None)])
+    found = Pipeline(spark, str(tmp_path))._identities(history, rows)
+    assert sorted(r["seq"] for r in found.collect()) == [0, 1]
+    mine = Pipeline._of_entities(history, rows, ["customer_id", "terminal_id"])
+    assert exchanges(mine) == 2  # the two lists
+    assert sorted(r["seq"] for r in mine.collect()) == [0, 1, 3, 4]

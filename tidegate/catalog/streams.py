@@ -11,7 +11,7 @@ from tidegate.catalog.state import _LATE
 from tidegate.fixtures import load
 from tidegate.operators import messages as msg
 from tidegate.operators.features import FEATURES
-from tidegate.session import scratch
+from tidegate.session import scratch, written
 from tidegate.sources import readers
 from tidegate.streaming.identity import identity_statuses
 from tidegate.streaming.pipeline import Pipeline, activity_stream, first_deliveries, run_to_table
@@ -68,7 +68,7 @@ _AGAIN = 1_000_000  # what redelivered messages add to their offset
 def str1_again(spark, folder):
     """STR-1, STR-2, STATE-1: two batches of six partitions; the second repeats the first. One status a message."""
     pipeline = Pipeline(spark, scratch(spark, "messages"), with_features=False)
-    rows = _messages(spark, folder).withColumn("_id", F.col("partition") + 6 * F.col("offset")).checkpoint()
+    rows = written(_messages(spark, folder).withColumn("_id", F.col("partition") + 6 * F.col("offset")), "topic")
     pipeline.on_messages(rows.filter("_id % 3 <> 0").drop("_id"), 0)
     pipeline.on_messages(rows.withColumn("offset", F.col("offset") + _AGAIN).drop("_id"), 1)
     done = pipeline.table("statuses")
@@ -141,7 +141,7 @@ def sink5(spark, folder):
 
 def _in_parts(spark, folder, pipeline, parts=2, table="deliveries"):
     """Deliveries appended in arrival order; the stream is started again after each part."""
-    rows = load(spark, folder, table).select(*schemas.TXN_EVENT.fieldNames()).checkpoint()
+    rows = written(load(spark, folder, table).select(*schemas.TXN_EVENT.fieldNames()), "arrivals")
     inbox = pipeline.path("inbox")
     cuts = rows.approxQuantile("received_us", [i / parts for i in range(1, parts)], 0.001)
     low = None

@@ -24,6 +24,7 @@ from tidegate.functions.times import lit
 from tidegate.operators.features import APPLIED, MAX_WINDOW, RETENTION
 from tidegate.plans.components import components
 from tidegate.plans.ordered import ROWS_PER_CHUNK, Chunked, chunked, last_before, running
+from tidegate.session import written
 
 DUPLICATE = "duplicate"
 PAYLOAD_CONFLICT = "payload_conflict"
@@ -64,7 +65,6 @@ def apply_events(
         .groupBy("kind", "key")
         .agg(F.count(F.lit(1)).alias("n"))
         .filter("n > 1")
-        .select("kind", "key")
         .checkpoint()
     )
     try:
@@ -86,8 +86,9 @@ def apply_events(
         rows = _with_watermark_bound(rows, retention_us, rows_per_chunk, watermark_us)
     else:
         rows = rows.withColumn("_base", F.lit(None).cast("bigint"))
-    open_rows = rows.filter("_open").drop("_open").checkpoint()
-    settled = _rounds(open_rows, retention_us, horizon_matters, rows_per_chunk)
+    open_rows = written(rows.filter("_open").drop("_open"), "open")
+    most = several.agg(F.max("n")).first()[0] or 0
+    settled = _rounds(open_rows, retention_us, horizon_matters, rows_per_chunk, small=most <= rows_per_chunk)
     return deliveries.join(settled.select("seq", "status"), "seq", "left").withColumn(
         "status", F.coalesce("status", F.lit(APPLIED))
     )
@@ -113,8 +114,9 @@ def _with_watermark_bound(
 
 
 def _rounds(
-    open_rows: DataFrame, retention_us: int, horizon_matters: bool, rows_per_chunk: int
+    open_rows: DataFrame, retention_us: int, horizon_matters: bool, rows_per_chunk: int, small: bool
 ) -> DataFrame:
+    """`small`: no id or source has more rows than a chunk, so that their rows are read without cuts."""
     chunks = chunked(open_rows, [F.col("_at"), F.col("seq")], rows_per_chunk, "_c")
     state = chunks.df.withColumn("status", F.lit(APPLIED))
     order, count, roots = ["_at", "seq"], 0, None
@@ -122,8 +124,8 @@ def _rounds(
         applied = F.col("status") == APPLIED
         identity = F.struct("event_id", "event_us", "payload_hash", "source_id")
         step = Chunked(state, "_c", chunks.single)
-        step = Chunked(last_before(step, order, ["event_id"], applied, identity, "_seen"), "_c", chunks.single)
-        step = Chunked(last_before(step, order, ["source_id"], applied, identity, "_owner"), "_c", chunks.single)
+        step = Chunked(last_before(step, order, ["event_id"], applied, identity, "_seen", small), "_c", chunks.single)
+        step = Chunked(last_before(step, order, ["source_id"], applied, identity, "_owner", small), "_c", chunks.single)
         if horizon_matters:
             marked = running(
                 step,
@@ -136,7 +138,8 @@ def _rounds(
             marked, horizon = step.df, F.lit(None).cast("bigint")
         state_next = marked.withColumn("_next", _status(horizon)).withColumn("_horizon", horizon).select(
             *state.columns, "_next", "_horizon", "_seen", "_owner"
-        ).checkpoint()
+        )
+        state_next = written(state_next, "round")
         changed = not state_next.filter("_next <> status").isEmpty()
         count += 1
         if changed and count % ROUNDS == 0:

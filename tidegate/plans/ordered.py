@@ -165,17 +165,19 @@ def running(
 
 
 def last_before(
-    chunks: Chunked, order: Sequence[str], keys: Sequence[str], when: Column, value: Column, name: str
+    chunks: Chunked, order: Sequence[str], keys: Sequence[str], when: Column, value: Column, name: str, small: bool = False
 ) -> DataFrame:
-    """The newest earlier row of the same key for which `when` holds, as struct `name`."""
+    """The newest earlier row of the same key for which `when` holds, as struct `name`.
+
+    `small` says that no key has more rows than a chunk; then they need not be cut."""
     inside = (
-        Window.partitionBy(*keys, chunks.column)
+        Window.partitionBy(*keys, *([] if small else [chunks.column]))
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     picked = F.when(when, value)
     local = chunks.df.withColumn(name, F.last(picked, ignorenulls=True).over(inside))
-    if chunks.single:
+    if chunks.single or small:
         return local
     before = Window.partitionBy(*keys).orderBy(chunks.column).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (

@@ -24,6 +24,8 @@ from tidegate.functions.times import DAY, lit
 from tidegate.operators import messages as msg
 from tidegate.operators.apply import DEAD_LETTER_STATUSES, apply_events, entity_metadata
 from tidegate.operators.features import APPLIED, FEATURES, RETENTION, point_in_time
+from tidegate.plans.visibility import MAX_LISTED
+from tidegate.session import written as stored
 
 _STORED = T.StructType([*schemas.TXN_EVENT.fields, T.StructField("batch", T.LongType()), T.StructField("attempt", T.StringType()), T.StructField("day", T.LongType())])
 _COMMIT = (
@@ -113,7 +115,7 @@ class Pipeline:
         if self.commit_of(number) is not None:
             return
         written: dict[str, str] = {}
-        parsed = msg.parse(batch).withColumn("seq", msg.delivery()).checkpoint()
+        parsed = stored(msg.parse(batch).withColumn("seq", msg.delivery()), "parsed")
         statuses, watermark, added_us = self._apply(msg.to_history(parsed, F.col("seq")), number, written)
         if statuses is not None:
             refused = statuses.filter(F.col("status").isin(*DEAD_LETTER_STATUSES)).select("seq", F.col("status").alias("_status"))
@@ -131,16 +133,18 @@ class Pipeline:
 
     def _apply(self, batch: DataFrame, number: int, written: dict[str, str]) -> tuple[DataFrame | None, int | None, int | None]:
         """Write a batch's tables; its rows with their status, the watermark after it, and its newest applied event."""
-        rows = batch.select(*schemas.TXN_EVENT.fieldNames()).checkpoint()
+        rows = stored(batch.select(*schemas.TXN_EVENT.fieldNames()), "batch")
         watermark = self.watermark(number)
         if rows.isEmpty():
             return None, watermark, None
         live = None if watermark is None else watermark - self.retention_us
-        prior = self._identities(self.history(number, live), rows)
+        # Read by each step that gives statuses, so it is found once.
+        prior = self._identities(self.history(number, live), rows).checkpoint()
         both = rows.withColumn("_at", F.col("received_us")).unionByName(prior)
         status = apply_events(both, self.retention_us, F.col("_at"), watermark_us=watermark)
-        applied = rows.join(status.filter("_at >= 0").select("seq", "status"), "seq").checkpoint()
+        applied = rows.join(status.filter("_at >= 0").select("seq", "status"), "seq")
         self._put(written, "statuses", applied, number)
+        applied = self.spark.read.schema(applied.schema).parquet(written["statuses"])
         self._put(written, "refused", applied.filter(F.col("status").isin(*DEAD_LETTER_STATUSES)), number)
         if self.with_features:
             self._put(written, "features", self._features(number, applied, watermark), number)
@@ -183,24 +187,36 @@ class Pipeline:
 
     def _identities(self, history: DataFrame, rows: DataFrame) -> DataFrame:
         """Stored events with an id or source that the batch mentions, ordered before its rows."""
-        ids, sources = rows.select("event_id").distinct(), rows.select("source_id").distinct()
-        by_id = history.join(ids, "event_id", "left_semi").select(*rows.columns)
-        by_source = history.join(sources, "source_id", "left_semi").select(*rows.columns)
-        return by_id.unionByName(by_source).distinct().withColumn("_at", lit(-1))
+        # Only hashes of ids are dealt; the wide rows follow where they are few.
+        def keys(df: DataFrame, *kept: str) -> DataFrame:
+            each = [F.when(F.col(c).isNotNull(), F.xxhash64(F.lit(c), c)) for c in ("event_id", "source_id")]
+            return df.select(*kept, F.explode(F.array_compact(F.array(*each))).alias("_k"))
+
+        found = keys(history, "seq").join(keys(rows).distinct(), "_k", "left_semi").select("seq").distinct().checkpoint()
+        found = F.broadcast(found) if found.count() <= MAX_LISTED else found
+        return history.join(found, "seq", "left_semi").select(*rows.columns).distinct().withColumn("_at", lit(-1))
 
     def _features(self, number: int, applied: DataFrame, watermark: int | None) -> DataFrame:
         # Refused rows don't widen the history that is read: a late one is incomplete in any case.
         oldest = applied.agg(F.min(F.when(F.col("status") == APPLIED, F.col("event_us"))), F.max("event_us")).first()
         recent = self.history(number, (oldest[1] if oldest[0] is None else oldest[0]) - self.retention_us)
-        customers, terminals = applied.select("customer_id").distinct(), applied.select("terminal_id").distinct()
-        mine = recent.join(customers, "customer_id", "left_semi").unionByName(
-            recent.join(terminals, "terminal_id", "left_semi").join(customers, "customer_id", "left_anti"),
-        )
+        mine = self._of_entities(recent, applied, ["customer_id", "terminal_id"])
         known = mine.select(*schemas.TXN_EVENT.fieldNames()).withColumn("status", F.lit(APPLIED))
-        both = applied.withColumn("_ask", F.lit(True)).unionByName(known.withColumn("_ask", F.lit(False))).checkpoint()
+        both = applied.withColumn("_ask", F.lit(True)).unionByName(known.withColumn("_ask", F.lit(False)))
         seen = point_in_time(both, retention_us=self.retention_us, repeated_ids=True, watermark_us=watermark)
         return seen.filter("_ask").select("seq", "event_id", "decision_us", *FEATURES, "history_complete")
 
+    @staticmethod
+    def _of_entities(history: DataFrame, rows: DataFrame, names: list[str]) -> DataFrame:
+        """History rows of which one of the entities `names` occurs in `rows`; long lists are joined, others broadcast."""
+        out = history
+        for name in names:
+            listed = rows.select(F.xxhash64(name).alias(f"_k_{name}")).filter(F.col(name).isNotNull()).distinct()
+            listed = listed.withColumn(f"_is_{name}", F.lit(True)).checkpoint()
+            key = F.when(F.col(name).isNotNull(), F.xxhash64(name))
+            out = out.join(F.broadcast(listed) if listed.count() <= MAX_LISTED else listed, key == F.col(f"_k_{name}"), "left")
+        return out.filter(F.coalesce(*[F.col(f"_is_{name}") for name in names], F.lit(False))).select(*history.columns)
+
     def run(self, stream: DataFrame, handle: Callable[[DataFrame, int], None]) -> None:
         """Process what is available, from where the checkpoint left off."""
         query = (
