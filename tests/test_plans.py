@@ -1,5 +1,7 @@
 """The shared plan shapes against brute force, with chunks far smaller than the data."""
 
+import weakref
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -47,6 +49,27 @@ def test_a_task_answers_few_rows_at_once(monkeypatch):
         assert out["c_n_later"][i] == ((keys == keys[i]) & (u < u[i]) & (rows["_v"] <= u[i] + 6)).sum()
 
 
+def test_a_task_lets_go_of_an_entity_before_it_reads_on():
+    """The rows of an answered entity are not held beside those of the next one; only its last batch is."""
+    firsts, alive = [], []
+
+    def entities():
+        for k in range(5):
+            alive.append([i for i, ref in enumerate(firsts) if ref() is not None])
+            u = np.arange(200)
+            rows = dict(k=np.full(200, k), _u=u, _v=u + 1, _y=u + 3, _w=np.ones(200, int), _point=np.ones(200, bool), _entity=np.full(200, k))
+            parts = [{name: values[at : at + 100].copy() for name, values in rows.items()} for at in (0, 100)]
+            firsts.append(weakref.ref(parts[0]["_u"]))
+            del u, rows
+            while parts:
+                yield pa.RecordBatch.from_pydict(parts.pop(0))
+
+    scan = Scan("c", ("k",), (("now", 0),))
+    assert sum(b.num_rows for b in visibility._unit([scan], ["k", "_u", "c_n_now"], 200)(entities())) == 1000
+    # An entity is known to be whole when the next one's first batch comes; its own is gone when more is read.
+    assert alive == [[], [0], [1], [2], [3]]
+
+
 def test_wide_values_do_not_overflow():
     far = np.array([-(2**61), 0, 2**61])
     total, _ = count_visible(

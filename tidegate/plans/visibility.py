@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 ROWS_PER_UNIT = 500_000
 ROWS_AT_ONCE = 50_000  # rows of whole entities that a task answers together; a larger entity is answered alone
-ASKED_AT_ONCE = 500_000  # questions that are answered together: one slot at a time for the largest entities
+ASKED_AT_ONCE = 500_000  # questions that are answered together: one slot at a time for the largest entities; rows of a grid unit
 MAX_CUTS = 2048
 MAX_LISTED = 1_000_000  # numbers that may be broadcast: hot entities, or their cut points
 NOTHING = -(2**63)
@@ -197,7 +197,12 @@ def _unit(scans: Sequence[Scan], columns: list[str], most: int):
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole(batches, most):
-            yield from answer(table).to_batches(max_chunksize=10_000)
+            answered = answer(table).to_batches(max_chunksize=10_000)
+            del table
+            yield from answered
+            # Nothing of an entity is held while the next one is read.
+            del answered
+            pa.default_memory_pool().release_unused()
 
     return each
 
@@ -473,9 +478,8 @@ def _by_grid(large: DataFrame, scan: Scan, hot: Hot, row_id: str, rows_per_unit:
     ]
     queries = large.select(*keys, F.col(row_id).alias("_row"), F.inline(F.array(*slots)))
     each = 1 + len(scan.offsets)  # a row is a point and a query per slot
-    parts = _solve(
-        points, queries, keys, ["_row", "_slot"], hot.largest * each, hot.entities, rows_per_unit * each
-    )
+    bound = min(rows_per_unit * each, ASKED_AT_ONCE)
+    parts = _solve(points, queries, keys, ["_row", "_slot"], hot.largest * each, hot.entities, bound)
 
     def slot(name: str, value: str) -> Column:
         return F.when(F.col("_slot") == name, F.col(value))
