@@ -160,3 +160,118 @@ def test_rows_of_a_batch_see_the_same_together_as_one_by_one(monkeypatch, few):
     assert sum(len(v[0]) // 8 for v in Days.held.values()) == len(stored) + sum(r["status"] == ap.APPLIED for r in rows)
     assert len(Timers.set) == len(set(Timers.set)) == len(Days.held) >= before
     Days.held.clear(), Timers.set.clear()
+
+
+class Store:
+    """State variables of one group, and the exchanges with them."""
+
+    def __init__(self, newest_us=0):
+        self.calls, self.timers, self.values, self.newest_us = 0, set(), {}, newest_us
+
+    def getValueState(self, name, schema):
+        return self
+
+    def getMapState(self, name, keys, values):
+        return self
+
+    def getCurrentWatermarkInMs(self):
+        return self.newest_us // 1000
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def get(self):
+        self.calls += 1
+        return self.values.get(())
+
+    def update(self, value):
+        self.calls += 1
+        self.values[()] = value
+
+    def clear(self):
+        self.values.clear()
+
+    def getValue(self, key):
+        return self.values.get(key)
+
+    def iterator(self):
+        self.calls += 1
+        return iter(list(self.values.items()))
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.values[key] = value
+
+
+def packs(rows, schema, pieces=3):
+    fields = keyed._arrow(schema)
+    for i in range(pieces):
+        part = rows[i::pieces]
+        if part:
+            yield keyed._Pack(0, keyed._bytes(keyed.pa.table([keyed.pa.array(c, f.type) for c, f in zip(zip(*part), fields)], fields)))
+
+
+def unpacked(answers):
+    return [row for a in answers for row in keyed._table(a["rows"]).to_pylist()]
+
+
+def test_many_ids_take_few_exchanges_with_the_state():
+    rows = [(*r, None) for r in deliveries(5, 900, 80)]
+    for operator, schema in ((keyed.Identities(), keyed._EVENT), (keyed.Owners(), f"{keyed._EVENT}, opinion string, claim string")):
+        store, found = Store(), []
+        operator.init(store)
+        for batch in (rows[:450], rows[450:]):
+            found += unpacked(operator.handleInputRows((0,), packs(batch, schema), store))
+        assert store.calls <= 8 and len(found) == 900  # four for each batch, however many ids it has
+        held = store.values[()]
+        times = keyed._table(held[2])["event_us"].to_pylist()
+        assert (min(times), len(times)) == held[:2] and held[0] // 1000 + 1 in store.timers
+        # The timer leaves the records that the watermark has not passed, and sets the next one.
+        store.newest_us = sorted(times)[len(times) // 2] + 1_000
+        operator.handleExpiredTimer((0,), store, None)
+        left = keyed._table(store.values[()][2])["event_us"].to_pylist()
+        assert sorted(left) == sorted(t for t in times if t // 1000 + 1 > store.newest_us // 1000)
+        assert 0 < len(left) < len(times) and min(left) // 1000 + 1 in store.timers
+        rows = sorted(tuple(r.values()) for r in found)
+
+
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_entities_of_a_group_see_their_own_events(monkeypatch, few):
+    """Two batches of customers, one of them null, whose ids and terminals hold any character."""
+    monkeypatch.setattr(keyed, "_FEW", few)
+    rng = random.Random(few)
+    customers = ["a", "b\x1fc", "", None, "ü"]
+    rows = []
+    for seq in range(240):
+        arrived = 50 * DAY + seq // 3 * DAY // 20
+        status = ap.APPLIED if rng.random() < 0.7 else ap.DUPLICATE
+        at = arrived - rng.choice([0, 1, rng.randrange(30) * DAY])
+        rows.append((seq, f"n\x1f{rng.randrange(150)}", rng.choice(customers), f"t\x1f{rng.randrange(5)}", rng.choice([None, 3, 8]), at, arrived, "h", "s", None, status))
+    store, histories = Store(), keyed.CustomerHistories(grouped=True)
+    histories.init(store)
+    names, got = keyed._names(keyed._STATUS), {}
+    for batch in (rows[:120], rows[120:]):
+        got |= {r["seq"]: r for r in unpacked(histories.handleInputRows((0,), packs(batch, keyed._STATUS), store))}
+    every = [dict(zip(names, r)) for r in rows]
+    for r in every:
+        earlier = [x for x in every if x["customer_id"] == r["customer_id"] and x["status"] == ap.APPLIED and x["received_us"] <= r["received_us"]]
+        month = [x for x in earlier if r["event_us"] - 30 * DAY <= x["event_us"] < r["event_us"] and x["event_id"] != r["event_id"]]
+        have = got[r["seq"]]
+        assert (have["cust_txn_count_30d"], have["cust_amount_30d"]) == (len(month), sum(x["amount_minor"] or 0 for x in month))
+        assert have["previous_us"] == max((x["event_us"] for x in month), default=None)
+        assert have["pair_seen"] == any(x["terminal_id"] == r["terminal_id"] for x in month)
+    days = {(x["customer_id"], x["event_us"] // DAY) for x in every if x["status"] == ap.APPLIED}
+    assert sum(v[2] for v in store.values.values()) == len(days) and len(store.timers) == len({d for _, d in days})
+
+
+def test_rows_are_dealt_to_the_groups_of_their_key():
+    table = keyed.pa.table({"k": [None, *(f"k{i % 40}" for i in range(999))], "v": list(range(1000))})
+    dealt = list(keyed._packer("k", 8, packed=False)(iter(table.to_batches(100))))
+    again = list(keyed._packer("k", 3, packed=True)(iter(dealt)))
+    for batches, groups in ((dealt, 8), (again, 3)):
+        found = [(g, row) for b in batches for g, p in zip(b["group"].to_pylist(), b["rows"].to_pylist()) for row in keyed._table(p).to_pylist()]
+        assert sorted(row["v"] for _, row in found) == list(range(1000))
+        assert len({(row["k"], g) for g, row in found}) == 41 and 1 < len({g for g, _ in found}) <= groups
+    assert sorted(v for b in keyed._unpack(iter(again)) for v in b["v"].to_pylist()) == list(range(1000))
+    assert list(keyed._packer("k", 3, packed=False)(iter([]))) == [] == list(keyed._unpack(iter([])))

@@ -18,10 +18,14 @@ from tidegate.session import scratch
 from tidegate.streaming import keyed
 
 
-def _partitions(rows):
-    """Partitions of the state: one for each core where there are rows for it, more where a partition would be large."""
+def _layout(rows):
+    """Partitions of the state and groups of its keys.
+
+    One partition for each core where there are rows for it, more where a partition would be large; about 10,000 rows
+    to a group, and groups enough to fill the partitions evenly."""
     workers, n = rows.sparkSession.sparkContext.defaultParallelism, rows.count()
-    return max(4, min(workers, math.ceil(n / 10_000)), math.ceil(n / 1_000_000))
+    partitions = max(4, min(workers, math.ceil(n / 10_000)), math.ceil(n / 1_000_000))
+    return partitions, max(8 * partitions, math.ceil(n / 10_000))
 
 
 def _stream(spark, rows, path, parts, width_us):
@@ -50,7 +54,7 @@ def str2_keyed(spark, folder):
     path = scratch(spark, "keyed")
     rows = load(spark, folder, "deliveries")
     stream = _stream(spark, rows, path, 5, 7 * DAY)
-    keyed.run_keyed(keyed.keyed_features(stream), path, _partitions(rows))
+    keyed.run_keyed(keyed.keyed_features(stream), path, _layout(rows)[0])
     return spark.read.parquet(f"{path}/out").select("seq", "status", "decision_us", *FEATURES, "history_complete")
 
 
@@ -90,7 +94,7 @@ def state7_kept(spark, folder):
     rows = load(spark, folder, "deliveries")
     rows = rows.withColumns({c: F.col(c) * 2 - lit(start) for c in ("event_us", "received_us")})
     # Repeats and conflicts follow their first delivery, so that the span of each batch is as the SQL cuts it.
-    keyed.run_keyed(keyed.keyed_features(_stream(spark, rows, path, 5, 12 * DAY)), path, _partitions(rows))
+    keyed.run_keyed(keyed.keyed_features(_stream(spark, rows, path, 5, 12 * DAY)), path, _layout(rows)[0])
     return keyed.kept(spark, path, 6)
 
 
@@ -108,5 +112,6 @@ def pit7_hand_over(spark, folder):
     before = deliveries.filter(F.col("received_us") < cutoff)
     applied = ap.apply_events(before).filter(F.col("status") == ap.APPLIED).checkpoint()
     stream = _stream(spark, deliveries.filter(F.col("received_us") >= cutoff), path, 1, 0)
-    keyed.run_keyed(keyed.keyed_features(stream, applied=applied), path, _partitions(deliveries))
+    partitions, groups = _layout(deliveries)
+    keyed.run_keyed(keyed.keyed_features(stream, applied=applied, groups=groups), path, partitions)
     return spark.read.parquet(f"{path}/out").select("seq", "status", "decision_us", *FEATURES, "history_complete")
