@@ -54,7 +54,8 @@ def str2_keyed(spark, folder):
     path = scratch(spark, "keyed")
     rows = load(spark, folder, "deliveries")
     stream = _stream(spark, rows, path, 5, 7 * DAY)
-    keyed.run_keyed(keyed.keyed_features(stream), path, _layout(rows)[0])
+    partitions, groups = _layout(rows)
+    keyed.run_keyed(keyed.keyed_features(stream, groups=groups), path, partitions)
     return spark.read.parquet(f"{path}/out").select("seq", "status", "decision_us", *FEATURES, "history_complete")
 
 
