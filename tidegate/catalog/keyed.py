@@ -95,7 +95,8 @@ def state7_kept(spark, folder):
     rows = load(spark, folder, "deliveries")
     rows = rows.withColumns({c: F.col(c) * 2 - lit(start) for c in ("event_us", "received_us")})
     # Repeats and conflicts follow their first delivery, so that the span of each batch is as the SQL cuts it.
-    keyed.run_keyed(keyed.keyed_features(_stream(spark, rows, path, 5, 12 * DAY)), path, _layout(rows)[0])
+    partitions, groups = _layout(rows)
+    keyed.run_keyed(keyed.keyed_features(_stream(spark, rows, path, 5, 12 * DAY), groups=groups), path, partitions)
     return keyed.kept(spark, path, 6)
 
 
