@@ -166,3 +166,15 @@ def test_repeats_of_a_hot_id_are_not_read_with_its_chain(spark, monkeypatch):
     have = {r["seq"]: r["status"] for r in got.filter("seq < 1002").collect()}
     assert have == want and path and not sizes
     assert got.filter("seq > 1000").select("status").distinct().collect() == [(want[1001],)]
+
+
+def test_payloads_are_equal_as_texts_are(spark):
+    """Any text may be a payload hash; digits in lower case are kept in half the room."""
+    texts = ["ab", "AB", "ab\n", "abc", "", "hab", "tab", "«", "0" * 64, "h", None, None]
+    rows = [(i, f"e{i // 2}", f"s{i // 2}", x, DAY, DAY + i) for i, x in enumerate(y for a in texts for b in texts for y in (a, b))]
+    df = spark.createDataFrame(rows, COLUMNS)
+    got = {r["seq"]: r["status"] for r in ap.apply_events(df).collect()}
+    want = {i: ap.APPLIED if i % 2 == 0 else ap.DUPLICATE if rows[i][3] is None or rows[i - 1][3] in (None, rows[i][3]) else ap.PAYLOAD_CONFLICT for i in range(len(rows))}
+    assert got == want
+    short = df.select(F.length(ap._short("payload_hash")).alias("n")).filter(F.col("payload_hash") == "0" * 64).distinct().collect()
+    assert [r["n"] for r in short] == [33]

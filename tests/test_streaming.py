@@ -1,6 +1,7 @@
 """The micro-batch pipeline: state across batches, repeated batches, namespaces, dead letters."""
 
 import json
+from pathlib import Path
 
 from pyspark.sql import functions as F
 from test_apply import fold, stream
@@ -9,7 +10,7 @@ from test_decide import CASES
 from tidegate import schemas
 from tidegate.operators import apply as ap
 from tidegate.operators.features import FEATURES, point_in_time
-from tidegate.session import scratch
+from tidegate.session import scratch, shared_dir
 from tidegate.streaming.pipeline import Pipeline
 
 
@@ -201,3 +202,18 @@ def test_history_of_a_batch_moves_no_wide_rows(spark, tmp_path):
     mine = Pipeline._of_entities(history, rows, ["customer_id", "terminal_id"])
     assert exchanges(mine) == 2  # the two lists
     assert sorted(r["seq"] for r in mine.collect()) == [0, 1, 3, 4]
+
+
+def test_texts_of_valid_messages_are_not_kept_again(spark):
+    """A batch writes the fields of a valid message once; a refused one keeps its bytes, also when its status refuses it."""
+    pipeline = Pipeline(spark, scratch(spark, "kept"), with_features=False)
+    value, headers = CASES[0][1], [h for h in CASES[0][2] if h[0] != "event_id"]
+    other = json.dumps({**json.loads(value), "event_id": "11111111-2222-3333-4444-555555555559"})
+    rows = [(b"buyer-5", v.encode(), headers, "t", 0, o) for o, v in enumerate([value, other, value[:50]])]
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(folder.glob("parsed-*/*.parquet"))
+    pipeline.on_messages(spark.createDataFrame(rows, schemas.MESSAGE), 0)
+    new = [str(p) for p in set(folder.glob("parsed-*/*.parquet")) - before]
+    assert new and [bytes(r[0]) for r in spark.read.parquet(*new).select("value").filter("value is not null").collect()] == [value[:50].encode()]
+    letters = {r["reason"]: bytes(r["value"]).decode() for r in pipeline.table("dead_letters").collect()}
+    assert letters == {"event_id_conflict": other, "MALFORMED_JSON": value[:50]}

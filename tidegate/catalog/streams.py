@@ -68,7 +68,7 @@ _AGAIN = 1_000_000  # what redelivered messages add to their offset
 def str1_again(spark, folder):
     """STR-1, STR-2, STATE-1: two batches of six partitions; the second repeats the first. One status a message."""
     pipeline = Pipeline(spark, scratch(spark, "messages"), with_features=False)
-    rows = written(_messages(spark, folder).withColumn("_id", F.col("partition") + 6 * F.col("offset")), "topic")
+    rows = written(_messages(spark, folder).withColumn("_id", F.col("partition") + 6 * F.col("offset")), "topic", "zstd")
     pipeline.on_messages(rows.filter("_id % 3 <> 0").drop("_id"), 0)
     pipeline.on_messages(rows.withColumn("offset", F.col("offset") + _AGAIN).drop("_id"), 1)
     done = pipeline.table("statuses")

@@ -79,14 +79,14 @@ def apply_events(
     for key in ("event_id", "source_id"):
         found = several.filter(F.col("kind") == key).select(F.col("key").alias(key), F.lit(True).alias(f"_r_{key}"))
         rows = rows.join(found, key, "left")
-    rows = rows.withColumn("_open", F.coalesce("_r_event_id", "_r_source_id", F.lit(False)))
+    rows = rows.withColumns({"_open": F.coalesce("_r_event_id", "_r_source_id", F.lit(False)), "payload_hash": _short("payload_hash")})
     names = ["seq", "event_id", "source_id", "payload_hash", "event_us", "_at", "_open"]
     rows = rows.select(*names)
     if horizon_matters:
         rows = _with_watermark_bound(rows, retention_us, rows_per_chunk, watermark_us)
     else:
         rows = rows.withColumn("_base", F.lit(None).cast("bigint"))
-    open_rows = written(rows.filter("_open").drop("_open"), "open")
+    open_rows = written(rows.filter("_open").drop("_open"), "open", "zstd")
     most = several.agg(F.max("n")).first()[0] or 0
     settled = _rounds(open_rows, retention_us, horizon_matters, rows_per_chunk, small=most <= rows_per_chunk)
     return deliveries.join(settled.select("seq", "status"), "seq", "left").withColumn(
@@ -122,10 +122,10 @@ def _rounds(
     order, count, roots = ["_at", "seq"], 0, None
     while True:
         applied = F.col("status") == APPLIED
-        identity = F.struct("event_id", "event_us", "payload_hash", "source_id")
+        seen, owner = F.struct("event_us", "payload_hash", "source_id"), F.struct("event_us", "event_id")
         step = Chunked(state, "_c", chunks.single)
-        step = Chunked(last_before(step, order, ["event_id"], applied, identity, "_seen", small), "_c", chunks.single)
-        step = Chunked(last_before(step, order, ["source_id"], applied, identity, "_owner", small), "_c", chunks.single)
+        step = Chunked(last_before(step, order, ["event_id"], applied, seen, "_seen", small), "_c", chunks.single)
+        step = Chunked(last_before(step, order, ["source_id"], applied, owner, "_owner", small), "_c", chunks.single)
         if horizon_matters:
             marked = running(
                 step,
@@ -136,23 +136,29 @@ def _rounds(
             horizon = F.greatest("_mark", "_base") - F.lit(retention_us)
         else:
             marked, horizon = step.df, F.lit(None).cast("bigint")
-        state_next = marked.withColumn("_next", _status(horizon)).withColumn("_horizon", horizon).select(
-            *state.columns, "_next", "_horizon", "_seen", "_owner"
-        )
-        state_next = written(state_next, "round")
-        changed = not state_next.filter("_next <> status").isEmpty()
         count += 1
+        # What a status was read from is kept for rounds that may solve chains.
+        read = ["_horizon", "_seen", "_owner"] if count % ROUNDS == 0 else []
+        state_next = marked.withColumn("_next", _status(horizon)).withColumn("_horizon", horizon).select(*state.columns, "_next", *read)
+        state_next = written(state_next, "round", "zstd")
+        changed = not state_next.filter("_next <> status").isEmpty()
         if changed and count % ROUNDS == 0:
             if roots is None:
                 event, source = _nodes()
                 edges = open_rows.select(event.alias("a"), source.alias("b")).distinct()
                 roots = components(edges).withColumnsRenamed({"node": "_a", "root": "_chain"})
             state_next = _by_chain(Chunked(state_next, "_c", chunks.single), roots, retention_us, horizon_matters).checkpoint()
-        state = state_next.withColumn("status", F.col("_next")).drop("_next", "_horizon", "_seen", "_owner")
+        state = state_next.withColumn("status", F.col("_next")).select(*state.columns)
         if not changed:
             return state
 
 
+def _short(text: str) -> Column:
+    """A text as bytes that are equal where the texts are; one of lower-case hexadecimal digits takes half the room."""
+    digits = F.unhex(F.when(F.col(text).rlike("^([0-9a-f]{2})+$"), F.col(text)))
+    return F.coalesce(F.concat(F.lit(b"h"), digits), F.concat(F.lit(b"t"), F.encode(text, "UTF-8")))
+
+
 def _nodes() -> tuple[Column, Column]:
     return F.xxhash64(F.lit("event"), "event_id"), F.xxhash64(F.lit("source"), "source_id")
 

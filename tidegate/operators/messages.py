@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidegate.functions.scalars import canonical_json, compact_json, header_map
 from tidegate.functions.times import format_utc, micros
 from tidegate.operators.decide import request_problem
-from tidegate.schemas import DECISION_MADE
+from tidegate.schemas import DECISION_MADE, TXN_EVENT
 
 # Fixed values of message version 1.
 EVENT_TYPE = "decision.made"
@@ -195,8 +195,27 @@ def delivery() -> Column:
 
 def to_history(parsed: DataFrame, seq: Column) -> DataFrame:
     """Valid messages as rows of the feature history; the transaction id is the event id."""
+    return parsed.filter(F.col("reason").isNull()).select(*_history_fields(seq))
+
+
+_LETTER = ("key", "value", "topic", "partition", "offset", "claimed_event_id")
+
+
+def sorted_out(parsed: DataFrame, seq: Column) -> DataFrame:
+    """Each message once: a valid one with its fields of the feature history, a refused one with those of a dead letter."""
+    refused = F.col("reason").isNotNull()
+    fields = [F.when(~refused, c).alias(name) for c, name in zip(_history_fields(seq), TXN_EVENT.fieldNames(), strict=True)]
+    return parsed.select(*fields, *[F.when(refused, F.col(c)).alias(c) for c in _LETTER], "reason")
+
+
+def letters(parsed: DataFrame) -> DataFrame:
+    """What dead letters take of refused messages."""
+    return parsed.filter(F.col("reason").isNotNull()).select(*_LETTER, "reason")
+
+
+def _history_fields(seq: Column) -> list[Column]:
     event = F.col("event")
-    return parsed.filter(F.col("reason").isNull()).select(
+    return [
         seq.alias("seq"),
         event["transaction_id"].alias("event_id"),
         event["customer_id"].alias("customer_id"),
@@ -206,7 +225,7 @@ def to_history(parsed: DataFrame, seq: Column) -> DataFrame:
         micros(F.try_to_timestamp(event["received_at"])).alias("received_us"),
         event["payload_hash"].alias("payload_hash"),
         event["event_id"].alias("source_id"),
-    )
+    ]
 
 
 def dead_letters(parsed: DataFrame) -> DataFrame:

@@ -94,7 +94,7 @@ class Pipeline:
         """Write a table of this attempt; nobody reads it before the commit."""
         folder = self.path(f"{name}/attempt={number:09d}-{uuid.uuid4().hex}")
         writer = df.write.partitionBy(by) if by else df.write
-        writer.parquet(folder)
+        writer.parquet(folder, compression="zstd")
         written[name] = folder
 
     def _commit(self, number: int, written: dict[str, str], watermark: int | None, added_us: int | None) -> None:
@@ -115,12 +115,19 @@ class Pipeline:
         if self.commit_of(number) is not None:
             return
         written: dict[str, str] = {}
-        parsed = stored(msg.parse(batch).withColumn("seq", msg.delivery()), "parsed")
-        statuses, watermark, added_us = self._apply(msg.to_history(parsed, F.col("seq")), number, written)
-        if statuses is not None:
-            refused = statuses.filter(F.col("status").isin(*DEAD_LETTER_STATUSES)).select("seq", F.col("status").alias("_status"))
-            parsed = parsed.join(refused, "seq", "left").withColumn("reason", F.coalesce("reason", "_status"))
-        self._put(written, "dead_letters", msg.dead_letters(parsed), number)
+        # Texts are kept of refused messages only; the few that a status refuses are read again from the batch.
+        parsed = stored(msg.sorted_out(msg.parse(batch), msg.delivery()), "parsed", "zstd")
+        valid = parsed.filter(F.col("reason").isNull()).select(*schemas.TXN_EVENT.fieldNames())
+        applied, watermark, added_us = self._apply(valid, number, written)
+        letters = msg.letters(parsed)
+        if applied is not None:
+            refused = self.spark.read.schema(applied.schema).parquet(written["refused"]).select("seq", F.col("status").alias("_status"))
+            many = refused.count()
+            if many:
+                found = batch.withColumn("seq", msg.delivery()).join(F.broadcast(refused) if many <= MAX_LISTED else refused, "seq")
+                again = msg.parse(found).filter(F.col("reason").isNull()).withColumn("reason", F.col("_status"))
+                letters = letters.unionByName(msg.letters(again))
+        self._put(written, "dead_letters", msg.dead_letters(letters), number)
         self._commit(number, written, watermark, added_us)
 
     def on_events(self, batch: DataFrame, number: int) -> None:
@@ -128,18 +135,18 @@ class Pipeline:
         if self.commit_of(number) is not None:
             return
         written: dict[str, str] = {}
-        _, watermark, added_us = self._apply(batch, number, written)
+        _, watermark, added_us = self._apply(stored(batch.select(*schemas.TXN_EVENT.fieldNames()), "batch", "zstd"), number, written)
         self._commit(number, written, watermark, added_us)
 
-    def _apply(self, batch: DataFrame, number: int, written: dict[str, str]) -> tuple[DataFrame | None, int | None, int | None]:
-        """Write a batch's tables; its rows with their status, the watermark after it, and its newest applied event."""
-        rows = stored(batch.select(*schemas.TXN_EVENT.fieldNames()), "batch")
+    def _apply(self, rows: DataFrame, number: int, written: dict[str, str]) -> tuple[DataFrame | None, int | None, int | None]:
+        """Write a batch's tables from its stored rows; the rows with their status, the watermark after it, and its
+        newest applied event."""
         watermark = self.watermark(number)
         if rows.isEmpty():
             return None, watermark, None
         live = None if watermark is None else watermark - self.retention_us
         # Read by each step that gives statuses, so it is found once.
-        prior = self._identities(self.history(number, live), rows).checkpoint()
+        prior = stored(self._identities(self.history(number, live), rows), "prior", "zstd")
         both = rows.withColumn("_at", F.col("received_us")).unionByName(prior)
         status = apply_events(both, self.retention_us, F.col("_at"), watermark_us=watermark)
         applied = rows.join(status.filter("_at >= 0").select("seq", "status"), "seq")
